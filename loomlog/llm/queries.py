@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlog.llm import binary, packing
+from loomlog.llm import binary, packing, simhash
 from loomlog.llm.shared import shared_dir, table
 
 
@@ -14,11 +14,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     binary.write_tokens(table(spark, sf_dir, "documents"), path)
     return binary.read_tokens(spark, path)
 
 
-QUERIES = {"op1_packing": op1_packing, "op5_binary_output": op5_binary_output}
+QUERIES = {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op5_binary_output": op5_binary_output}
 ORACLES: dict[str, str] = {}
