@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlog.llm import binary, packing, simhash
+from loomlog.llm import binary, mixing, packing, simhash
 from loomlog.llm.shared import shared_dir, table
 
 
@@ -14,6 +14,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -24,5 +28,5 @@ def op5_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_tokens(spark, path)
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op5_binary_output": op5_binary_output}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op5_binary_output": op5_binary_output}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.oracle()}
