@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlog.llm import binary, mixing, packing, simhash
+from loomlog.llm import binary, mixing, packing, secrets, simhash
 from loomlog.llm.shared import shared_dir, table
 
 
@@ -22,11 +22,15 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op5_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     binary.write_tokens(table(spark, sf_dir, "documents"), path)
     return binary.read_tokens(spark, path)
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op5_binary_output": op5_binary_output}
+QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op4_secrets": op4_secrets, "op5_binary_output": op5_binary_output}
 ORACLES: dict[str, str] = {"op2_mixing": mixing.oracle()}
