@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlog.llm import binary, language, mixing, packing, quality, secrets, simhash, urls
+from loomlog.llm import binary, language, mixing, neighbours, packing, quality, secrets, simhash, urls
 from loomlog.llm.shared import shared_dir, table
 
 
@@ -41,10 +41,14 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, *language.learn(docs))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=20)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op4_secrets": op4_secrets, "op5_binary_output": op5_binary_output, "op7_urls": op7_urls, "op8_language": op8_language, "op10_quality": op10_quality}
+QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op4_secrets": op4_secrets, "op5_binary_output": op5_binary_output, "op7_urls": op7_urls, "op8_language": op8_language, "op9_neighbours": op9_neighbours, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {"op2_mixing": mixing.oracle(), "op7_urls": urls.oracle()}
