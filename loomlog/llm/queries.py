@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlog.llm import binary, language, mixing, neighbours, packing, quality, secrets, simhash, urls
+from loomlog.llm import binary, language, licences, mixing, neighbours, packing, quality, secrets, simhash, urls
 from loomlog.llm.shared import shared_dir, table
 
 
@@ -32,6 +32,10 @@ def op5_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_tokens(spark, path)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -50,5 +54,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op4_secrets": op4_secrets, "op5_binary_output": op5_binary_output, "op7_urls": op7_urls, "op8_language": op8_language, "op9_neighbours": op9_neighbours, "op10_quality": op10_quality}
-ORACLES: dict[str, str] = {"op2_mixing": mixing.oracle(), "op7_urls": urls.oracle()}
+QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op4_secrets": op4_secrets, "op5_binary_output": op5_binary_output, "op6_licenses": op6_licenses, "op7_urls": op7_urls, "op8_language": op8_language, "op9_neighbours": op9_neighbours, "op10_quality": op10_quality}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.oracle(), "op6_licenses": licences.oracle(), "op7_urls": urls.oracle()}
