@@ -5,8 +5,9 @@ word) are allocated to sources by their targets' highest quotients target / (2j
 of their quotients fill one shard after the other, so each shard has an integer quota of every source.
 
 A source's documents lie on a line in seeded order (by the MD5 of seed and doc_id). Its quota is taken as
-whole passes over the line plus, for the rest, blocks of the line chosen by a seeded order; the last one
-chosen is cut. So a source's taken words differ from its target by less than a block, and by its cap.
+whole passes over the line plus, for the rest, blocks from a seeded one on (after the last comes the first);
+the last one taken is cut. As the line is in random order, so is what a run of it holds, and documents are
+taken whole but for those at the run's ends. A source's taken words differ from its target by about a block.
 
 Scale: only (doc_id, source, size) leaves the scan. The line is laid out in cells, the first digits of the
 MD5, so that a source with any share of all rows is sorted in many tasks; what is kept of a cell is its
@@ -83,8 +84,10 @@ def chosen(aims: DataFrame, quota: DataFrame, seed: int = SEED, most: int = MOST
     last = F.floor((F.col("source_size") - 1) / F.col("width")).cast("long")
     laid = sized.select("rank", "width", "source_size", "passes", "rest", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
     long = F.least("width", F.col("source_size") - F.col("block") * F.col("width"))
-    seeded = W.partitionBy("rank").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rank").cast("string"), F.col("block").cast("string"))), "block").rowsBetween(W.unboundedPreceding, -1)
-    taken = laid.withColumn("long", long).withColumn("extra", F.greatest(F.lit(0), F.least("long", F.col("rest") - F.coalesce(F.sum("long").over(seeded), F.lit(0)))))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rank").cast("string"), F.col("block").cast("string")))
+    turned = laid.withColumn("long", long).withColumn("start", F.min_by("block", F.struct(key, F.col("block"))).over(W.partitionBy("rank")))
+    from_start = W.partitionBy("rank").orderBy(F.col("block") < F.col("start"), "block").rowsBetween(W.unboundedPreceding, -1)
+    taken = turned.withColumn("extra", F.greatest(F.lit(0), F.least("long", F.col("rest") - F.coalesce(F.sum("long").over(from_start), F.lit(0)))))
     line = W.partitionBy("rank").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     return taken.select("rank", "block", "width", "passes", "extra", F.coalesce(F.sum("extra").over(line), F.lit(0)).alias("before"))
 
@@ -161,8 +164,8 @@ WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^
   g AS (SELECT rank, count(*) AS blocks FROM o WHERE place <= n GROUP BY rank),
   p AS (SELECT z.rank, width, source_size, least(blocks * width, {most} * source_size)::BIGINT AS words FROM z JOIN g ON z.rank = g.rank WHERE source_size > 0),
   k AS (SELECT *, words // source_size AS passes, words % source_size AS rest, unnest(range(0, (source_size - 1) // width + 1)) AS block FROM p),
-  e AS (SELECT *, least(width, source_size - block * width) AS long FROM k),
-  x AS (SELECT rank, block, width, passes, greatest(0, least(long, rest - coalesce(sum(long) OVER (PARTITION BY rank ORDER BY md5('{seed}:' || rank || ':' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS extra FROM e),
+  e AS (SELECT *, least(width, source_size - block * width) AS long, arg_min(block, {{'a': md5('{seed}:' || rank || ':' || block), 'b': block}}) OVER (PARTITION BY rank) AS first FROM k),
+  x AS (SELECT rank, block, width, passes, greatest(0, least(long, rest - coalesce(sum(long) OVER (PARTITION BY rank ORDER BY block < first, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS extra FROM e),
   y AS (SELECT *, coalesce(sum(extra) OVER (PARTITION BY rank ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x),
   a AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.rank,
       (coalesce(sum(size) OVER (PARTITION BY t.rank ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
