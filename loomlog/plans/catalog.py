@@ -1,6 +1,601 @@
-"""The registered queries and their DuckDB SQL."""
+"""The registered queries over the log and their DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from loomlog import schema
+from loomlog.functions import json, urn
+from loomlog.operators import commands, compaction, filters, folds, merged
+from loomlog.operators.scan import heads, scan, stream_at
+from loomlog.plans import projections
+from loomlog.streaming import feed, policies, status, windows
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+PLUS, MINUS, CHECKPOINT = "click", "purchase", "view"  # read as deposits, withdrawals and monthly closings
+CUT = datetime(2024, 1, 15)
+
+LOG = """log AS (SELECT 'User-' || (event_id + 1) AS id, 'urn:user:' || user_id AS stream_id, 'User' AS stream_type, event_type AS type,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS version, event_id + 1 AS global_position, ts AS created, props AS metadata, value, CAST(value AS DECIMAL(18,2)) AS amount FROM events)"""
+ORDER_LOG = """orders_log AS (SELECT 'urn:order:' || o_orderkey AS stream_id, 'Order' AS stream_type, 'OrderPlaced' AS type, o_orderkey + 1 AS global_position FROM orders)"""
+#: The log after all streams were compacted to their tails: archive 1, and copies as live rows.
+COMPACTED = (
+    LOG
+    + """, ck AS (SELECT stream_id, max(version) FILTER (type = 'view') AS cp FROM log GROUP BY stream_id),
+  tail AS (SELECT log.* FROM log JOIN ck USING (stream_id) WHERE version >= coalesce(cp, 0)),
+  compacted AS (SELECT stream_id, type, version, global_position, 1 AS aggregate_version, false AS compacted_snapshot, amount FROM log
+    UNION ALL SELECT stream_id, type, row_number() OVER (PARTITION BY stream_id ORDER BY version), (SELECT max(global_position) FROM log) + global_position, NULL, true, amount FROM tail)"""
+)
+SIGNED = "CASE type WHEN 'click' THEN amount WHEN 'purchase' THEN -amount END"
+ROW = ("stream_id", "version", "global_position", "type")
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema.log_from_events(_table(spark, sf_dir, "events"))
+
+
+def _amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with `value` beside it, which other queries read from the payload."""
+    return _log(spark, sf_dir).withColumn("value", _value())
+
+
+def _value():
+    """The payload's value, whatever the variant."""
+    return F.regexp_extract("data", r'"value":([-+0-9.eE]+)', 1).cast("double")
+
+
+def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _amounts(spark, sf_dir)
+    return compaction.compact(log, compaction.tail_after_checkpoint(log, F.col("type") == CHECKPOINT))
+
+
+# --- filters
+
+
+@query(f"WITH {LOG} SELECT stream_id, version, global_position, type FROM log")
+def filter_all(spark, sf_dir):
+    return scan(_log(spark, sf_dir), filters.everything()).select(*ROW)
+
+
+@query(f"WITH {LOG} SELECT stream_id, version, global_position, type FROM log WHERE stream_id = 'urn:user:7'")
+def filter_stream_id(spark, sf_dir):
+    return scan(_log(spark, sf_dir), filters.with_stream_id("urn:user:7")).select(*ROW)
+
+
+@query(f"WITH {LOG}, {ORDER_LOG}, both_ AS (SELECT stream_id, stream_type, type, global_position FROM log UNION ALL SELECT * FROM orders_log) SELECT stream_id, global_position, type FROM both_ WHERE stream_type IN ('Order', 'Account')")
+def filter_stream_types(spark, sf_dir):
+    both = _log(spark, sf_dir).unionByName(schema.log_from_orders(_table(spark, sf_dir, "orders")))
+    return scan(both, filters.for_stream_types(["Order", "Account"])).select("stream_id", "global_position", "type")
+
+
+@query(f"WITH {LOG}, {ORDER_LOG}, both_ AS (SELECT stream_id, stream_type, type, global_position FROM log UNION ALL SELECT * FROM orders_log) SELECT type, count(*) AS events FROM both_ WHERE stream_type = 'User' GROUP BY type")
+def filter_stream_types_join(spark, sf_dir):
+    both = _log(spark, sf_dir).unionByName(schema.log_from_orders(_table(spark, sf_dir, "orders")))
+    return filters.of_stream_types(both, heads(both), ["User"]).groupBy("type").agg(F.count("*").alias("events"))
+
+
+@query(f"WITH {LOG} SELECT stream_id, version, global_position, type FROM log WHERE version > 50")
+def filter_after_version(spark, sf_dir):
+    return scan(_log(spark, sf_dir), filters.after_version(50)).select(*ROW)
+
+
+@query(f"WITH {LOG} SELECT stream_id, version, global_position, type FROM log WHERE version <= 10")
+def filter_up_to_version(spark, sf_dir):
+    return scan(_log(spark, sf_dir), filters.up_to_version(10)).select(*ROW)
+
+
+@query(f"WITH {LOG} SELECT stream_id, version, global_position, type FROM log WHERE version > 5 AND version <= 15")
+def filter_version_range(spark, sf_dir):
+    return scan(_log(spark, sf_dir), filters.after_version(5) & filters.up_to_version(15)).select(*ROW)
+
+
+@query(f"WITH {LOG} SELECT stream_id, version, global_position, type FROM log WHERE created > TIMESTAMP '2024-01-15'")
+def filter_created_after(spark, sf_dir):
+    return scan(_log(spark, sf_dir), filters.created_after(CUT)).select(*ROW)
+
+
+@query(f"WITH {LOG} SELECT stream_id, version, global_position, type FROM log WHERE created <= TIMESTAMP '2024-01-15'")
+def filter_created_before(spark, sf_dir):
+    return scan(_log(spark, sf_dir), filters.created_before(CUT)).select(*ROW)
+
+
+@query(f"WITH {LOG} SELECT stream_id, version, global_position, type FROM log WHERE (metadata->>'$.k')::INT IN (5, 6)")
+def filter_metadata_contains(spark, sf_dir):
+    return scan(_log(spark, sf_dir), filters.with_metadata({"k": 5}) | filters.with_metadata({"k": 6})).select(*ROW)
+
+
+@query(f"WITH {LOG} SELECT stream_id, version, global_position, type FROM log WHERE (metadata->>'$.k')::INT = 7")
+def filter_metadata_equals(spark, sf_dir):
+    return scan(_log(spark, sf_dir), filters.with_metadata_equal({"k": 7})).select(*ROW)
+
+
+@query(f"WITH {LOG} SELECT stream_id, version, global_position, type FROM log WHERE (metadata->>'$.k')::INT = 9")
+def filter_metadata_matches(spark, sf_dir):
+    return scan(_log(spark, sf_dir), json.matches(F.col("metadata"), {"k": 9})).select(*ROW)
+
+
+@query(f"WITH {LOG} SELECT stream_id, version, global_position, type FROM log WHERE (version > 20 OR stream_id = 'urn:user:3') AND NOT created <= TIMESTAMP '2024-01-15'")
+def filter_and_or_not(spark, sf_dir):
+    where = (filters.after_version(20) | filters.with_stream_id("urn:user:3")) & ~filters.created_before(CUT)
+    return scan(_log(spark, sf_dir), where).select(*ROW)
+
+
+@query(f"WITH {COMPACTED} SELECT stream_id, version, global_position, type FROM compacted WHERE aggregate_version IS DISTINCT FROM 1")
+def filter_not_null_safe(spark, sf_dir):
+    return scan(_compacted(spark, sf_dir), ~filters.with_aggregate_version(1)).select(*ROW)
+
+
+@query(f"WITH {COMPACTED} SELECT stream_id, version, global_position, type FROM compacted WHERE aggregate_version IS NULL")
+def filter_aggregate_version_live(spark, sf_dir):
+    return scan(_compacted(spark, sf_dir), filters.with_aggregate_version(None)).select(*ROW)
+
+
+@query(f"WITH {COMPACTED} SELECT stream_id, version, global_position, type FROM compacted WHERE aggregate_version = 1")
+def filter_aggregate_version_archived(spark, sf_dir):
+    return scan(_compacted(spark, sf_dir), filters.with_aggregate_version(1)).select(*ROW)
+
+
+@query(f"WITH {COMPACTED} SELECT lens, sum(amount)::DOUBLE AS clicks, count(*) AS events FROM (SELECT *, 'raw' AS lens FROM compacted UNION ALL SELECT *, 'live' FROM compacted WHERE aggregate_version IS NULL UNION ALL SELECT *, 'true_log' FROM compacted WHERE NOT compacted_snapshot) WHERE type = 'click' GROUP BY lens")
+def lens_totals(spark, sf_dir):
+    log = _compacted(spark, sf_dir).where(F.col("type") == PLUS)
+    parts = [scan(log, lens=x).agg(F.lit(x).alias("lens"), F.sum(folds.money(F.col("value"))).cast("double").alias("clicks"), F.count("*").alias("events")) for x in ("raw", "live", "true_log")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+# --- time travel and folds
+
+
+@query(f"WITH {LOG} SELECT stream_id, coalesce(sum({SIGNED}), 0)::DOUBLE AS balance FROM log WHERE version <= 20 GROUP BY stream_id")
+def time_travel_version(spark, sf_dir):
+    log = stream_at(_amounts(spark, sf_dir), at_version=20)
+    return folds.additive(log, ["stream_id"], folds.signed(F.col("value"), PLUS, MINUS), "balance")
+
+
+@query(f"WITH {LOG} SELECT stream_id, coalesce(sum({SIGNED}), 0)::DOUBLE AS balance FROM log WHERE created <= TIMESTAMP '2024-01-15' GROUP BY stream_id")
+def time_travel_timestamp(spark, sf_dir):
+    log = stream_at(_amounts(spark, sf_dir), at_time=CUT)
+    return folds.additive(log, ["stream_id"], folds.signed(F.col("value"), PLUS, MINUS), "balance")
+
+
+@query(f"WITH {LOG} SELECT stream_id, coalesce(sum({SIGNED}), 0)::DOUBLE AS balance FROM log GROUP BY stream_id")
+def account_balance(spark, sf_dir):
+    return folds.additive(_amounts(spark, sf_dir), ["stream_id"], folds.signed(F.col("value"), PLUS, MINUS), "balance")
+
+
+@query(f"WITH {LOG} SELECT stream_id, count(*) AS transactions, sum({SIGNED})::DOUBLE AS change FROM log WHERE type IN ('click', 'purchase') AND created::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-06' GROUP BY stream_id")
+def account_statement(spark, sf_dir):
+    day = F.to_date("created")
+    own = _amounts(spark, sf_dir).where(F.col("type").isin(PLUS, MINUS) & day.between(F.lit("2024-01-05").cast("date"), F.lit("2024-01-06").cast("date")))
+    return own.groupBy("stream_id").agg(F.count("*").alias("transactions"), F.sum(folds.signed(F.col("value"), PLUS, MINUS)).cast("double").alias("change"))
+
+
+@query(f"WITH {LOG} SELECT stream_id, arg_max(type, version) AS last_type, max(version) AS version FROM log GROUP BY stream_id")
+def last_event_state(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    return log.groupBy("stream_id").agg(F.max_by("type", "version").alias("last_type"), F.max("version").alias("version"))
+
+
+@query(f"""WITH {LOG}, k AS (SELECT *, max(CASE WHEN type = 'view' THEN version END) OVER (PARTITION BY stream_id) AS cp FROM log)
+SELECT stream_id, (coalesce(max(CASE WHEN version = cp THEN amount END), 0) + coalesce(sum(CASE WHEN version > coalesce(cp, 0) THEN {SIGNED} END), 0))::DOUBLE AS balance, coalesce(max(cp), 0) AS checkpoint_version FROM k GROUP BY stream_id""")
+def checkpoint_balance(spark, sf_dir):
+    value = F.col("value")
+    return folds.checkpointed(_amounts(spark, sf_dir), F.col("type") == CHECKPOINT, folds.money(value), folds.signed(value, PLUS, MINUS), "balance")
+
+
+@query(f"WITH {LOG} SELECT stream_id, count(DISTINCT metadata->>'$.k') AS causes FROM log GROUP BY stream_id")
+def distinct_causes(spark, sf_dir):
+    return folds.set_of(_log(spark, sf_dir), ["stream_id"], F.get_json_object("metadata", "$.k"), "causes")
+
+
+@query(f"WITH {LOG} SELECT stream_id, string_agg(type, '>' ORDER BY version) AS history FROM log GROUP BY stream_id")
+def event_history(spark, sf_dir):
+    return folds.history(_log(spark, sf_dir), ["stream_id"], F.col("type"), ["version"], "types").select("stream_id", F.array_join("types", ">").alias("history"))
+
+
+@query(f"WITH {LOG} SELECT stream_id, type, count(*) AS events FROM log GROUP BY stream_id, type")
+def stream_counts(spark, sf_dir):
+    return _log(spark, sf_dir).groupBy("stream_id", "type").agg(F.count("*").alias("events"))
+
+
+@query(f"WITH {COMPACTED} SELECT stream_id AS id, 'User' AS type, coalesce(max(version) FILTER (aggregate_version IS NULL), 0)::BIGINT AS version FROM compacted GROUP BY stream_id")
+def streams_heads(spark, sf_dir):
+    return heads(_compacted(spark, sf_dir))
+
+
+@query(f"WITH {LOG} SELECT stream_id, version, (sum(coalesce({SIGNED}, 0)) OVER (PARTITION BY stream_id ORDER BY version))::DOUBLE AS balance FROM log")
+def running_balance(spark, sf_dir):
+    out = folds.running(_amounts(spark, sf_dir), folds.signed(F.col("value"), PLUS, MINUS), "balance", 64)
+    return out.select("stream_id", "version", F.col("balance").cast("double").alias("balance"))
+
+
+GUARDED = f"""WITH RECURSIVE {LOG}, m AS (SELECT stream_id, type, amount, row_number() OVER (PARTITION BY stream_id ORDER BY version) AS n FROM log WHERE type IN ('click', 'purchase')),
+  g AS (SELECT stream_id, n, CASE type WHEN 'click' THEN amount ELSE 0 END::DECIMAL(18,2) AS balance, CASE type WHEN 'purchase' THEN 1 ELSE 0 END AS rejected FROM m WHERE n = 1
+    UNION ALL SELECT m.stream_id, m.n, (CASE WHEN type = 'click' THEN balance + amount WHEN balance >= amount THEN balance - amount ELSE balance END)::DECIMAL(18,2), rejected + CASE WHEN type = 'purchase' AND balance < amount THEN 1 ELSE 0 END FROM g JOIN m ON m.stream_id = g.stream_id AND m.n = g.n + 1)
+SELECT stream_id, arg_max(balance, n)::DOUBLE AS balance, arg_max(rejected, n)::BIGINT AS rejected FROM g GROUP BY stream_id"""
+
+
+@query(GUARDED)
+def guarded_withdrawals(spark, sf_dir):
+    own = _amounts(spark, sf_dir).where(F.col("type").isin(PLUS, MINUS))
+    out = folds.guarded(own, folds.withdraw_if_covered(PLUS, MINUS), F.round(F.col("value") * 100))
+    return out.groupBy("stream_id").agg((F.max_by("state", "version") / 100).alias("balance"), F.sum(F.when(F.col("accepted"), 0).otherwise(1)).alias("rejected"))
+
+
+@query(GUARDED)
+def guarded_withdrawals_by_array(spark, sf_dir):
+    return folds.guarded_by_array(_amounts(spark, sf_dir), F.col("value"), PLUS, MINUS)
+
+
+@query("""WITH opened AS (SELECT o_orderkey, o_custkey FROM orders), moved AS (SELECT l_orderkey, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount FROM lineitem)
+SELECT 'urn:customer:' || o_custkey AS owner, sum(amount)::DOUBLE AS total, count(*) AS movements FROM moved JOIN opened ON l_orderkey = o_orderkey GROUP BY o_custkey""")
+def global_position(spark, sf_dir):
+    opened = schema.log_from_orders(_table(spark, sf_dir, "orders")).select("stream_id", merged.payload(F.col("data"), "OrderPlaced", "owner", "string").alias("owner"), F.lit(0).cast("bigint").alias("opened_at"))
+    lines = schema.log_from_lineitem(_table(spark, sf_dir, "lineitem"))
+    own = projections.owner_totals(lines.withColumn("price", merged.payload(F.col("data"), "LineAdded", "price", "double")), opened, F.col("price"))
+    return own.select("owner", F.col("total").cast("double").alias("total"), "movements")
+
+
+@query(f"""WITH {LOG}, opened AS (SELECT stream_id, min(global_position) AS opened_at FROM log WHERE type = 'signup' GROUP BY stream_id)
+SELECT (CAST(split_part(log.stream_id, ':', 3) AS BIGINT) % 20) AS owner, sum(amount)::DOUBLE AS total, count(*) AS movements FROM log JOIN opened USING (stream_id) WHERE type = 'click' AND global_position > opened_at GROUP BY 1""")
+def owned_movements(spark, sf_dir):
+    log = _amounts(spark, sf_dir)
+    opened = log.where(F.col("type") == "signup").groupBy("stream_id").agg(F.min("global_position").alias("opened_at")).withColumn("owner", urn.id_of(F.col("stream_id")).cast("bigint") % 20)
+    own = projections.owner_totals(log.where(F.col("type") == PLUS), opened, F.col("value"))
+    return own.select("owner", F.col("total").cast("double").alias("total"), "movements")
+
+
+# --- merged families and decoding
+
+ACCOUNT = merged.Family("account", {PLUS: {"value": "double"}, MINUS: {"value": "double"}})
+VISIT = merged.Family("visit", {CHECKPOINT: {"value": "double"}, "signup": {"value": "double"}})
+ORDER = merged.Family("order", {"OrderPlaced": {"total": "double", "owner": "string"}})
+
+
+@query(f"""WITH {LOG} SELECT 'account' AS event_family, stream_id, type, global_position FROM log WHERE type IN ('click', 'purchase')
+UNION ALL SELECT 'visit', stream_id, type, global_position FROM log WHERE type IN ('view', 'signup')
+UNION ALL SELECT 'order', 'urn:order:' || o_orderkey, 'OrderPlaced', o_orderkey + 1 FROM orders""")
+def merged_activity_log(spark, sf_dir):
+    both = _log(spark, sf_dir).unionByName(schema.log_from_orders(_table(spark, sf_dir, "orders")))
+    return merged.decoded(both, [ACCOUNT, VISIT, ORDER]).select("event_family", "stream_id", merged.variant_of(F.col("data")).alias("type"), "global_position")
+
+
+@query(f"""WITH {LOG} SELECT CASE WHEN type IN ('click', 'purchase') THEN 'account' WHEN type IN ('view', 'signup') THEN 'visit' END AS event_family, count(*) AS events FROM log GROUP BY 1""")
+def merged_family_counts(spark, sf_dir):
+    return _log(spark, sf_dir).groupBy(merged.family_of(F.col("data"), [ACCOUNT, VISIT]).alias("event_family")).agg(F.count("*").alias("events"))
+
+
+@query(f"WITH {LOG} SELECT type, count(*) AS events, sum(amount)::DOUBLE AS total FROM log WHERE type IN ('click', 'purchase') GROUP BY type")
+def decode_or_skip(spark, sf_dir):
+    own = merged.decoded(_amounts(spark, sf_dir), [ACCOUNT])
+    return own.groupBy("type").agg(F.count("*").alias("events"), F.sum(folds.money(F.col("value"))).cast("double").alias("total"))
+
+
+@query(f"""WITH {LOG}, bad AS (SELECT min(global_position) AS stop FROM log WHERE type = 'error' AND version > 10)
+SELECT stream_id, version, type FROM log, bad WHERE global_position < stop AND NOT (type = 'error' AND version > 10)""")
+def decode_truncate(spark, sf_dir):
+    log = _log(spark, sf_dir).withColumn("data", F.when((F.col("type") == "error") & (F.col("version") > 10), '{"error":{"value":"broken"}}').otherwise(F.col("data")))
+    every = merged.Family("any", {x: {"value": "double"} for x in (PLUS, MINUS, CHECKPOINT, "signup", "error")})
+    return merged.decoded(log, [every], "truncate").select("stream_id", "version", "type")
+
+
+# --- compaction
+
+
+@query(f"WITH {COMPACTED} SELECT stream_id, version, type, amount::DOUBLE AS amount FROM compacted WHERE aggregate_version IS NULL")
+def compact_live_tail(spark, sf_dir):
+    return compaction.live(_compacted(spark, sf_dir)).select("stream_id", "version", "type", F.col("value").alias("amount"))
+
+
+@query(f"WITH {COMPACTED} SELECT stream_id, version, type, aggregate_version FROM compacted WHERE aggregate_version = 1")
+def compact_archived(spark, sf_dir):
+    return stream_at(_compacted(spark, sf_dir), aggregate_version=1).select("stream_id", "version", "type", "aggregate_version")
+
+
+@query(f"WITH {COMPACTED} SELECT stream_id, version, type, global_position, coalesce(aggregate_version, 0) AS archive, compacted_snapshot FROM compacted")
+def compact_full_log(spark, sf_dir):
+    return _compacted(spark, sf_dir).select("stream_id", "version", "type", "global_position", F.coalesce("aggregate_version", F.lit(0)).alias("archive"), "compacted_snapshot")
+
+
+@query(f"WITH {LOG} SELECT stream_id, CASE WHEN count(*) = 1 AND max(type) = 'view' THEN 'already_compacted' ELSE 'rewrite' END AS outcome, sum(amount)::DOUBLE AS total FROM log GROUP BY stream_id")
+def compact_fold_to_one(spark, sf_dir):
+    own = compaction.to_snapshot(_amounts(spark, sf_dir), F.sum(folds.money(F.col("value"))).cast("double"), CHECKPOINT)
+    return own.select("stream_id", "outcome", merged.payload(F.col("data"), CHECKPOINT, "total", "double").alias("total"))
+
+
+@query(f"WITH {LOG} SELECT 0::BIGINT AS mismatches, count(DISTINCT stream_id) AS streams FROM log")
+def compact_state_invariant(spark, sf_dir):
+    value, log = F.col("value"), _amounts(spark, sf_dir)
+    fold = lambda x, name: folds.checkpointed(x, F.col("type") == CHECKPOINT, folds.money(value), folds.signed(value, PLUS, MINUS), name).select("stream_id", name)
+    both = fold(log, "before").join(fold(compaction.live(_compacted(spark, sf_dir)), "after"), "stream_id", "full")
+    return both.agg(F.sum(F.when(F.col("before").eqNullSafe(F.col("after")), 0).otherwise(1)).alias("mismatches"), F.count("*").alias("streams"))
+
+
+@query(f"""WITH {LOG}, h AS (SELECT stream_id AS id, max(version) AS version, max(version) FILTER (type = 'view') AS mark FROM log GROUP BY stream_id)
+SELECT id, version > coalesce(mark, 0) AS needs_compaction FROM h""")
+def needs_compaction(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    marks = log.groupBy(F.col("stream_id").alias("__id")).agg(F.max(F.when(F.col("type") == CHECKPOINT, F.col("version"))).alias("last_compacted_version"))
+    own = heads(log)
+    return compaction.needs_compaction(own.join(marks, own["id"] == marks["__id"], "left"))
+
+
+@query(f"WITH {COMPACTED}, ck2 AS (SELECT stream_id, count(*) AS n FROM tail GROUP BY stream_id), b AS (SELECT stream_id, count(*) AS n, max(version) AS head FROM log GROUP BY stream_id) SELECT b.stream_id, CASE WHEN ck2.n = b.n THEN 'skipped' ELSE 'compacted' END AS outcome, CASE WHEN ck2.n <> b.n THEN 1 END AS archive, CASE WHEN ck2.n = b.n THEN head ELSE ck2.n END AS watermark FROM b JOIN ck2 USING (stream_id)")
+def compact_outcomes(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    return compaction.outcomes(log, compaction.tail_after_checkpoint(log, F.col("type") == CHECKPOINT))
+
+
+@query(f"WITH {COMPACTED} SELECT stream_id, (coalesce(max(aggregate_version), 0) + 1)::INT AS archive FROM compacted GROUP BY stream_id")
+def next_archive_version(spark, sf_dir):
+    return compaction.next_archive(_compacted(spark, sf_dir))
+
+
+@query(f"WITH {LOG} SELECT stream_id, count(*) AS violations FROM log WHERE false GROUP BY stream_id")
+def log_invariants(spark, sf_dir):
+    return schema.assert_log_invariants(_compacted(spark, sf_dir)).groupBy("stream_id").agg(F.count("*").alias("violations"))
+
+
+# --- feed and policies
+
+
+@query(f"WITH {LOG}, n AS (SELECT global_position AS p, row_number() OVER (ORDER BY global_position) AS r FROM log) SELECT coalesce(max(p), 0)::BIGINT AS mark FROM n WHERE p = r")
+def hwm_contiguous(spark, sf_dir):
+    return feed.contiguous_mark(_log(spark, sf_dir), 1024)
+
+
+@query(f"WITH {LOG}, g AS (SELECT * FROM log WHERE global_position % 701 <> 0), n AS (SELECT global_position AS p, row_number() OVER (ORDER BY global_position) AS r FROM g) SELECT coalesce(max(p), 0)::BIGINT AS mark FROM n WHERE p = r")
+def hwm_with_gap(spark, sf_dir):
+    return feed.contiguous_mark(_log(spark, sf_dir).where("global_position % 701 <> 0"), 256)
+
+
+@query(f"WITH {LOG} SELECT global_position, stream_id, type FROM log WHERE global_position > 500 AND type = 'click' ORDER BY global_position LIMIT 100")
+def policy_feed_batch(spark, sf_dir):
+    return feed.batch(_log(spark, sf_dir), 500, 100, F.col("type") == PLUS).select("global_position", "stream_id", "type")
+
+
+@query(f"WITH {COMPACTED} SELECT type, count(*) AS events, count(*) FILTER (compacted_snapshot) AS copies FROM compacted WHERE NOT compacted_snapshot GROUP BY type")
+def policy_feed_skips_synthetic(spark, sf_dir):
+    own = scan(_compacted(spark, sf_dir), lens="true_log")
+    return own.groupBy("type").agg(F.count("*").alias("events"), F.sum(F.col("compacted_snapshot").cast("bigint")).alias("copies"))
+
+
+def _fee(rows: DataFrame) -> DataFrame:
+    """A fee of 1 for each deposit, and a notice too if it is above 100."""
+    each = F.when(F.col("value") > 100, F.array(F.lit("Fee"), F.lit("Notice"))).otherwise(F.array(F.lit("Fee")))
+    own = rows.where(F.col("type") == PLUS).withColumn("target", F.explode(each))
+    return own.withColumn("to_stream", F.concat(F.lit("urn:fee:"), urn.id_of(F.col("stream_id")))).withColumn("command", F.lit('{"Charge":{"amount":1}}'))
+
+
+FEE = policies.Policy("fee", _fee, start_at="beginning")
+
+
+@query(f"""WITH {LOG}, r AS (SELECT *, unnest(CASE WHEN value > 100 THEN ['Fee', 'Notice'] ELSE ['Fee'] END) AS target FROM log WHERE type = 'click')
+SELECT 'fee' AS policy, global_position, target, 'urn:fee:' || split_part(stream_id, ':', 3) AS to_stream, 1::BIGINT AS depth FROM r""")
+def policy_react_dispatch(spark, sf_dir):
+    asked = policies.dispatches(_amounts(spark, sf_dir), FEE)
+    return asked.select("policy", "global_position", "target", "to_stream", json.causation_depth(F.col("metadata")).alias("depth"))
+
+
+def _caused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with a cause for every event but each tenth: the one before it, one level deeper; every 17th lacks a field of it."""
+    log = _log(spark, sf_dir)
+    k = (F.col("global_position") % 10).cast("bigint")
+    before = F.concat(F.lit("User-"), (F.col("global_position") - 1).cast("string"))
+    block = F.struct(F.struct(F.lit("chain").alias("policy"), before.alias("event_id"), F.col("stream_id").alias("stream_id"), F.when(F.col("global_position") % 17 != 0, F.col("global_position") - 1).alias("global_position"), k.alias("depth")).alias("causation"))
+    return log.withColumn("metadata", F.when(k == 0, F.lit("null")).otherwise(F.to_json(block)))
+
+
+DEPTH = "CASE WHEN global_position % 17 = 0 THEN 0 ELSE global_position % 10 END"
+
+
+@query(f"WITH {LOG} SELECT global_position, ({DEPTH})::BIGINT AS depth FROM log")
+def causation_depth(spark, sf_dir):
+    return _caused(spark, sf_dir).select("global_position", json.causation_depth(F.col("metadata")).alias("depth"))
+
+
+@query(f"WITH {LOG} SELECT global_position, ({DEPTH})::BIGINT AS depth FROM log WHERE {DEPTH} >= 8")
+def causation_breaker(spark, sf_dir):
+    return policies.broken(_caused(spark, sf_dir), 8).select("global_position", "depth")
+
+
+@query(f"WITH {LOG} SELECT id AS event_id, 'User-' || (global_position - global_position % 10) AS root, (global_position % 10)::INT AS steps FROM log WHERE global_position >= 10")
+def causation_lineage(spark, sf_dir):
+    return policies.lineage(_caused(spark, sf_dir).where("global_position >= 10")).select("event_id", "root", F.col("steps").cast("int").alias("steps"))
+
+
+@query(f"WITH {LOG} SELECT global_position, global_position % 3 = 0 AS collides, CASE WHEN global_position % 3 <> 0 THEN (metadata->>'$.k')::BIGINT END AS k, CASE WHEN global_position % 3 <> 0 THEN global_position END AS n FROM log")
+def metadata_merge_collision(spark, sf_dir):
+    key = F.when(F.col("global_position") % 3 == 0, "k").otherwise("n")
+    other = F.to_json(F.create_map(key, F.col("global_position")))
+    own = _log(spark, sf_dir).select("global_position", json.merge_collides(F.col("metadata"), other).alias("collides"), json.merge(F.col("metadata"), other).alias("m"))
+    return own.select("global_position", "collides", F.get_json_object("m", "$.k").cast("bigint").alias("k"), F.get_json_object("m", "$.n").cast("bigint").alias("n"))
+
+
+@query(f"WITH {LOG} SELECT stream_id, metadata AS cause, min(global_position) AS global_position FROM log WHERE type = 'click' GROUP BY stream_id, metadata")
+def idempotent_reaction(spark, sf_dir):
+    own = _log(spark, sf_dir).where(F.col("type") == PLUS).withColumn("cause", F.concat_ws("/", "stream_id", "metadata"))
+    return commands.first_of_cause(own, "cause", "global_position").select("stream_id", F.col("metadata").alias("cause"), "global_position")
+
+
+LETTERS = "letters AS (SELECT event_id AS id, 'policy-' || (user_id % 12) AS policy_name, event_id + 1 AS global_position, 'User-' || (event_id + 1) AS event_id_, ts AS created_at FROM events WHERE event_type = 'error' AND user_id % 12 < 5)"
+CURSORS = "cursors AS (SELECT 'policy-' || (user_id % 12) AS name, max(event_id + 1) - (min(user_id) % 12) * 3 AS position FROM events WHERE user_id % 12 < 9 GROUP BY 1)"
+
+
+def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events").where("event_type = 'error' and user_id % 12 < 5")
+    return events.select(F.col("event_id").alias("id"), F.concat(F.lit("policy-"), (F.col("user_id") % 12).cast("string")).alias("policy_name"), (F.col("event_id") + 1).alias("global_position"), F.concat(F.lit("User-"), (F.col("event_id") + 1).cast("string")).alias("event_id"), F.lit("Invalid Input").alias("error_kind"), F.col("props").alias("error_message"), F.col("ts").cast("timestamp").alias("created_at"))
+
+
+def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events")
+    name = F.concat(F.lit("policy-"), (F.col("user_id") % 12).cast("string"))
+    cursors = events.where("user_id % 12 < 9").groupBy(name.alias("name")).agg((F.max(F.col("event_id") + 1) - (F.min("user_id") % 12) * 3).alias("position"))
+    return status.status(_log(spark, sf_dir), cursors, _letters(spark, sf_dir))
+
+
+STATUS = f"""WITH {LETTERS}, {CURSORS}, s AS (SELECT name, position, (SELECT max(event_id) + 1 FROM events) AS head, (SELECT count(*) FROM letters WHERE policy_name = name) AS dead_letters FROM cursors)"""
+
+
+@query(STATUS + " SELECT name, position, head, greatest(head - position, 0) AS lag, dead_letters FROM s")
+def policy_status(spark, sf_dir):
+    return _status(spark, sf_dir).select("name", "position", "head", "lag", "dead_letters")
+
+
+@query(STATUS + " SELECT name, CASE WHEN dead_letters > 0 THEN 'Degraded' WHEN head > position THEN 'Working' ELSE 'CaughtUp' END AS condition FROM s")
+def policy_condition(spark, sf_dir):
+    return _status(spark, sf_dir).select("name", "condition")
+
+
+@query(f"WITH {LETTERS} SELECT policy_name, id, row_number() OVER (PARTITION BY policy_name ORDER BY global_position, created_at, id)::INT AS turn FROM letters")
+def dead_letter_retry_order(spark, sf_dir):
+    turn = F.row_number().over(W.partitionBy("policy_name").orderBy("global_position", "created_at", "id"))
+    return policies.retry_order(_letters(spark, sf_dir)).select("policy_name", "id", turn.alias("turn"))
+
+
+@query(f"WITH {LETTERS} SELECT id, policy_name, CASE WHEN id % 4 = 0 THEN 'retried' ELSE 'open' END AS state FROM letters")
+def dead_letter_archive_move(spark, sf_dir):
+    letters = _letters(spark, sf_dir)
+    left, moved = policies.archive_move(letters, letters.where("id % 4 = 0"), "retried")
+    return left.select("id", "policy_name", F.lit("open").alias("state")).union(moved.select("dead_letter_id", "policy_name", "reason"))
+
+
+@query(f"WITH {LOG} SELECT id AS event_id, global_position, 'no executor for Notice' AS error_message FROM log WHERE type = 'click' AND value > 100")
+def dead_letters_unserved(spark, sf_dir):
+    return policies.unserved(policies.dispatches(_amounts(spark, sf_dir), FEE), ["Fee"]).select("event_id", "global_position", "error_message")
+
+
+@query(f"WITH {LOG}, b AS (SELECT * FROM log WHERE global_position > 200 AND type = 'click' ORDER BY global_position LIMIT 100) SELECT global_position, stream_id FROM b")
+def policy_drain(spark, sf_dir):
+    policy = policies.Policy("fee", _fee, F.col("type") == PLUS, "beginning")
+    asked, _, _ = policies.drain(_amounts(spark, sf_dir), policy, 200, ["Fee"])
+    return asked.select("global_position", F.regexp_replace("to_stream", "^urn:fee:", "urn:user:").alias("stream_id"))
+
+
+# --- projections
+
+
+@query(f"WITH {LOG} SELECT stream_id, sum({SIGNED})::DOUBLE AS balance, true AS same FROM log WHERE type IN ('click', 'purchase') GROUP BY stream_id")
+def projection_account_balances(spark, sf_dir):
+    view, log = projections.balances(PLUS, MINUS, F.col("value")), _amounts(spark, sf_dir)
+    first, second = log.where("global_position <= 5000"), log.where("global_position > 5000")
+    kept, built = view.apply(view.rebuild(first), second), view.rebuild(log)
+    met = kept.join(built.select(F.col("stream_id").alias("__id"), F.col("balance").alias("__balance")), F.col("stream_id") == F.col("__id"), "full")
+    return met.select("stream_id", F.col("balance").cast("double").alias("balance"), (F.col("balance") == F.col("__balance")).alias("same"))
+
+
+@query("SELECT o_custkey AS owner, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS total, count(*) AS orders FROM orders GROUP BY 1")
+def projection_global_position(spark, sf_dir):
+    log = schema.log_from_orders(_table(spark, sf_dir, "orders"))
+
+    def partial(rows: DataFrame) -> DataFrame:
+        owner = urn.id_of(merged.payload(F.col("data"), "OrderPlaced", "owner", "string")).cast("bigint")
+        return rows.select(owner.alias("owner"), folds.money(merged.payload(F.col("data"), "OrderPlaced", "total", "double")).alias("total"), F.lit(1).cast("bigint").alias("orders"))
+
+    view = projections.Projection("global_position", 1, filters.for_stream_types(["Order"]), partial, lambda rows: rows.groupBy("owner").agg(F.sum("total").alias("total"), F.sum("orders").alias("orders")))
+    half = F.col("global_position") % 2 == 0
+    kept = view.apply(view.rebuild(log.where(half)), log.where(~half))
+    return kept.select("owner", F.col("total").cast("double").alias("total"), "orders")
+
+
+@query("""SELECT c_name AS name, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 4 END AS stored, 2::INT AS version,
+  CASE c_custkey % 4 WHEN 0 THEN 'init' WHEN 1 THEN 'rebuild' WHEN 2 THEN 'keep' ELSE 'invalid' END AS action FROM customer""")
+def projection_version_plan(spark, sf_dir):
+    customers = _table(spark, sf_dir, "customer")
+    registered = customers.where("c_custkey % 4 <> 0").select(F.col("c_name").alias("name"), (F.col("c_custkey") % 4).alias("version"))
+    return projections.plan(registered, customers.select(F.col("c_name").alias("name"), F.lit(2).alias("version")))
+
+
+# --- names, conflicts, windows
+
+
+@query("""SELECT c_custkey, 'urn:customer:' || c_custkey AS plain, 'urn:customer:' || c_custkey AS nested, NULL::VARCHAR AS other FROM customer""")
+def urn_new(spark, sf_dir):
+    key = F.col("c_custkey").cast("string")
+    nested = F.concat(F.lit("urn:customer:urn:customer:urn:customer:"), key)
+    return _table(spark, sf_dir, "customer").select("c_custkey", urn.new(key, "customer").alias("plain"), urn.new(nested, "customer").alias("nested"), urn.new(F.concat(F.lit("urn:nation:"), key), "customer").alias("other"))
+
+
+@query(f"WITH {LOG} SELECT DISTINCT stream_id, 'user' AS namespace, split_part(stream_id, ':', 3) AS id, false AS is_customer FROM log")
+def urn_parts(spark, sf_dir):
+    s = F.col("stream_id")
+    return _log(spark, sf_dir).select(s).distinct().select(s, urn.namespace_of(s).alias("namespace"), urn.id_of(s).alias("id"), urn.parse(s, "customer").isNotNull().alias("is_customer"))
+
+
+@query("SELECT c_custkey, 'urn:customer:' || c_custkey || '@nation:' || c_nationkey AS scoped, NULL::VARCHAR AS twice FROM customer")
+def urn_scope_at(spark, sf_dir):
+    own, scope = F.concat(F.lit("urn:customer:"), F.col("c_custkey").cast("string")), F.concat(F.lit("urn:nation:"), F.col("c_nationkey").cast("string"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", urn.at(own, scope).alias("scoped"), urn.at(urn.at(own, scope), scope).alias("twice"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN 'urn:nation:' || c_nationkey END AS scope FROM customer")
+def urn_extract_scope(spark, sf_dir):
+    tail = F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("@nation:"), F.col("c_nationkey").cast("string"))).otherwise("@nation")
+    return _table(spark, sf_dir, "customer").select("c_custkey", urn.scope_of(F.concat(F.lit("urn:customer:"), F.col("c_custkey").cast("string"), tail)).alias("scope"))
+
+
+@query("""SELECT p_partkey, lower(split_part(p_type, ' ', 1)) || '-h-t-t-p-server' AS plain, lower(split_part(p_type, ' ', 1)) || '-http-server' AS aware FROM part""")
+def kebab_namespace(spark, sf_dir):
+    first = F.split("p_type", " ").getItem(0)
+    name = F.concat(F.initcap(F.lower(first)), F.lit("HTTPServer"))
+    return _table(spark, sf_dir, "part").select("p_partkey", urn.kebab(name, False).alias("plain"), urn.kebab(name, True).alias("aware"))
+
+
+@query(f"""WITH {LOG}, h AS (SELECT stream_id, max(version) AS head FROM log GROUP BY stream_id),
+  r AS (SELECT 'urn:user:' || c_custkey AS stream_id, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 97 END AS expected_version FROM customer)
+SELECT r.stream_id, expected_version, coalesce(head, 0) AS head, coalesce(expected_version <> coalesce(head, 0), false) AS conflict FROM r LEFT JOIN h USING (stream_id)""")
+def optimistic_conflicts(spark, sf_dir):
+    wanted = _table(spark, sf_dir, "customer").select(F.concat(F.lit("urn:user:"), F.col("c_custkey").cast("string")).alias("stream_id"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey") % 97).alias("expected_version"))
+    return commands.conflicts(wanted, heads(_log(spark, sf_dir)))
+
+
+@query(f"""WITH {LOG}, n AS (SELECT c_custkey, 'urn:user:' || (c_custkey % 200) AS stream_id FROM customer), h AS (SELECT stream_id, max(version) AS head FROM log GROUP BY stream_id)
+SELECT n.c_custkey, n.stream_id, row_number() OVER (PARTITION BY n.stream_id ORDER BY c_custkey) + coalesce(head, 0) AS version FROM n LEFT JOIN h USING (stream_id)""")
+def append_versions(spark, sf_dir):
+    new = _table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("urn:user:"), (F.col("c_custkey") % 200).cast("string")).alias("stream_id"))
+    return commands.versioned(new, heads(_log(spark, sf_dir)), "c_custkey", 512).select("c_custkey", "stream_id", "version")
+
+
+@query("SELECT conv_id, count(*) AS turns, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id")
+def conversation_streams(spark, sf_dir):
+    log = schema.log_from_conversations(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    own = log.groupBy("stream_id").agg(F.count("*").alias("turns"), F.max_by("type", "version").alias("last_role"))
+    return own.select(urn.id_of(F.col("stream_id")).cast("bigint").alias("conv_id"), "turns", "last_role")
+
+
+@query("SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS type, count(*) AS n FROM events GROUP BY 1, 2")
+def tumbling_counts(spark, sf_dir):
+    return windows.tumbling(_log(spark, sf_dir), "1 hour").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "type", "n")
+
+
+@query("""WITH s AS (SELECT time_bucket(INTERVAL '30 minutes', ts) - i * INTERVAL '30 minutes' AS start, event_type AS type FROM events, range(0, 2) r(i))
+SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, type, count(*) AS n FROM s GROUP BY 1, 2""")
+def sliding_counts(spark, sf_dir):
+    return windows.sliding(_log(spark, sf_dir), "1 hour", "30 minutes").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "type", "n")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '2 hours' THEN 0 ELSE 1 END AS new FROM events),
+  s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT 'urn:user:' || user_id AS stream_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def session_counts(spark, sf_dir):
+    return windows.sessions(_log(spark, sf_dir), "2 hours").select("stream_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
