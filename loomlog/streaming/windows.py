@@ -55,4 +55,4 @@ def balances(stream: DataFrame, plus: str, minus: str) -> DataFrame:
 
 def each_batch(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
     """Runs `apply` on every micro-batch until the available data is used up."""
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
