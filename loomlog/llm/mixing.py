@@ -136,7 +136,7 @@ def mix(docs: DataFrame, seed: int = SEED, blocks: int = BLOCKS, shards: int = S
     some = alike.where("mix_taken > 0").select(F.col("doc_id").alias("mix_id"), "mix_row", "mix_size", "mix_taken")
     own = docs.withColumn("__mix_row", F.xxhash64("text", "source"))
     met = own.join(some, own["doc_id"].eqNullSafe(some["mix_id"]) & (own["__mix_row"] == some["mix_row"]))
-    full, part = F.floor(F.col("mix_taken") / F.col("mix_size")), F.col("mix_taken") % F.col("mix_size")
+    full, part = F.floor(some["mix_taken"] / some["mix_size"]), some["mix_taken"] % some["mix_size"]
     times = met.withColumn("__mix_time", F.explode(F.sequence(F.lit(1).cast("long"), full + F.when(part > 0, 1).otherwise(0))))
     text = F.when(F.col("__mix_time") > full, first_words(docs["text"], part)).otherwise(docs["text"])
     out = times.withColumn("__mix_text", text)
