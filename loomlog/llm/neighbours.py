@@ -145,7 +145,7 @@ class Cell:
         return best
 
 
-FOUND = "q1 long, q2 long, vector array<double>, score double, vec_id long"
+FOUND = "q1 long, q2 long, score double, vec_id long"
 
 
 def _searched(points: pd.DataFrame, queries: pd.DataFrame, k: int, most: float, m: int, seed: int, sure: float) -> pd.DataFrame:
@@ -157,7 +157,7 @@ def _searched(points: pd.DataFrame, queries: pd.DataFrame, k: int, most: float,
         least = queries["least"].to_numpy() if "least" in queries else np.full(len(queries), np.nan)
         for i, (q1, q2) in enumerate(zip(queries["q1"], queries["q2"], strict=True)):
             for score, vec_id in cell.search(vectors[i], places[i], k, -math.inf if math.isnan(least[i]) else least[i], quantile):
-                for name, value in zip(out, (q1, q2, queries["vector"].iloc[i], score, vec_id), strict=True):
+                for name, value in zip(out, (q1, q2, score, vec_id), strict=True):
                     out[name].append(value)
     return pd.DataFrame(out)
 
