@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomlog import schema
 from loomlog.functions import json, urn
-from loomlog.operators import commands, compaction, filters, folds, merged
+from loomlog.operators import aggregates, commands, compaction, filters, folds, merged
 from loomlog.operators.scan import heads, scan, stream_at
 from loomlog.plans import projections
 from loomlog.streaming import feed, policies, status, windows
@@ -37,6 +37,11 @@ SIGNED = "CASE type WHEN 'click' THEN amount WHEN 'purchase' THEN -amount END"
 ROW = ("stream_id", "version", "global_position", "type")
 
 
+ACCOUNT = merged.Family("account", {PLUS: {"value": "double"}, MINUS: {"value": "double"}})
+VISIT = merged.Family("visit", {CHECKPOINT: {"value": "double"}, "signup": {"value": "double"}})
+ORDER = merged.Family("order", {"OrderPlaced": {"total": "double", "owner": "string"}})
+
+
 def query(sql: str | None = None):
     def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
@@ -247,6 +252,18 @@ def guarded_withdrawals_by_array(spark, sf_dir):
     return folds.guarded_by_array(_amounts(spark, sf_dir), F.col("value"), PLUS, MINUS)
 
 
+@query(GUARDED)
+def execute_batch(spark, sf_dir):
+    """The first 5000 positions are history, the rest are commands on its states."""
+    own = _amounts(spark, sf_dir).where(F.col("type").isin(PLUS, MINUS)).withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
+    account = aggregates.Aggregate("Account", ACCOUNT, folds.withdraw_if_covered(PLUS, MINUS))
+    past = folds.guarded(own.where("global_position <= 5000"), account.decide, F.col("cents")).cache()
+    known = past.groupBy("stream_id").agg(F.max_by("state", "version").alias("state"))
+    done = aggregates.execute_batch(known, own.where("global_position > 5000").withColumnRenamed("version", "n"), account)
+    both = past.select("stream_id", F.col("version").alias("n"), "state", "accepted").unionByName(done.select("stream_id", "n", "state", "accepted"))
+    return both.groupBy("stream_id").agg((F.max_by("state", "n") / 100).alias("balance"), F.sum(F.when(F.col("accepted"), 0).otherwise(1)).alias("rejected"))
+
+
 @query("""WITH opened AS (SELECT o_orderkey, o_custkey FROM orders), moved AS (SELECT l_orderkey, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount FROM lineitem)
 SELECT 'urn:customer:' || o_custkey AS owner, sum(amount)::DOUBLE AS total, count(*) AS movements FROM moved JOIN opened ON l_orderkey = o_orderkey GROUP BY o_custkey""")
 def global_position(spark, sf_dir):
@@ -267,11 +284,6 @@ def owned_movements(spark, sf_dir):
 
 # --- merged families and decoding
 
-ACCOUNT = merged.Family("account", {PLUS: {"value": "double"}, MINUS: {"value": "double"}})
-VISIT = merged.Family("visit", {CHECKPOINT: {"value": "double"}, "signup": {"value": "double"}})
-ORDER = merged.Family("order", {"OrderPlaced": {"total": "double", "owner": "string"}})
-
-
 @query(f"""WITH {LOG} SELECT 'account' AS event_family, stream_id, type, global_position FROM log WHERE type IN ('click', 'purchase')
 UNION ALL SELECT 'visit', stream_id, type, global_position FROM log WHERE type IN ('view', 'signup')
 UNION ALL SELECT 'order', 'urn:order:' || o_orderkey, 'OrderPlaced', o_orderkey + 1 FROM orders""")
@@ -492,6 +504,21 @@ def policy_drain(spark, sf_dir):
     return asked.select("global_position", F.regexp_replace("to_stream", "^urn:fee:", "urn:user:").alias("stream_id"))
 
 
+@query("""WITH k AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'business_rule' WHEN 2 THEN 'conflict' WHEN 3 THEN 'unavailable' WHEN 4 THEN 'internal' ELSE 'invalid_input' END AS kind, user_id % 5 + 1 AS tries FROM events)
+SELECT event_id, CASE WHEN kind IS NULL THEN 'done' WHEN kind = 'business_rule' THEN 'advance' WHEN kind IN ('conflict', 'unavailable') AND tries <= 3 THEN 'retry' ELSE 'dead_letter' END AS action,
+  CASE WHEN kind IN ('conflict', 'unavailable') AND tries <= 3 THEN [100, 200, 400][tries] END AS wait_ms FROM k""")
+def policy_resilience(spark, sf_dir):
+    kinds = F.array(*(F.lit(x) for x in (None, "business_rule", "conflict", "unavailable", "internal", "invalid_input")))
+    own = _table(spark, sf_dir, "events").select("event_id", policies.next_step(F.get(kinds, (F.col("event_id") % 6).cast("int")), (F.col("user_id") % 5 + 1).cast("int")).alias("s"))
+    return own.select("event_id", "s.action", "s.wait_ms")
+
+
+@query(f"WITH {LOG}, {LETTERS} SELECT letters.id, CASE WHEN log.type = 'click' AND value > 100 THEN 'still_failing' WHEN log.id IS NULL THEN 'still_failing' ELSE 'resolved' END AS outcome FROM letters LEFT JOIN log ON log.global_position = letters.global_position + 1 AND log.global_position % 50 <> 0")
+def dead_letter_retry(spark, sf_dir):
+    letters = _letters(spark, sf_dir).withColumn("event_id", F.concat(F.lit("User-"), (F.col("global_position") + 1).cast("string")))
+    return policies.retried(letters, _amounts(spark, sf_dir).where("global_position % 50 <> 0"), FEE, ["Fee"])
+
+
 # --- projections
 
 

@@ -44,6 +44,13 @@ def check(planned: DataFrame) -> DataFrame:
     return planned
 
 
+def build(log: DataFrame, registered: DataFrame, all_: list[Projection], stored: Callable[[str], DataFrame]) -> dict[str, DataFrame]:
+    """The views of all projections at their code's version: `stored` ones where nothing changed, rebuilt ones elsewhere."""
+    code = log.sparkSession.createDataFrame([(x.name, x.version) for x in all_], "name string, version int")
+    todo = {r["name"]: r["action"] for r in check(plan(registered, code)).collect()}
+    return {x.name: stored(x.name) if todo[x.name] == "keep" else x.rebuild(log) for x in all_}
+
+
 def balances(plus: str, minus: str, amount: Column, version: int = 1) -> Projection:
     """Account balances: an upsert that adds."""
 

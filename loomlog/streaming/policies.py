@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.errors import KINDS
 from loomlog.functions.json import causation_depth, causation_stamp, merge
 from loomlog.operators.commands import first_per
 from loomlog.streaming import feed
@@ -79,6 +80,28 @@ def drain(log: DataFrame, policy: Policy, cursor: int | None, targets: list[str]
     return served_once(asked, targets), unserved(asked, targets), after
 
 
+def next_step(kind: Column, tries: Column) -> Column:
+    """struct<action, wait_ms> after a dispatch ended in an error of `kind` (null: none) at its `tries`-th try, from 1.
+
+    A broken business rule is an answer: the cursor moves on. Temporary errors are tried again three times, after
+    rising waits. Everything else is a dead letter.
+    """
+    temporary = kind.isin(*(k for k, (_, again) in KINDS.items() if again))
+    wait = F.get(F.array(*map(F.lit, BACKOFF_MS)), tries - 1)
+    action = F.when(kind.isNull(), "done").when(kind == "business_rule", "advance").when(temporary & (tries <= TRIES), "retry").otherwise("dead_letter")
+    return F.struct(action.alias("action"), F.when(temporary & (tries <= TRIES), wait).alias("wait_ms"))
+
+
+def retried(dead_letters: DataFrame, log: DataFrame, policy: Policy, targets: list[str]) -> DataFrame:
+    """Reacts again to the events of dead letters: id and outcome, resolved or still_failing (a target without executor, or an event that is gone)."""
+    pinned = dead_letters.select("id", F.col("event_id").alias("__event"))
+    asked = dispatches(log.join(pinned.select("__event").distinct(), F.col("id") == F.col("__event"), "left_semi"), policy)
+    lost = asked.where(~F.coalesce(F.col("target").isin(targets), F.lit(False))).select("event_id").distinct()
+    there = log.select(F.col("id").alias("__id")).join(pinned.select("__event").distinct(), F.col("__id") == F.col("__event"), "left_semi").select("__id").distinct()
+    met = pinned.join(there, F.col("__event") == F.col("__id"), "left").join(lost, F.col("__event") == F.col("event_id"), "left")
+    return met.select("id", F.when(F.col("__id").isNotNull() & F.col("event_id").isNull(), "resolved").otherwise("still_failing").alias("outcome"))
+
+
 def retry_order(dead_letters: DataFrame) -> DataFrame:
     return dead_letters.orderBy("global_position", "created_at", "id")
 

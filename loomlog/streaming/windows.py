@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loomlog.streaming.policies import Policy, dispatches, served_once, unserved
+
 
 def tumbling(log: DataFrame, width: str) -> DataFrame:
     """Events per type and window of event time; the same on a batch and on a stream with a watermark."""
@@ -53,6 +55,20 @@ def balances(stream: DataFrame, plus: str, minus: str) -> DataFrame:
     return own.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, cents bigint, version bigint", "cents bigint, version bigint", "update", GroupStateTimeout.NoTimeout)
 
 
+def policy_stream(stream: DataFrame, policy: Policy, targets: list[str], execute: Callable[[DataFrame, DataFrame, int], None], checkpoint: str):
+    """A policy on a stream of log files: each micro-batch's dispatches and dead letters go to `execute`, then Spark's checkpoint moves.
+
+    Delivery is at least once; a batch that comes again has the same number, and dispatches name their cause.
+    """
+
+    def run(rows: DataFrame, number: int) -> None:
+        own = rows if policy.where is None else rows.where(policy.where)
+        asked = dispatches(own, policy)
+        execute(served_once(asked, targets), unserved(asked, targets), number)
+
+    return each_batch(stream, run, checkpoint)
+
+
 def each_batch(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
     """Runs `apply` on every micro-batch until the available data is used up."""
     return stream.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomlog.errors import LogError
 from loomlog.functions import json, urn
-from loomlog.operators import commands, compaction, filters, folds, merged
+from loomlog.operators import aggregates, commands, compaction, filters, folds, merged
 from loomlog.operators.numbering import numbered, running_sum
 from loomlog.operators.scan import heads, scan, stream_at
 from loomlog.plans import projections
@@ -281,3 +281,25 @@ def test_errors():
     e = LogError("internal", "secret", "append")
     assert str(e) == "Internal server error" and e.detail == "secret" and not e.temporary
     assert LogError("conflict", "x").temporary and e.within("outer", k=1).context == {"k": 1}
+
+
+def test_commands_in_bulk(spark):
+    account = aggregates.Aggregate("BankAccount", merged.Family("f", {}), folds.withdraw_if_covered("Deposited", "Withdrawn"))
+    known = spark.createDataFrame([("a", 1000), ("z", 5)], "stream_id string, state bigint")
+    asked = spark.createDataFrame([("a", 1, "Withdrawn", 700), ("a", 2, "Withdrawn", 700), ("a", 3, "Deposited", 500), ("a", 4, "Withdrawn", 700), ("b", 1, "Withdrawn", 1)], "stream_id string, n bigint, type string, cents bigint")
+    assert values(aggregates.execute_batch(known, asked, account), "stream_id", "n", "state", "accepted") == [("a", 1, 300, True), ("a", 2, 300, False), ("a", 3, 800, True), ("a", 4, 100, True), ("b", 1, 0, False)]
+    assert one(spark.range(1).select(account.namespace_column())) == "bank-account"
+
+
+def test_build_keeps_what_is_current(months, spark):
+    view = projections.balances("Deposited", "Withdrawn", moved())
+    stored = spark.createDataFrame([("a", 1)], "stream_id string, balance int")
+    registered = lambda v: spark.createDataFrame([("account_balances", v)], "name string, version int")
+    built = [projections.build(months, registered(v), [view], lambda _: stored)["account_balances"].first()["balance"] for v in (1, 0)]
+    assert [float(x) for x in built] == [1.0, 1600.0 - 300 + 300]
+
+
+def test_observed_batches(spark, months, tmp_path):
+    batch, seen = files.observed(months, "batch")
+    batch.write.parquet(f"{tmp_path}/x")
+    assert seen.get["events"] == 6

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomlog.schema import EVENT_LOG
-from loomlog.streaming import windows
 from loomlog.operators import folds
+from loomlog.streaming import policies, windows
 
 
 @pytest.fixture
@@ -38,3 +38,21 @@ def test_tumbling_windows(spark, stored, tmp_path):
     query = windows.tumbling(stream, "10 minutes").writeStream.format("memory").queryName("tumbled").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(map(tuple, spark.table("tumbled").collect())) == sorted(map(tuple, windows.tumbling(log, "10 minutes").collect()))
+
+
+def test_policy_on_a_stream(spark, stored, tmp_path):
+    path, log = stored
+
+    def react(rows):
+        return rows.where(F.col("type") == "Deposited").select("*", F.when(F.col("stream_id") == "a", "Fee").otherwise("Nobody").alias("target"), F.col("stream_id").alias("to_stream"), F.lit("{}").alias("command"))
+
+    served, lost = [], []
+    stream = spark.readStream.schema(EVENT_LOG).option("maxFilesPerTrigger", 1).parquet(path)
+    windows.policy_stream(stream, policies.Policy("p", react), ["Fee"], lambda s, d, _: (served.extend(s.collect()), lost.extend(d.collect())), f"{tmp_path}/c3").awaitTermination(120)
+    assert sorted(r["global_position"] for r in served) == [1, 4] and [r["global_position"] for r in lost] == [2]
+
+
+def test_sessions_and_sliding(make_log):
+    log = make_log(*[("a", "Deposited", {"amount": 1}, None, d) for d in (1, 1, 3)])
+    assert sorted(r["n"] for r in windows.sessions(log, "6 hours").collect()) == [1, 2]
+    assert sum(r["n"] for r in windows.sliding(log, "2 hours", "1 hour").collect()) == 6
