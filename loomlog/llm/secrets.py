@@ -141,11 +141,11 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, bucket_rows: in
     """(key, rule) of the documents whose postings answer a rule's trigram query; key is doc_id."""
     queries = {k: q for k, x in enumerate(rules) if (q := trigram_query(x.pattern))}
     grams = sorted({g for q in queries.values() for run in q for option in run for g in option})
-    low = F.lower(F.col("text"))
-    held = docs.select(F.col("doc_id").alias("key"), F.array_compact(F.array(*(F.when(low.contains(g), F.lit(g)) for g in grams))).alias("grams"))
+    low = docs.select(F.col("doc_id").alias("key"), F.lower("text").alias("low"))  # lowered once, not for each trigram
+    held = low.select("key", F.array_compact(F.array(*(F.when(F.col("low").contains(g), F.lit(g)) for g in grams))).alias("grams"))
     rows = docs.select("doc_id").count()
     buckets = max(1, -(-rows // bucket_rows))
-    dealt = held.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket"), "key", F.explode("grams").alias("gram"))
+    dealt = held.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket"), "key", F.explode_outer("grams").alias("gram")).where("gram is not null")  # explode() would have Spark make `grams` twice
     postings = dealt.groupBy("bucket", "gram").agg(F.collect_set(F.coalesce("key", F.lit(NO_KEY))).alias("keys"))
     held_in = postings.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("gram", "keys"))).alias("post"))
     none = F.array().cast("array<bigint>")
@@ -165,10 +165,10 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, bucket_rows: in
             both = either if both is None else F.array_intersect(both, either)
         return both
 
-    found = [held_in.select(F.lit(k).alias("rule"), F.explode(answered(q)).alias("key")) for k, q in queries.items()]
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
+    def told(k: int) -> Column:
+        return F.transform(answered(queries[k]), lambda key: F.struct(key.alias("key"), F.lit(k).alias("rule")))
+
+    out = held_in.select(F.explode(F.concat(*map(told, queries))).alias("x")).select("x.key", "x.rule")
     return out.select(F.when(F.col("key") != NO_KEY, F.col("key")).alias("key"), "rule")
 
 
