@@ -107,8 +107,8 @@ def _taken(measured: DataFrame, seed: int, blocks: int, shards: int, weights: tu
     cells = placed.groupBy("rank", "cell").agg(F.sum("size").alias("cell_size")).select(F.col("rank").alias("c_rank"), F.col("cell").alias("c_cell"), F.coalesce(F.sum("cell_size").over(line), F.lit(0)).alias("c_begin"))
     inside = W.partitionBy("rank", "cell").orderBy("key", "size").rowsBetween(W.unboundedPreceding, -1)
     on_line = placed.withColumn("in_cell", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(cells, (F.col("rank") == F.col("c_rank")) & (F.col("cell") == F.col("c_cell"))).withColumn("begin", F.col("in_cell") + F.col("c_begin"))
-    width = block.agg(F.max("width").alias("w"))
-    wide = on_line.crossJoin(F.broadcast(width)).withColumn("k1", F.floor(F.col("begin") / F.col("w")).cast("long")).withColumn("end", F.col("begin") + F.col("size")).withColumn("k2", F.floor((F.col("end") - 1) / F.col("w")).cast("long"))
+    width = block.agg(F.max("width")).first()[0] or 1  # the same for all blocks
+    wide = on_line.withColumn("w", F.lit(width)).withColumn("k1", F.floor(F.col("begin") / F.col("w")).cast("long")).withColumn("end", F.col("begin") + F.col("size")).withColumn("k2", F.floor((F.col("end") - 1) / F.col("w")).cast("long"))
     one = block.select(F.col("rank").alias("r1"), F.col("block").alias("b1"), F.col("extra").alias("x1"), F.col("before").alias("f1"), "passes")
     two = block.select(F.col("rank").alias("r2"), F.col("block").alias("b2"), F.col("extra").alias("x2"), F.col("before").alias("f2"))
     both = wide.join(one, (F.col("size") > 0) & (F.col("rank") == F.col("r1")) & (F.col("k1") == F.col("b1")), "left").join(two, (F.col("size") > 0) & (F.col("rank") == F.col("r2")) & (F.col("k2") == F.col("b2")), "left")
