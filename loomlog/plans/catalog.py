@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomlog import schema
 from loomlog.functions import json, urn
 from loomlog.operators import aggregates, commands, compaction, filters, folds, merged
-from loomlog.operators.scan import heads, scan, stream_at
+from loomlog.operators.scan import event_by_id, heads, scan, stream_at
 from loomlog.plans import projections
 from loomlog.streaming import feed, policies, status, windows
 
@@ -56,13 +56,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schema.log_from_events(_table(spark, sf_dir, "events"))
+def _log(spark: SparkSession, sf_dir: str, versions: bool = True) -> DataFrame:
+    return schema.log_from_events(_table(spark, sf_dir, "events"), versions)
 
 
-def _amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _amounts(spark: SparkSession, sf_dir: str, versions: bool = True) -> DataFrame:
     """The log with `value` beside it, which other queries read from the payload."""
-    return _log(spark, sf_dir).withColumn("value", _value())
+    return _log(spark, sf_dir, versions).withColumn("value", _value())
 
 
 def _value():
@@ -90,13 +90,13 @@ def filter_stream_id(spark, sf_dir):
 
 @query(f"WITH {LOG}, {ORDER_LOG}, both_ AS (SELECT stream_id, stream_type, type, global_position FROM log UNION ALL SELECT * FROM orders_log) SELECT stream_id, global_position, type FROM both_ WHERE stream_type IN ('Order', 'Account')")
 def filter_stream_types(spark, sf_dir):
-    both = _log(spark, sf_dir).unionByName(schema.log_from_orders(_table(spark, sf_dir, "orders")))
+    both = _log(spark, sf_dir, versions=False).unionByName(schema.log_from_orders(_table(spark, sf_dir, "orders"), versions=False))
     return scan(both, filters.for_stream_types(["Order", "Account"])).select("stream_id", "global_position", "type")
 
 
 @query(f"WITH {LOG}, {ORDER_LOG}, both_ AS (SELECT stream_id, stream_type, type, global_position FROM log UNION ALL SELECT * FROM orders_log) SELECT type, count(*) AS events FROM both_ WHERE stream_type = 'User' GROUP BY type")
 def filter_stream_types_join(spark, sf_dir):
-    both = _log(spark, sf_dir).unionByName(schema.log_from_orders(_table(spark, sf_dir, "orders")))
+    both = _log(spark, sf_dir, versions=False).unionByName(schema.log_from_orders(_table(spark, sf_dir, "orders"), versions=False))
     return filters.of_stream_types(both, heads(both), ["User"]).groupBy("type").agg(F.count("*").alias("events"))
 
 
@@ -168,6 +168,17 @@ def lens_totals(spark, sf_dir):
     return parts[0].union(parts[1]).union(parts[2])
 
 
+@query(f"WITH {LOG} SELECT id, stream_id, type, global_position FROM log WHERE id = 'User-77'")
+def single_event_lookup(spark, sf_dir):
+    return event_by_id(_log(spark, sf_dir, versions=False), "User-77").select("id", "stream_id", "type", "global_position")
+
+
+@query(f"WITH {LOG}, p AS (SELECT stream_id, list(type ORDER BY global_position) AS types FROM log GROUP BY stream_id) SELECT stream_id, len(list_filter(types, lambda x: x = 'click'))::BIGINT AS deposits, types[1] AS first_type FROM p")
+def stream_openings(spark, sf_dir):
+    log = _log(spark, sf_dir, versions=False)
+    return log.groupBy("stream_id").agg(F.count_if(F.col("type") == PLUS).alias("deposits"), F.min_by("type", "global_position").alias("first_type"))
+
+
 # --- time travel and folds
 
 
@@ -179,19 +190,19 @@ def time_travel_version(spark, sf_dir):
 
 @query(f"WITH {LOG} SELECT stream_id, coalesce(sum({SIGNED}), 0)::DOUBLE AS balance FROM log WHERE created <= TIMESTAMP '2024-01-15' GROUP BY stream_id")
 def time_travel_timestamp(spark, sf_dir):
-    log = stream_at(_amounts(spark, sf_dir), at_time=CUT)
+    log = stream_at(_amounts(spark, sf_dir, versions=False), at_time=CUT)
     return folds.additive(log, ["stream_id"], folds.signed(F.col("value"), PLUS, MINUS), "balance")
 
 
 @query(f"WITH {LOG} SELECT stream_id, coalesce(sum({SIGNED}), 0)::DOUBLE AS balance FROM log GROUP BY stream_id")
 def account_balance(spark, sf_dir):
-    return folds.additive(_amounts(spark, sf_dir), ["stream_id"], folds.signed(F.col("value"), PLUS, MINUS), "balance")
+    return folds.additive(_amounts(spark, sf_dir, versions=False), ["stream_id"], folds.signed(F.col("value"), PLUS, MINUS), "balance")
 
 
 @query(f"WITH {LOG} SELECT stream_id, count(*) AS transactions, sum({SIGNED})::DOUBLE AS change FROM log WHERE type IN ('click', 'purchase') AND created::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-06' GROUP BY stream_id")
 def account_statement(spark, sf_dir):
     day = F.to_date("created")
-    own = _amounts(spark, sf_dir).where(F.col("type").isin(PLUS, MINUS) & day.between(F.lit("2024-01-05").cast("date"), F.lit("2024-01-06").cast("date")))
+    own = _amounts(spark, sf_dir, versions=False).where(F.col("type").isin(PLUS, MINUS) & day.between(F.lit("2024-01-05").cast("date"), F.lit("2024-01-06").cast("date")))
     return own.groupBy("stream_id").agg(F.count("*").alias("transactions"), F.sum(folds.signed(F.col("value"), PLUS, MINUS)).cast("double").alias("change"))
 
 
@@ -210,7 +221,7 @@ def checkpoint_balance(spark, sf_dir):
 
 @query(f"WITH {LOG} SELECT stream_id, count(DISTINCT metadata->>'$.k') AS causes FROM log GROUP BY stream_id")
 def distinct_causes(spark, sf_dir):
-    return folds.set_of(_log(spark, sf_dir), ["stream_id"], F.get_json_object("metadata", "$.k"), "causes")
+    return folds.set_of(_log(spark, sf_dir, versions=False), ["stream_id"], F.get_json_object("metadata", "$.k"), "causes")
 
 
 @query(f"WITH {LOG} SELECT stream_id, string_agg(type, '>' ORDER BY version) AS history FROM log GROUP BY stream_id")
@@ -220,7 +231,7 @@ def event_history(spark, sf_dir):
 
 @query(f"WITH {LOG} SELECT stream_id, type, count(*) AS events FROM log GROUP BY stream_id, type")
 def stream_counts(spark, sf_dir):
-    return _log(spark, sf_dir).groupBy("stream_id", "type").agg(F.count("*").alias("events"))
+    return _log(spark, sf_dir, versions=False).groupBy("stream_id", "type").agg(F.count("*").alias("events"))
 
 
 @query(f"WITH {COMPACTED} SELECT stream_id AS id, 'User' AS type, coalesce(max(version) FILTER (aggregate_version IS NULL), 0)::BIGINT AS version FROM compacted GROUP BY stream_id")
@@ -267,8 +278,8 @@ def execute_batch(spark, sf_dir):
 @query("""WITH opened AS (SELECT o_orderkey, o_custkey FROM orders), moved AS (SELECT l_orderkey, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount FROM lineitem)
 SELECT 'urn:customer:' || o_custkey AS owner, sum(amount)::DOUBLE AS total, count(*) AS movements FROM moved JOIN opened ON l_orderkey = o_orderkey GROUP BY o_custkey""")
 def global_position(spark, sf_dir):
-    opened = schema.log_from_orders(_table(spark, sf_dir, "orders")).select("stream_id", merged.payload(F.col("data"), "OrderPlaced", "owner", "string").alias("owner"), F.lit(0).cast("bigint").alias("opened_at"))
-    lines = schema.log_from_lineitem(_table(spark, sf_dir, "lineitem"))
+    opened = schema.log_from_orders(_table(spark, sf_dir, "orders"), versions=False).select("stream_id", merged.payload(F.col("data"), "OrderPlaced", "owner", "string").alias("owner"), F.lit(0).cast("bigint").alias("opened_at"))
+    lines = schema.log_from_lineitem(_table(spark, sf_dir, "lineitem"), versions=False)
     own = projections.owner_totals(lines.withColumn("price", merged.payload(F.col("data"), "LineAdded", "price", "double")), opened, F.col("price"))
     return own.select("owner", F.col("total").cast("double").alias("total"), "movements")
 
@@ -276,7 +287,7 @@ def global_position(spark, sf_dir):
 @query(f"""WITH {LOG}, opened AS (SELECT stream_id, min(global_position) AS opened_at FROM log WHERE type = 'signup' GROUP BY stream_id)
 SELECT (CAST(split_part(log.stream_id, ':', 3) AS BIGINT) % 20) AS owner, sum(amount)::DOUBLE AS total, count(*) AS movements FROM log JOIN opened USING (stream_id) WHERE type = 'click' AND global_position > opened_at GROUP BY 1""")
 def owned_movements(spark, sf_dir):
-    log = _amounts(spark, sf_dir)
+    log = _amounts(spark, sf_dir, versions=False)
     opened = log.where(F.col("type") == "signup").groupBy("stream_id").agg(F.min("global_position").alias("opened_at")).withColumn("owner", urn.id_of(F.col("stream_id")).cast("bigint") % 20)
     own = projections.owner_totals(log.where(F.col("type") == PLUS), opened, F.col("value"))
     return own.select("owner", F.col("total").cast("double").alias("total"), "movements")
@@ -287,19 +298,19 @@ def owned_movements(spark, sf_dir):
 @query(f"""WITH {LOG} SELECT 'account' AS event_family, stream_id, type, global_position FROM log WHERE type IN ('click', 'purchase')
 UNION ALL SELECT 'visit', stream_id, type, global_position FROM log WHERE type IN ('view', 'signup')
 UNION ALL SELECT 'order', 'urn:order:' || o_orderkey, 'OrderPlaced', o_orderkey + 1 FROM orders""")
-def merged_activity_log(spark, sf_dir):
-    both = _log(spark, sf_dir).unionByName(schema.log_from_orders(_table(spark, sf_dir, "orders")))
+def merged_activity_log(spark, sf_dir, versions=False):
+    both = _log(spark, sf_dir, versions=False).unionByName(schema.log_from_orders(_table(spark, sf_dir, "orders"), versions=False))
     return merged.decoded(both, [ACCOUNT, VISIT, ORDER]).select("event_family", "stream_id", merged.variant_of(F.col("data")).alias("type"), "global_position")
 
 
 @query(f"""WITH {LOG} SELECT CASE WHEN type IN ('click', 'purchase') THEN 'account' WHEN type IN ('view', 'signup') THEN 'visit' END AS event_family, count(*) AS events FROM log GROUP BY 1""")
 def merged_family_counts(spark, sf_dir):
-    return _log(spark, sf_dir).groupBy(merged.family_of(F.col("data"), [ACCOUNT, VISIT]).alias("event_family")).agg(F.count("*").alias("events"))
+    return _log(spark, sf_dir, versions=False).groupBy(merged.family_of(F.col("data"), [ACCOUNT, VISIT]).alias("event_family")).agg(F.count("*").alias("events"))
 
 
 @query(f"WITH {LOG} SELECT type, count(*) AS events, sum(amount)::DOUBLE AS total FROM log WHERE type IN ('click', 'purchase') GROUP BY type")
 def decode_or_skip(spark, sf_dir):
-    own = merged.decoded(_amounts(spark, sf_dir), [ACCOUNT])
+    own = merged.decoded(_amounts(spark, sf_dir, versions=False), [ACCOUNT])
     return own.groupBy("type").agg(F.count("*").alias("events"), F.sum(folds.money(F.col("value"))).cast("double").alias("total"))
 
 
@@ -331,7 +342,7 @@ def compact_full_log(spark, sf_dir):
 
 @query(f"WITH {LOG} SELECT stream_id, CASE WHEN count(*) = 1 AND max(type) = 'view' THEN 'already_compacted' ELSE 'rewrite' END AS outcome, sum(amount)::DOUBLE AS total FROM log GROUP BY stream_id")
 def compact_fold_to_one(spark, sf_dir):
-    own = compaction.to_snapshot(_amounts(spark, sf_dir), F.sum(folds.money(F.col("value"))).cast("double"), CHECKPOINT)
+    own = compaction.to_snapshot(_amounts(spark, sf_dir, versions=False), F.sum(folds.money(F.col("value"))).cast("double"), CHECKPOINT)
     return own.select("stream_id", "outcome", merged.payload(F.col("data"), CHECKPOINT, "total", "double").alias("total"))
 
 
@@ -373,17 +384,17 @@ def log_invariants(spark, sf_dir):
 
 @query(f"WITH {LOG}, n AS (SELECT global_position AS p, row_number() OVER (ORDER BY global_position) AS r FROM log) SELECT coalesce(max(p), 0)::BIGINT AS mark FROM n WHERE p = r")
 def hwm_contiguous(spark, sf_dir):
-    return feed.contiguous_mark(_log(spark, sf_dir), 1024)
+    return feed.contiguous_mark(_log(spark, sf_dir, versions=False), 1024)
 
 
 @query(f"WITH {LOG}, g AS (SELECT * FROM log WHERE global_position % 701 <> 0), n AS (SELECT global_position AS p, row_number() OVER (ORDER BY global_position) AS r FROM g) SELECT coalesce(max(p), 0)::BIGINT AS mark FROM n WHERE p = r")
 def hwm_with_gap(spark, sf_dir):
-    return feed.contiguous_mark(_log(spark, sf_dir).where("global_position % 701 <> 0"), 256)
+    return feed.contiguous_mark(_log(spark, sf_dir, versions=False).where("global_position % 701 <> 0"), 256)
 
 
 @query(f"WITH {LOG} SELECT global_position, stream_id, type FROM log WHERE global_position > 500 AND type = 'click' ORDER BY global_position LIMIT 100")
 def policy_feed_batch(spark, sf_dir):
-    return feed.batch(_log(spark, sf_dir), 500, 100, F.col("type") == PLUS).select("global_position", "stream_id", "type")
+    return feed.batch(_log(spark, sf_dir, versions=False), 500, 100, F.col("type") == PLUS).select("global_position", "stream_id", "type")
 
 
 @query(f"WITH {COMPACTED} SELECT type, count(*) AS events, count(*) FILTER (compacted_snapshot) AS copies FROM compacted WHERE NOT compacted_snapshot GROUP BY type")
@@ -405,13 +416,13 @@ FEE = policies.Policy("fee", _fee, start_at="beginning")
 @query(f"""WITH {LOG}, r AS (SELECT *, unnest(CASE WHEN value > 100 THEN ['Fee', 'Notice'] ELSE ['Fee'] END) AS target FROM log WHERE type = 'click')
 SELECT 'fee' AS policy, global_position, target, 'urn:fee:' || split_part(stream_id, ':', 3) AS to_stream, 1::BIGINT AS depth FROM r""")
 def policy_react_dispatch(spark, sf_dir):
-    asked = policies.dispatches(_amounts(spark, sf_dir), FEE)
+    asked = policies.dispatches(_amounts(spark, sf_dir, versions=False), FEE)
     return asked.select("policy", "global_position", "target", "to_stream", json.causation_depth(F.col("metadata")).alias("depth"))
 
 
 def _caused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log with a cause for every event but each tenth: the one before it, one level deeper; every 17th lacks a field of it."""
-    log = _log(spark, sf_dir)
+    log = _log(spark, sf_dir, versions=False)
     k = (F.col("global_position") % 10).cast("bigint")
     before = F.concat(F.lit("User-"), (F.col("global_position") - 1).cast("string"))
     block = F.struct(F.struct(F.lit("chain").alias("policy"), before.alias("event_id"), F.col("stream_id").alias("stream_id"), F.when(F.col("global_position") % 17 != 0, F.col("global_position") - 1).alias("global_position"), k.alias("depth")).alias("causation"))
@@ -440,13 +451,13 @@ def causation_lineage(spark, sf_dir):
 def metadata_merge_collision(spark, sf_dir):
     key = F.when(F.col("global_position") % 3 == 0, "k").otherwise("n")
     other = F.to_json(F.create_map(key, F.col("global_position")))
-    own = _log(spark, sf_dir).select("global_position", json.merge_collides(F.col("metadata"), other).alias("collides"), json.merge(F.col("metadata"), other).alias("m"))
+    own = _log(spark, sf_dir, versions=False).select("global_position", json.merge_collides(F.col("metadata"), other).alias("collides"), json.merge(F.col("metadata"), other).alias("m"))
     return own.select("global_position", "collides", F.get_json_object("m", "$.k").cast("bigint").alias("k"), F.get_json_object("m", "$.n").cast("bigint").alias("n"))
 
 
 @query(f"WITH {LOG} SELECT stream_id, metadata AS cause, min(global_position) AS global_position FROM log WHERE type = 'click' GROUP BY stream_id, metadata")
 def idempotent_reaction(spark, sf_dir):
-    own = _log(spark, sf_dir).where(F.col("type") == PLUS).withColumn("cause", F.concat_ws("/", "stream_id", "metadata"))
+    own = _log(spark, sf_dir, versions=False).where(F.col("type") == PLUS).withColumn("cause", F.concat_ws("/", "stream_id", "metadata"))
     return commands.first_of_cause(own, "cause", "global_position").select("stream_id", F.col("metadata").alias("cause"), "global_position")
 
 
@@ -463,7 +474,7 @@ def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events")
     name = F.concat(F.lit("policy-"), (F.col("user_id") % 12).cast("string"))
     cursors = events.where("user_id % 12 < 9").groupBy(name.alias("name")).agg((F.max(F.col("event_id") + 1) - (F.min("user_id") % 12) * 3).alias("position"))
-    return status.status(_log(spark, sf_dir), cursors, _letters(spark, sf_dir))
+    return status.status(_log(spark, sf_dir, versions=False), cursors, _letters(spark, sf_dir))
 
 
 STATUS = f"""WITH {LETTERS}, {CURSORS}, s AS (SELECT name, position, (SELECT max(event_id) + 1 FROM events) AS head, (SELECT count(*) FROM letters WHERE policy_name = name) AS dead_letters FROM cursors)"""
@@ -494,13 +505,13 @@ def dead_letter_archive_move(spark, sf_dir):
 
 @query(f"WITH {LOG} SELECT id AS event_id, global_position, 'no executor for Notice' AS error_message FROM log WHERE type = 'click' AND value > 100")
 def dead_letters_unserved(spark, sf_dir):
-    return policies.unserved(policies.dispatches(_amounts(spark, sf_dir), FEE), ["Fee"]).select("event_id", "global_position", "error_message")
+    return policies.unserved(policies.dispatches(_amounts(spark, sf_dir, versions=False), FEE), ["Fee"]).select("event_id", "global_position", "error_message")
 
 
 @query(f"WITH {LOG}, b AS (SELECT * FROM log WHERE global_position > 200 AND type = 'click' ORDER BY global_position LIMIT 100) SELECT global_position, stream_id FROM b")
 def policy_drain(spark, sf_dir):
     policy = policies.Policy("fee", _fee, F.col("type") == PLUS, "beginning")
-    asked, _, _ = policies.drain(_amounts(spark, sf_dir), policy, 200, ["Fee"])
+    asked, _, _ = policies.drain(_amounts(spark, sf_dir, versions=False), policy, 200, ["Fee"])
     return asked.select("global_position", F.regexp_replace("to_stream", "^urn:fee:", "urn:user:").alias("stream_id"))
 
 
@@ -516,7 +527,7 @@ def policy_resilience(spark, sf_dir):
 @query(f"WITH {LOG}, {LETTERS} SELECT letters.id, CASE WHEN log.type = 'click' AND value > 100 THEN 'still_failing' WHEN log.id IS NULL THEN 'still_failing' ELSE 'resolved' END AS outcome FROM letters LEFT JOIN log ON log.global_position = letters.global_position + 1 AND log.global_position % 50 <> 0")
 def dead_letter_retry(spark, sf_dir):
     letters = _letters(spark, sf_dir).withColumn("event_id", F.concat(F.lit("User-"), (F.col("global_position") + 1).cast("string")))
-    return policies.retried(letters, _amounts(spark, sf_dir).where("global_position % 50 <> 0"), FEE, ["Fee"])
+    return policies.retried(letters, _amounts(spark, sf_dir, versions=False).where("global_position % 50 <> 0"), FEE, ["Fee"])
 
 
 # --- projections
@@ -524,7 +535,7 @@ def dead_letter_retry(spark, sf_dir):
 
 @query(f"WITH {LOG} SELECT stream_id, sum({SIGNED})::DOUBLE AS balance, true AS same FROM log WHERE type IN ('click', 'purchase') GROUP BY stream_id")
 def projection_account_balances(spark, sf_dir):
-    view, log = projections.balances(PLUS, MINUS, F.col("value")), _amounts(spark, sf_dir)
+    view, log = projections.balances(PLUS, MINUS, F.col("value")), _amounts(spark, sf_dir, versions=False)
     first, second = log.where("global_position <= 5000"), log.where("global_position > 5000")
     kept, built = view.apply(view.rebuild(first), second), view.rebuild(log)
     met = kept.join(built.select(F.col("stream_id").alias("__id"), F.col("balance").alias("__balance")), F.col("stream_id") == F.col("__id"), "full")
@@ -533,7 +544,7 @@ def projection_account_balances(spark, sf_dir):
 
 @query("SELECT o_custkey AS owner, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS total, count(*) AS orders FROM orders GROUP BY 1")
 def projection_global_position(spark, sf_dir):
-    log = schema.log_from_orders(_table(spark, sf_dir, "orders"))
+    log = schema.log_from_orders(_table(spark, sf_dir, "orders"), versions=False)
 
     def partial(rows: DataFrame) -> DataFrame:
         owner = urn.id_of(merged.payload(F.col("data"), "OrderPlaced", "owner", "string")).cast("bigint")
@@ -566,7 +577,7 @@ def urn_new(spark, sf_dir):
 @query(f"WITH {LOG} SELECT DISTINCT stream_id, 'user' AS namespace, split_part(stream_id, ':', 3) AS id, false AS is_customer FROM log")
 def urn_parts(spark, sf_dir):
     s = F.col("stream_id")
-    return _log(spark, sf_dir).select(s).distinct().select(s, urn.namespace_of(s).alias("namespace"), urn.id_of(s).alias("id"), urn.parse(s, "customer").isNotNull().alias("is_customer"))
+    return _log(spark, sf_dir, versions=False).select(s).distinct().select(s, urn.namespace_of(s).alias("namespace"), urn.id_of(s).alias("id"), urn.parse(s, "customer").isNotNull().alias("is_customer"))
 
 
 @query("SELECT c_custkey, 'urn:customer:' || c_custkey || '@nation:' || c_nationkey AS scoped, NULL::VARCHAR AS twice FROM customer")
@@ -612,17 +623,17 @@ def conversation_streams(spark, sf_dir):
 
 @query("SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS type, count(*) AS n FROM events GROUP BY 1, 2")
 def tumbling_counts(spark, sf_dir):
-    return windows.tumbling(_log(spark, sf_dir), "1 hour").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "type", "n")
+    return windows.tumbling(_log(spark, sf_dir, versions=False), "1 hour").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "type", "n")
 
 
 @query("""WITH s AS (SELECT time_bucket(INTERVAL '30 minutes', ts) - i * INTERVAL '30 minutes' AS start, event_type AS type FROM events, range(0, 2) r(i))
 SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, type, count(*) AS n FROM s GROUP BY 1, 2""")
 def sliding_counts(spark, sf_dir):
-    return windows.sliding(_log(spark, sf_dir), "1 hour", "30 minutes").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "type", "n")
+    return windows.sliding(_log(spark, sf_dir, versions=False), "1 hour", "30 minutes").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "type", "n")
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '2 hours' THEN 0 ELSE 1 END AS new FROM events),
   s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
 SELECT 'urn:user:' || user_id AS stream_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def session_counts(spark, sf_dir):
-    return windows.sessions(_log(spark, sf_dir), "2 hours").select("stream_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+    return windows.sessions(_log(spark, sf_dir, versions=False), "2 hours").select("stream_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")

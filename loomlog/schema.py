@@ -18,8 +18,11 @@ DISCARDED_DEAD_LETTERS = "id bigint, dead_letter_id bigint, policy_name string,
 SPAN = 1 << 16
 
 
-def log_of(df: DataFrame, *, stream_id: Column, stream_type: str, position: Column, created: Column, type: Column, data: Column, metadata: Column, span: int = SPAN) -> DataFrame:
-    """A log from any table with a position that is unique and grows with time: versions count a stream's rows."""
+def log_of(df: DataFrame, *, stream_id: Column, stream_type: str, position: Column, created: Column, type: Column, data: Column, metadata: Column, versions: bool = True, span: int = SPAN) -> DataFrame:
+    """A log from any table with a position that is unique and grows with time: versions count a stream's rows.
+
+    Without `versions` they are null, and the log is a mere projection of the table: no shuffle.
+    """
     rows = df.select(
         F.concat(F.lit(f"{stream_type}-"), position.cast("string")).alias("id"),
         data.alias("data"),
@@ -33,31 +36,32 @@ def log_of(df: DataFrame, *, stream_id: Column, stream_type: str, position: Colu
         F.lit(False).alias("compacted_snapshot"),
     )
     names = [x.split()[0] for x in EVENT_LOG.split(", ")]
-    return numbered(rows, ["stream_id"], "global_position", "version", span).select(*names)
+    counted = numbered(rows, ["stream_id"], "global_position", "version", span) if versions else rows.withColumn("version", F.lit(None).cast("bigint"))
+    return counted.select(*names)
 
 
-def log_from_events(events: DataFrame) -> DataFrame:
+def log_from_events(events: DataFrame, versions: bool = True) -> DataFrame:
     """The log of the `events` table: a stream per user, positions from 1."""
     payload = F.to_json(F.create_map(F.col("event_type"), F.struct(F.col("value").alias("value"))))
-    return log_of(events, stream_id=F.concat(F.lit("urn:user:"), F.col("user_id").cast("string")), stream_type="User", position=F.col("event_id") + 1, created=F.col("ts"), type=F.col("event_type"), data=payload, metadata=F.coalesce("props", F.lit("null")))
+    return log_of(events, stream_id=F.concat(F.lit("urn:user:"), F.col("user_id").cast("string")), stream_type="User", position=F.col("event_id") + 1, created=F.col("ts"), type=F.col("event_type"), data=payload, metadata=F.coalesce("props", F.lit("null")), versions=versions)
 
 
-def log_from_orders(orders: DataFrame) -> DataFrame:
+def log_from_orders(orders: DataFrame, versions: bool = True) -> DataFrame:
     """A second family: one OrderPlaced per order, its own stream."""
     payload = F.to_json(F.create_map(F.lit("OrderPlaced"), F.struct(F.col("o_totalprice").alias("total"), F.concat(F.lit("urn:customer:"), F.col("o_custkey").cast("string")).alias("owner"))))
-    return log_of(orders, stream_id=F.concat(F.lit("urn:order:"), F.col("o_orderkey").cast("string")), stream_type="Order", position=F.col("o_orderkey") + 1, created=F.col("o_orderdate"), type=F.lit("OrderPlaced"), data=payload, metadata=F.lit("null"))
+    return log_of(orders, stream_id=F.concat(F.lit("urn:order:"), F.col("o_orderkey").cast("string")), stream_type="Order", position=F.col("o_orderkey") + 1, created=F.col("o_orderdate"), type=F.lit("OrderPlaced"), data=payload, metadata=F.lit("null"), versions=versions)
 
 
-def log_from_lineitem(lineitem: DataFrame) -> DataFrame:
+def log_from_lineitem(lineitem: DataFrame, versions: bool = True) -> DataFrame:
     """LineAdded events on the orders' streams; positions leave room for a line's number."""
     payload = F.to_json(F.create_map(F.lit("LineAdded"), F.struct(F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))))
-    return log_of(lineitem, stream_id=F.concat(F.lit("urn:order:"), F.col("l_orderkey").cast("string")), stream_type="Order", position=F.col("l_orderkey") * 16 + F.col("l_linenumber"), created=F.col("l_shipdate"), type=F.lit("LineAdded"), data=payload, metadata=F.lit("null"))
+    return log_of(lineitem, stream_id=F.concat(F.lit("urn:order:"), F.col("l_orderkey").cast("string")), stream_type="Order", position=F.col("l_orderkey") * 16 + F.col("l_linenumber"), created=F.col("l_shipdate"), type=F.lit("LineAdded"), data=payload, metadata=F.lit("null"), versions=versions)
 
 
-def log_from_conversations(conversations: DataFrame) -> DataFrame:
+def log_from_conversations(conversations: DataFrame, versions: bool = True) -> DataFrame:
     """A stream per conversation, an event per turn."""
     payload = F.to_json(F.create_map(F.lit("Said"), F.struct(F.col("role").alias("role"), F.length("text").alias("length"))))
-    return log_of(conversations, stream_id=F.concat(F.lit("urn:conversation:"), F.col("conv_id").cast("string")), stream_type="Conversation", position=F.col("conv_id") * 4096 + F.col("turn") + 1, created=F.timestamp_seconds(F.col("conv_id")), type=F.col("role"), data=payload, metadata=F.lit("null"))
+    return log_of(conversations, stream_id=F.concat(F.lit("urn:conversation:"), F.col("conv_id").cast("string")), stream_type="Conversation", position=F.col("conv_id") * 4096 + F.col("turn") + 1, created=F.timestamp_seconds(F.col("conv_id")), type=F.col("role"), data=payload, metadata=F.lit("null"), versions=versions)
 
 
 def empty_log(spark: SparkSession) -> DataFrame:
