@@ -12,14 +12,14 @@ BLOCK = 1 << 16
 def contiguous_mark(log: DataFrame, block: int = BLOCK) -> DataFrame:
     """`mark`: the largest H with all positions 1 .. H present; 0 without position 1.
 
-    Blocks of positions are counted first; only the first one that isn't full is looked at row by row. So
+    Positions are unique (an invariant of the log). Blocks of them are counted first, with map-side sums; only the first one that isn't full is looked at row by row. So
     there is no window over all rows, and the ordered table has one row a block.
     """
     gp = F.col("global_position")
-    blocks = log.where(gp >= 1).groupBy(F.floor((gp - 1) / block).alias("b")).agg(F.count_distinct(gp).alias("n"))
+    blocks = log.where(gp >= 1).groupBy(F.floor((gp - 1) / block).alias("b")).agg(F.count("*").alias("n"))
     placed = blocks.withColumn("at", F.row_number().over(W.orderBy("b")) - 1)
     first = placed.agg(F.coalesce(F.min(F.when((F.col("b") != F.col("at")) | (F.col("n") < block), F.col("at"))), F.count("*")).cast("bigint").alias("open"))
-    inside = log.crossJoin(F.broadcast(first)).where(F.floor((gp - 1) / block) == F.col("open")).select("open", gp.alias("p")).distinct()
+    inside = log.crossJoin(F.broadcast(first)).where(F.floor((gp - 1) / block) == F.col("open")).select("open", gp.alias("p"))
     own = inside.withColumn("n", F.row_number().over(W.orderBy("p"))).where(F.col("p") == F.col("open") * block + F.col("n")).agg(F.max("p").alias("last"))
     return first.crossJoin(own).select(F.coalesce("last", F.col("open") * block).cast("bigint").alias("mark"))
 
