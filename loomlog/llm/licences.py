@@ -50,8 +50,8 @@ def bigrams(wording: str) -> list[str]:
 
 
 def bounds(size: int, least: float = LEAST) -> tuple[float, float]:
-    """Sizes of a set that can have a Dice coefficient of `least` with one of `size`."""
-    return size * least / (2 - least), size * (2 - least) / least
+    """Sizes of a set that can have a Dice coefficient of `least` with one of `size` (and a little more, for rounding)."""
+    return size * least / (2 - least) - 1e-9, size * (2 - least) / least + 1e-9
 
 
 def units(text: Column) -> Column:
