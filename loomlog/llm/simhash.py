@@ -38,8 +38,9 @@ from loomlog.llm.shared import materialize, portions, raw, words
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
-#: Rows of a tile: at least and at most, between them a 32nd of all.
-TILE_ROWS = (4096, 65536)
+#: Rows of a tile at most. A number of set bits with fewer fingerprints is one tile, so that each is sent to
+#: nine pairs; beyond, to nine for each such tile of a number.
+TILE_ROWS = 1 << 18
 BLOCK = 2048
 
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))  # fixed values of XXH64
@@ -222,8 +223,7 @@ def _bits(x: Column) -> Column:
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (u, v), u > v, that connect all fingerprints `sh_print` within `radius` bits of each other."""
     counts = {r["bits"]: r["n"] for r in distinct.groupBy(_bits(F.col("sh_print")).alias("bits")).agg(F.count("*").alias("n")).collect()}  # 65 rows at most
-    size = min(max(sum(counts.values()) // 32, TILE_ROWS[0]), TILE_ROWS[1])
-    tiles = [-(-counts.get(k, 0) // size) for k in range(65 + radius)]
+    tiles = [-(-counts.get(k, 0) // TILE_ROWS) for k in range(65 + radius)]
     slots, bits, slot = F.array(*map(F.lit, tiles)), F.col("bits"), F.col("slot")
     tiled = distinct.select("sh_print", _bits(F.col("sh_print")).alias("bits")).withColumn("slot", F.pmod(F.xxhash64("sh_print"), F.get(slots, bits)).cast("int"))
 
