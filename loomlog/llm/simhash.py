@@ -295,7 +295,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> D
     Rows that share it are told apart by a hash of their texts; of rows that share both, any one stays.
     """
     first = classes(docs, radius, shingle).groupBy("sh_group").agg(F.min(F.struct(F.col("sh_id").isNull().alias("none"), "sh_id", "sh_text")).alias("h"))
-    heads = first.select(F.col("h.sh_id").alias("sh_id"), F.col("h.sh_text").alias("sh_text"))
-    own = docs.withColumn("__sh_text", F.xxhash64("text"))
-    kept = own.join(heads, own["doc_id"].eqNullSafe(heads["sh_id"]) & (own["__sh_text"] == heads["sh_text"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__sh_text"]).drop("__sh_text")
+    # plain, never null keys, so that both steps share one shuffle of the texts; rows that are alike go before it
+    key = ["__sh_none", "__sh_id", "__sh_text"]
+    heads = first.select(F.col("h.none").alias(key[0]), F.coalesce("h.sh_id", F.lit(0)).alias(key[1]), F.col("h.sh_text").alias(key[2]))
+    own = docs.withColumn(key[0], F.col("doc_id").isNull()).withColumn(key[1], F.coalesce("doc_id", F.lit(0))).withColumn(key[2], F.xxhash64("text"))
+    return own.dropDuplicates(key).join(heads, key, "left_semi").drop(*key)
