@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a task works on at once (one longer document is still taken whole).
-WORK_BYTES = 4 << 20
+WORK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only where the session names none (tests on one machine), a temporary folder becomes it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named or named == "/tmp/checkpoints" and not spark.sparkContext.getConf().contains("spark.checkpoint.dir"):
+    if not named:
         named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

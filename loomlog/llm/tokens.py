@@ -14,7 +14,7 @@ from loomlog.llm.shared import BLANK, ragged, raw
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 #: Bytes of text that a task encodes at once: the more, the more of its stretches are repeats.
-ENCODE_BYTES = 24 << 20
+ENCODE_BYTES = 16 << 20
 
 _BYTE = np.arange(256)
 _LETTER = np.isin(_BYTE | 0x20, np.arange(0x61, 0x7B)) & (_BYTE < 0x80)
@@ -69,10 +69,9 @@ def _encode_each(stretches: list[str], path: str) -> tuple[np.ndarray, np.ndarra
     order, n = np.argsort(~plain, kind="stable").tolist(), int(plain.sum())
     parts: list[np.ndarray] = []
     counts = np.zeros(len(stretches), np.int64)
-    joined = [order[k : min(k + 2000, n)] for k in range(0, n, 2000)]
-    found = own.encode_batch_fast(["\n".join([stretches[k] for k in x]) for x in joined], add_special_tokens=False)
-    for which, coded in zip(joined, found, strict=True):
-        ids = np.array(coded.ids, np.uint32)
+    for k in range(0, n, 2000):
+        which = order[k : min(k + 2000, n)]
+        ids = np.array(own.encode_batch_fast(["\n".join([stretches[k] for k in which])], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.cumsum(width[ids])
         sizes = np.fromiter((len(stretches[k].encode()) for k in which), np.int64, len(which))
         stop = np.cumsum(sizes + 1) - 1
