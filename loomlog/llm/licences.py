@@ -5,6 +5,10 @@ compared with templates as sets of word bigrams. Dice >= t asks for sizes betwee
 (2 - t) / t of the template's, so a unit is compared only with the templates within these bounds, and its
 bigrams are not even made if its words are too few for all of them.
 
+A unit that is like a template has at least t / (2 - t) of its bigrams, so of any other share of them that
+is larger than what is left it has one. Such a share is chosen around the template's long, repeated words: a
+text or unit without any of these words is passed by, without loss.
+
 Everything happens within a row: no shuffle, nothing that grows with the corpus leaves a task.
 
 Defined results: a null text, and one without a unit that is like a template, has no licenses, best 0 and
@@ -15,7 +19,10 @@ counts.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,15 +61,31 @@ def bounds(size: int, least: float = LEAST) -> tuple[float, float]:
     return size * least / (2 - least) - 1e-9, size * (2 - least) / least + 1e-9
 
 
+def anchors(own: list[str], least: float = LEAST) -> list[str]:
+    """Words that cover so many of a template's bigrams that each unit like it holds one of the words."""
+    missing = len(own) - math.ceil(len(own) * least / (2 - least) - 1e-9) + 1
+    left, out = [set(x.split()) for x in own], []
+    while missing > 0:
+        count = Counter(w for x in left for w in x)
+        best = max(count, key=lambda w: (len(w) >= 6, count[w], len(w), w))
+        out.append(best)
+        missing -= count[best]
+        left = [x for x in left if best not in x]
+    return out
+
+
 def units(text: Column) -> Column:
     """Sentences, lines and the whole of a text."""
     whole = F.translate(text, UPPER, LOWER)
     return F.array_distinct(F.concat(F.split(F.regexp_replace(whole, r"([.!?])[ \t\r\n]+", "$1\n"), "\n"), F.split(whole, "\n"), F.array(whole)))
 
 
-def _sets(text: Column, fewest: float) -> Column:
-    """The bigram sets of all units that have at least `fewest` bigrams."""
-    split = F.transform(units(text), lambda u: F.filter(F.split(u, "[^a-z0-9]+"), lambda x: x != ""))
+HITS = "array<array<struct<name:string,good:boolean,dice:double>>>"
+
+
+def _sets(text: Column, fewest: float, anchored: Callable[[Column], Column]) -> Column:
+    """The bigram sets of all units that have an anchor and at least `fewest` bigrams."""
+    split = F.transform(F.filter(units(text), anchored), lambda u: F.filter(F.split(u, "[^a-z0-9]+"), lambda x: x != ""))
     long = F.filter(split, lambda w: F.size(w) - 1 >= fewest)
     return F.transform(long, lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))))
 
@@ -81,8 +104,17 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, bool, str], ...] = TEMPLAT
         return F.filter(F.array(*each), lambda x: x["dice"] >= least)
 
     fewest = min((bounds(len(own), least)[0] for *_, own in known), default=1)
-    hits = F.filter(F.transform(_sets(F.coalesce(F.col("text"), F.lit("")), fewest), likeness), lambda x: F.size(x) > 0)
-    found = docs.select("doc_id", hits.alias("hits")).withColumn("all", F.flatten("hits"))
+    needed = sorted({w for *_, own in known for w in anchors(own, least)})
+
+    def anchored(text: Column) -> Column:
+        out = F.lit(False)
+        for w in needed:
+            out = out | text.contains(w)
+        return out
+
+    near = F.filter(F.transform(_sets(F.col("text"), fewest, anchored), likeness), lambda x: F.size(x) > 0)
+    low = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lower("text").alias("low"))
+    found = low.select("doc_id", F.when(anchored(F.col("low")), near).alias("hits")).withColumn("hits", F.coalesce("hits", F.array().cast(HITS))).withColumn("all", F.flatten("hits"))
     return found.select(
         "doc_id",
         F.array_join(F.array_sort(F.array_distinct(F.transform("all", lambda x: x["name"]))), ",").alias("licenses"),
