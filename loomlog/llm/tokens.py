@@ -91,6 +91,27 @@ def _encode_each(stretches: list[str], path: str) -> tuple[np.ndarray, np.ndarra
     return flat[ragged(begin, counts)], counts
 
 
+#: Stretches whose ids a worker keeps from one portion of text to the next; the first ones met, as frequent ones come early.
+KEPT_STRETCHES = 400_000
+_kept: dict[str, dict[str, bytes]] = {}
+
+
+def _encode_known(stretches: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The same as _encode_each(), asking the tokenizer only for what isn't kept."""
+    kept = _kept.setdefault(path, {})
+    values = [kept.get(x) for x in stretches]
+    missing = [k for k, x in enumerate(values) if x is None]
+    flat, counts = _encode_each([stretches[k] for k in missing], path)
+    octets, ends = flat.tobytes(), (4 * np.cumsum(counts)).tolist()
+    begin = 0
+    for k, end in zip(missing, ends, strict=True):
+        values[k] = octets[begin:end]
+        begin = end
+    for k in missing[: max(0, KEPT_STRETCHES - len(kept))]:
+        kept[stretches[k]] = values[k]
+    return np.frombuffer(b"".join(values), np.uint32), np.fromiter(map(len, values), np.int64, len(values)) // 4
+
+
 def encode(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, each followed by `end_id`, and the offsets of each text. Null is empty."""
     data, at = raw(texts)
@@ -102,7 +123,7 @@ def encode(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndar
     del marked
     coded = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
     which = coded.indices.to_numpy()
-    flat, long = _encode_each(coded.dictionary.to_pylist(), path)
+    flat, long = _encode_known(coded.dictionary.to_pylist(), path)
     begin = np.cumsum(long) - long
     text_at = np.concatenate([[0], np.cumsum(long[which])])[stretch_at] + np.arange(len(texts) + 1)
     out = np.full(int(text_at[-1]), end_id, np.uint32)
