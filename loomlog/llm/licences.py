@@ -9,6 +9,15 @@ A unit that is like a template has at least t / (2 - t) of its bigrams, so of an
 is larger than what is left it has one. Such a share is chosen around the template's long, repeated words: a
 text or unit without any of these words is passed by, without loss.
 
+Notices also span lines and stand within longer ones. So these wide units are compared too, line breaks and
+comment marks read as blanks: sentences over several lines (a blank line ends one), and windows of the text's
+words that begin with a bigram of a template (or end the text) and have as many bigrams as the template or,
+ending with one of its bigrams, up to (2 - t) / t times as many. Shorter windows are no units: a part of a
+wording would be like it, whatever stands in the place of the rest. A window is only made where enough of a
+template's bigrams are close together. Wide units count for licenses that no plain unit shows, one match a
+license, as a notice on one line is in many wide units. The SQL of oracle() has the plain units only: it gives
+the same rows where no notice is wrapped or within a line, as in the given tables.
+
 Everything happens within a row: no shuffle, nothing that grows with the corpus leaves a task.
 
 Defined results: a null text, and one without a unit that is like a template, has no licenses, best 0 and
@@ -83,15 +92,73 @@ def units(text: Column) -> Column:
 HITS = "array<array<struct<name:string,good:boolean,dice:double>>>"
 
 
-def _sets(text: Column, fewest: float, anchored: Callable[[Column], Column]) -> Column:
+def wrapped(text: Column) -> Column:
+    """Sentences of a text that hold a line break."""
+    whole = F.translate(text, UPPER, LOWER)
+    return F.filter(F.array_distinct(F.split(whole, r"(?<=[.!?])[ \t\r\n]+|\n[^a-z0-9\n]*(?=\n)")), lambda u: F.trim(u).contains("\n"))
+
+
+def _words(unit: Column) -> Column:
+    return F.filter(F.split(unit, "[^a-z0-9]+"), lambda x: x != "")
+
+
+def _grams(w: Column) -> Column:
+    """The distinct bigrams of two words at least."""
+    return F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+
+
+def _sets(units: Column, fewest: float, anchored: Callable[[Column], Column]) -> Column:
     """The bigram sets of all units that have an anchor and at least `fewest` bigrams."""
-    split = F.transform(F.filter(units(text), anchored), lambda u: F.filter(F.split(u, "[^a-z0-9]+"), lambda x: x != ""))
-    long = F.filter(split, lambda w: F.size(w) - 1 >= fewest)
-    return F.transform(long, lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))))
+    long = F.filter(F.transform(F.filter(units, anchored), _words), lambda w: F.size(w) - 1 >= fewest)
+    return F.transform(long, _grams)
+
+
+def _windows(text: Column, known: list[tuple[str, bool, list[str], int]], least: float) -> Column:
+    """The hits of all windows, as array<struct<name, good, dice>>; `known` has the number of a template's bigrams, repeats counted, last."""
+    every = sorted({x for *_, own, _ in known for x in own})
+    begins = sorted({x.split()[0] for x in every})
+    need = [max(1, math.ceil(len(own) * least / (2 - least) - 1e-9)) for *_, own, _ in known]
+    shapes = F.array(
+        *(
+            F.struct(F.lit(name).alias("name"), F.lit(good).alias("good"), F.array(*map(F.lit, own)).alias("own"), F.lit(n).alias("n"), F.lit(max(n, math.floor(n * (2 - least) / least + 1e-9))).alias("most"), F.lit(k).alias("need"))
+            for (name, good, own, n), k in zip(known, need, strict=True)
+        )
+    )
+
+    def of_template(w: Column, met: Column, t: Column) -> Column:
+        """Windows of the words `w`, of whose bigrams `met` (at, gram) are the template's."""
+        last = F.size(w) - 1 - t["n"]
+
+        def close(x: Column, i: Column) -> Column:
+            there = (x["at"] <= last) & (F.get(met, i + t["need"] - 1)["at"] < x["at"] + t["most"])
+            return F.struct(x["at"].alias("begin"), F.when(there, F.slice(met, i + 1, t["most"])).alias("near"))
+
+        ending = F.struct(last.alias("begin"), F.when(last >= 0, F.filter(met, lambda x: x["at"] >= last)).alias("near"))
+        begun = F.filter(F.concat(F.transform(met, close), F.array(ending)), lambda x: x["near"].isNotNull() & (F.size(x["near"]) >= t["need"]))
+
+        def dices(x: Column) -> Column:
+            ends = F.filter(F.transform(x["near"], lambda y: y["at"]), lambda e: (e >= x["begin"] + t["n"]) & (e < x["begin"] + t["most"]))
+
+            def dice(e: Column) -> Column:
+                alike = F.size(F.array_distinct(F.transform(F.filter(x["near"], lambda y: y["at"] <= e), lambda y: y["gram"])))
+                return F.when(alike >= t["need"], 2.0 * alike / (F.size(_grams(F.slice(w, x["begin"] + 1, e - x["begin"] + 2))) + F.size(t["own"]))).otherwise(0.0)
+
+            return F.transform(F.concat(F.array(x["begin"] + t["n"] - 1), ends), dice)
+
+        best = F.coalesce(F.array_max(F.flatten(F.transform(begun, dices))), F.lit(0.0))
+        return F.struct(t["name"].alias("name"), t["good"].alias("good"), F.when(F.size(met) >= t["need"], best).otherwise(0.0).alias("dice"))
+
+    def of_words(w: Column) -> Column:
+        grams = F.transform(w, lambda x, i: F.struct(i.alias("at"), F.when(x.isin(begins), F.concat_ws(" ", x, F.get(w, i + 1))).alias("gram")))
+        met = F.filter(grams, lambda x: x["gram"].isin(every))
+        found = F.transform(F.array(met), lambda g: F.when(F.size(g) >= min(need, default=1), F.transform(shapes, lambda t: F.element_at(F.transform(F.array(F.filter(g, lambda x: F.array_contains(t["own"], x["gram"]))), lambda m: of_template(w, m, t)), 1))))
+        return F.filter(F.element_at(found, 1), lambda x: x["dice"] >= least)
+
+    return F.element_at(F.transform(F.array(_words(F.translate(text, UPPER, LOWER))), of_words), 1)
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, bool, str], ...] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """doc_id, licenses (names, comma-joined), n_matches (units like a template), best (highest coefficient) and allowed of every row."""
+    """doc_id, licenses (names, comma-joined), n_matches (units like a template, and licenses that only wide units show), best (highest coefficient) and allowed of every row."""
     known = [(name, good, own) for name, good, wording in templates if (own := bigrams(wording))]
 
     def likeness(b: Column) -> Column:
@@ -112,13 +179,21 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, bool, str], ...] = TEMPLAT
             out = out | text.contains(w)
         return out
 
-    near = F.filter(F.transform(_sets(F.col("text"), fewest, anchored), likeness), lambda x: F.size(x) > 0)
+    def near(units: Column) -> Column:
+        return F.filter(F.transform(_sets(units, fewest, anchored), likeness), lambda x: F.size(x) > 0)
+
+    counted = [(name, good, own, len(re.sub(r"[^a-z0-9]+", " ", wording.lower()).split()) - 1) for name, good, wording in templates if (own := bigrams(wording))]
+    spans = F.flatten(near(wrapped(F.col("text"))))
+    wide = F.concat(spans, F.coalesce(_windows(F.col("text"), counted, least), F.array().cast(HITS[6:-1]))) if counted else spans
     low = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lower("text").alias("low"))
-    found = low.select("doc_id", F.when(anchored(F.col("low")), near).alias("hits")).withColumn("hits", F.coalesce("hits", F.array().cast(HITS))).withColumn("all", F.flatten("hits"))
+    met = low.select("doc_id", F.when(anchored(F.col("low")), F.struct(near(units(F.col("text"))).alias("hits"), wide.alias("wide"))).alias("x"))
+    plain = met.select("doc_id", F.coalesce("x.hits", F.array().cast(HITS)).alias("hits"), F.coalesce("x.wide", F.array().cast(HITS[6:-1])).alias("wide")).withColumn("plain", F.flatten("hits"))
+    more = plain.withColumn("more", F.filter("wide", lambda x: ~F.exists("plain", lambda y: y["name"] == x["name"])))
+    found = more.withColumn("all", F.concat("plain", "more"))
     return found.select(
         "doc_id",
         F.array_join(F.array_sort(F.array_distinct(F.transform("all", lambda x: x["name"]))), ",").alias("licenses"),
-        F.size("hits").cast("long").alias("n_matches"),
+        (F.size("hits") + F.size(F.array_distinct(F.transform("more", lambda x: x["name"])))).cast("long").alias("n_matches"),
         F.coalesce(F.array_max(F.transform("all", lambda x: x["dice"])), F.lit(0.0)).alias("best"),
         F.forall("all", lambda x: x["good"]).alias("allowed"),
     )

@@ -280,6 +280,31 @@ def test_licences(odd, no_docs, spark):
     assert licences.scan(no_docs).count() == 0
 
 
+def test_wrapped_and_mid_line_licences(spark):
+    wording = {name: text for name, _, text in licences.TEMPLATES}  # the last of each, the long ones of mit, gpl-3.0 and apache-2.0
+
+    def wrap(text, mark, every=7):
+        own = text.split(" ")
+        return "".join(f"{mark}{' '.join(own[k : k + every])}\n" for k in range(0, len(own), every))
+
+    around = prose(7, 300), prose(8, 300)
+    texts = {mark: [f"{around[0]}\n{mark}\n{wrap(wording[name], mark)}{mark}\n{around[1]}" for name in ("mit", "gpl-3.0", "bsd", "isc", "apache-2.0")] for mark in ("", "# ", " * ", "// ")}
+    cases = [(t, name) for own in texts.values() for t, name in zip(own, ("mit", "gpl-3.0", "bsd", "isc", "apache-2.0"), strict=True)]
+    cases += [
+        ("Copyright 2020 Foo, all rights reserved", "reserved"),
+        (f"{around[0]} and this was released under the MIT License by {around[1]}", "mit"),
+        (f"{around[0]}\nThis work is licensed under\nthe GNU General\nPublic License, version 3.", "gpl-3.0"),
+        ("one two three licensed under the Apache\nLicense, Version 1.1. four five six", ""),
+        ("he has all rights and reserved a seat; " * 50, ""),
+        ("all rights reserved by foo, " * 3000, "reserved"),
+        (f"{around[0]}\n\n{wrap(' '.join(wording['gpl-3.0'].split(' ')[10:]), '')}\n{around[1]}", "gpl-3.0"),  # a shortened notice of several lines
+    ]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id bigint, text string")
+    found = {r["doc_id"]: r for r in licences.scan(docs).collect()}
+    assert [found[k]["licenses"] for k in range(len(cases))] == [name for _, name in cases]
+    assert all(found[k]["allowed"] == (name not in ("gpl-3.0", "reserved")) and found[k]["n_matches"] == (name != "") for k, (_, name) in enumerate(cases))
+
+
 def test_language(spark, odd, no_docs):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     langs, prototypes = language.learn(docs)
