@@ -2,12 +2,17 @@
 
 Sizes are counted in words. The corpus is `T` words; blocks of `B` words each (`T / blocks`, at least one
 word) are allocated to sources by their targets' highest quotients target / (2j + 1). Blocks in the order
-of their quotients fill one shard after the other, so each shard has an integer quota of every source.
+of their quotients fill one shard after the other, so each shard has an integer quota of every such source.
+
+Whole blocks are too coarse for a source whose target is below `FINE` of them (the width grows with the
+corpus): it takes its target to the word and leaves its share of the blocks to nobody. So a source's taken
+words differ from its target by a word or about a `FINE`-th at any size of the corpus. The SQL of oracle() has
+whole blocks only: it gives the same rows where no source is that small, as in the given tables.
 
 A source's documents lie on a line in seeded order (by the MD5 of seed and doc_id). Its quota is taken as
 whole passes over the line plus, for the rest, blocks from a seeded one on (after the last comes the first);
 the last one taken is cut. As the line is in random order, so is what a run of it holds, and documents are
-taken whole but for those at the run's ends. A source's taken words differ from its target by about a block.
+taken whole but for those at the run's ends.
 
 Scale: only (doc_id, source, size) leaves the scan. The line is laid out in cells, the first digits of the
 MD5, so that a source with any share of all rows is sorted in many tasks; what is kept of a cell is its
@@ -34,6 +39,8 @@ MOST = 3
 SEED = 17
 BLOCKS = 1 << 16
 SHARDS = 64
+#: Blocks of a target, from which on whole blocks are near enough.
+FINE = 64
 
 
 def n_words(text: Column) -> Column:
@@ -61,13 +68,20 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return full.select("source", "source_size", "rank", "total", target.alias("target"))
 
 
+def measured_in_blocks(aims: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """`aims` with `width`, the words of a block, and whether a source is too small for whole blocks; single words are never too coarse."""
+    sized = aims.where("total > 0").withColumn("width", F.greatest(F.lit(1), F.floor(F.col("total") / blocks)).cast("long"))
+    return sized.withColumn("small", (F.col("width") > 1) & (F.col("target") < FINE * F.col("width")))
+
+
 def quotas(aims: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS) -> DataFrame:
     """Blocks of each source in each shard: rank, shard, blocks; with `width`, the words of a block.
 
-    All `n` blocks go to the `n` highest quotients; equal ones to the lower rank.
+    All `n` blocks go to the `n` highest quotients; equal ones to the lower rank. Small sources have none.
     """
-    sized = aims.where("total > 0").withColumn("width", F.greatest(F.lit(1), F.floor(F.col("total") / blocks)).cast("long"))
-    counted = sized.withColumn("n", F.round(F.col("total") / F.col("width")).cast("long")).withColumn("sources", F.count("*").over(W.partitionBy(F.lit(0))))
+    all_ = W.partitionBy(F.lit(0))
+    sized = measured_in_blocks(aims, blocks).withColumn("apart", F.coalesce(F.sum(F.when(F.col("small"), F.col("target"))).over(all_), F.lit(0.0)))
+    counted = sized.where("not small").withColumn("n", F.round((F.col("total") - F.col("apart")) / F.col("width")).cast("long")).withColumn("sources", F.count("*").over(all_))
     # an allocation at another divisor than the width is off by less than a source's share of all roundings
     most = F.ceil(F.col("target") / F.col("width") * (1 + F.col("sources") / F.col("n"))) + 2
     seats = counted.where("target > 0").select("rank", "width", "n", "target", F.explode(F.sequence(F.lit(0).cast("long"), most.cast("long"))).alias("j"))
@@ -76,11 +90,12 @@ def quotas(aims: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS) -> DataF
     return won.groupBy("rank", "shard", "width").agg(F.count("*").alias("blocks"))
 
 
-def chosen(aims: DataFrame, quota: DataFrame, seed: int = SEED, most: int = MOST) -> DataFrame:
+def chosen(aims: DataFrame, quota: DataFrame, seed: int = SEED, most: int = MOST, blocks: int = BLOCKS) -> DataFrame:
     """Of each block of each source's line: its words taken beside whole passes (`extra`), those of blocks before it on the line (`before`), and the passes."""
-    given = quota.groupBy("rank", "width").agg(F.sum("blocks").alias("blocks"))
-    words = F.least(F.col("blocks") * F.col("width"), most * F.col("source_size"))
-    sized = aims.join(given, "rank").where("source_size > 0").withColumn("passes", F.floor(words / F.col("source_size")).cast("long")).withColumn("rest", words - F.col("passes") * F.col("source_size"))
+    given = quota.groupBy("rank").agg(F.sum("blocks").alias("blocks"))
+    asked = F.when(F.col("small"), F.round("target").cast("long")).otherwise(F.coalesce("blocks", F.lit(0)) * F.col("width"))
+    words = F.least(asked, most * F.col("source_size"))
+    sized = measured_in_blocks(aims, blocks).join(given, "rank", "left").where("source_size > 0").withColumn("passes", F.floor(words / F.col("source_size")).cast("long")).withColumn("rest", words - F.col("passes") * F.col("source_size"))
     last = F.floor((F.col("source_size") - 1) / F.col("width")).cast("long")
     laid = sized.select("rank", "width", "source_size", "passes", "rest", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
     long = F.least("width", F.col("source_size") - F.col("block") * F.col("width"))
@@ -101,7 +116,7 @@ def _taken(measured: DataFrame, seed: int, blocks: int, shards: int, weights: tu
     rows = measured.count()
     digits = max(2, math.ceil(math.log(max(rows, 1) / 4096, 16))) if rows > 4096 else 2
     aims = materialize(targets(measured.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
-    block = materialize(chosen(aims, quotas(aims, blocks, shards), seed, most), "blocks")
+    block = materialize(chosen(aims, quotas(aims, blocks, shards), seed, most, blocks), "blocks")
     placed = measured.join(aims.select(F.col("source").alias("mix_source"), "rank", "source_size", "target"), F.col("source").eqNullSafe(F.col("mix_source"))).drop("source", "mix_source").withColumn("cell", F.substring("key", 1, digits))
     line = W.partitionBy("rank").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     cells = placed.groupBy("rank", "cell").agg(F.sum("size").alias("cell_size")).select(F.col("rank").alias("c_rank"), F.col("cell").alias("c_cell"), F.coalesce(F.sum("cell_size").over(line), F.lit(0)).alias("c_begin"))

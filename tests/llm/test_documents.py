@@ -96,6 +96,24 @@ def test_mixing_near_targets(spark, odd, no_docs):
     assert mixing.taken(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [16, 512])
+def test_mixing_sources_below_half_a_block(spark, blocks):
+    def docs(source, n, words):
+        return [(" ".join(["w"] * words), f"s{source:04}") for _ in range(n)]
+
+    held = docs(1000, 40, 500) + [x for source in range(30) for x in docs(source, 3, 2 + source % 5)]
+    df = spark.createDataFrame([(k, *x) for k, x in enumerate(held)], "doc_id bigint, text string, source string")
+    found = mixing.taken(df, blocks=blocks).join(df.select("doc_id", "source"), "doc_id").collect()
+    by = defaultdict(lambda: [0, 0.0])
+    for r in found:
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        by[r["source"]][0] += r["taken"]
+        by[r["source"]][1] = r["target"]
+    assert len(by) == 31 and all(own > 0 and abs(own - target) <= max(1, 0.02 * target) for own, target in by.values())
+    total = sum(own for own, _ in by.values())
+    assert abs(total - sum(r["size"] for r in found)) <= 0.02 * total
+
+
 def test_mixing_reruns_agree(odd):
     key = lambda r: tuple(-1 if x is None else x for x in r)
     assert sorted(map(key, mixing.taken(odd).collect())) == sorted(map(key, mixing.taken(odd.repartition(3)).collect()))
