@@ -1,10 +1,11 @@
 """Nearest neighbours by inner product with a tiny index: stable projections, a kd-tree and a chi-square test.
 
-Vectors get one more component, sqrt(M^2 - |x|^2) with M the greatest length, which turns the largest
-inner product into the smallest distance. `PROJECTED` Gaussian (2-stable) projections of it keep distances
-in the mean: a projected squared distance divided by the true one follows a chi-square law. A search
-takes points in the order of projected distance and verifies them on the original vectors; it stops when a
-point as near as the current k-th best would have been met already with probability `SURE`.
+`PROJECTED` Gaussian (2-stable) projections keep distances in the mean: a projected squared distance divided
+by the true one follows a chi-square law. Lengths are not projected but known: a point x with a score of s has
+the squared distance |q|^2 + |x|^2 - 2s. So the points of a leaf or cell that can beat the current k-th best
+score are within a distance that its own greatest length gives, and it is ruled out if its box is farther than
+the chi-square law allows with probability `SURE`. A long vector loosens the bound of its own leaf only. A
+search takes leaves in the order of what is left of their bounds and verifies points on the original vectors.
 
 On Spark:
 1. Equal vectors become one, with their k + 1 smallest ids (more can't be in any answer): a vector that
@@ -60,13 +61,16 @@ def chi_square_quantile(p: float, degrees: int) -> float:
 
 @lru_cache(maxsize=4)
 def projection(size: int, m: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((size + 1, m))
+    return np.random.default_rng(seed).standard_normal((size, m))
 
 
-def project(vectors: np.ndarray, most: float, m: int, seed: int, query: bool = False) -> np.ndarray:
-    """Projected coordinates; `most` is the greatest squared length of all candidates. A query's added component is 0."""
-    added = np.zeros(len(vectors)) if query else np.sqrt(np.maximum(0, most - (vectors**2).sum(axis=1)))
-    return np.concatenate([vectors, added[:, None]], axis=1) @ projection(vectors.shape[1], m, seed)
+def project(vectors: np.ndarray, m: int, seed: int) -> np.ndarray:
+    return vectors @ projection(vectors.shape[1], m, seed)
+
+
+def reach(length: np.ndarray | float, most: np.ndarray | float, least: np.ndarray | float) -> np.ndarray | float:
+    """Squared distance within which points of a squared length up to `most` score `least` or more with a query of squared length `length` (and a little more, for rounding)."""
+    return np.maximum(0, length + most - 2 * least) + 1e-12 * (length + most)
 
 
 def planes(sample: np.ndarray, levels: int) -> list[tuple[int, float]]:
@@ -110,26 +114,31 @@ def leaves(points: np.ndarray, rows: int = LEAF_ROWS) -> list[np.ndarray]:
 class Cell:
     """The points of one cell, ordered by leaf, with their boxes."""
 
-    def __init__(self, vectors: np.ndarray, ids: list, most: float, m: int, seed: int) -> None:
-        points = project(vectors, most, m, seed)
+    def __init__(self, vectors: np.ndarray, ids: list, m: int, seed: int) -> None:
+        points = project(vectors, m, seed)
         own = leaves(points)
         order = np.concatenate(own)
-        self.vectors, self.ids, self.most = vectors[order], [ids[k] for k in order], most
+        self.vectors, self.ids = vectors[order], [ids[k] for k in order]
         self.single = self.vectors.astype(np.float32)
         self.ends = np.cumsum([len(x) for x in own])
         self.low, self.high = (np.array([f(points[x], axis=0) for x in own]) for f in (np.min, np.max))
+        lengths = (vectors**2).sum(axis=1)
+        self.most = np.array([lengths[x].max() for x in own])  # squared, of each leaf
 
     def search(self, query: np.ndarray, place: np.ndarray, k: int, least: float, quantile: float) -> list[tuple[float, int]]:
         """The best (score, id) found, at most k, beginning from `least` as the k-th best score elsewhere."""
         gap = np.maximum(0, np.maximum(self.low - place, place - self.high))
         far = (gap**2).sum(axis=1)
-        order = np.argsort(far, kind="stable")
-        length = float((query**2).sum()) + self.most
+        order = np.argsort(far - quantile * self.most, kind="stable")
+        length = float((query**2).sum())
         best: list[tuple[float, int]] = []
         single, done, step = query.astype(np.float32), 0, 4
         while done < len(order):
-            if least > -math.inf and far[order[done]] > quantile * max(length - 2 * least, 0.0):
-                break
+            if least > -math.inf:
+                rest = order[done:]
+                order, done = rest[far[rest] <= quantile * reach(length, self.most[rest], least)], 0
+                if not len(order):
+                    break
             own = order[done : done + step]
             rows = np.concatenate([np.arange(self.ends[x - 1] if x else 0, self.ends[x]) for x in own])
             rough = self.single[rows] @ single
@@ -148,12 +157,12 @@ class Cell:
 FOUND = "q1 long, q2 long, score double, vec_id long"
 
 
-def _searched(points: pd.DataFrame, queries: pd.DataFrame, k: int, most: float, m: int, seed: int, sure: float) -> pd.DataFrame:
+def _searched(points: pd.DataFrame, queries: pd.DataFrame, k: int, m: int, seed: int, sure: float) -> pd.DataFrame:
     out: dict[str, list] = {x.split()[0]: [] for x in FOUND.split(", ")}
     if len(points) and len(queries):
-        cell = Cell(np.stack(points["vector"].to_numpy()).astype(np.float64), points["ids"].tolist(), most, m, seed)
+        cell = Cell(np.stack(points["vector"].to_numpy()).astype(np.float64), points["ids"].tolist(), m, seed)
         vectors = np.stack(queries["vector"].to_numpy()).astype(np.float64)
-        places, quantile = project(vectors, most, m, seed, query=True), chi_square_quantile(sure, m)
+        places, quantile = project(vectors, m, seed), chi_square_quantile(sure, m)
         least = queries["least"].to_numpy() if "least" in queries else np.full(len(queries), np.nan)
         for i, (q1, q2) in enumerate(zip(queries["q1"], queries["q2"], strict=True)):
             for score, vec_id in cell.search(vectors[i], places[i], k, -math.inf if math.isnan(least[i]) else least[i], quantile):
@@ -175,22 +184,21 @@ def nearest(vectors: DataFrame, every: int, k: int = K, m: int = PROJECTED, sure
     valid = valid.where(F.size("vector") == sizes["n"]).dropDuplicates(["q1", "q2", "vec_id"])
     order = W.partitionBy("q1", "q2").orderBy("vec_id")
     few = valid.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)  # each task passes on so many of a vector at most
-    length = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    points = materialize(few.groupBy("q1", "q2").agg(F.first("vector").alias("vector"), F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("length", length), "points")
+    points = materialize(few.groupBy("q1", "q2").agg(F.first("vector").alias("vector"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "points")
     asking = valid.where(F.col("vec_id") % every == 0)
-    n, most = points.agg(F.count("*"), F.max("length")).first()
+    n = points.count()
     levels = max(0, math.ceil(math.log2(max(1, n / cell_rows))))
     some = points.orderBy(F.xxhash64("q1", "q2")).limit(sample).select("vector").toPandas()["vector"] if levels else None
-    cuts = planes(project(np.stack(some.to_numpy()), most, m, seed), levels) if levels else []
+    cuts = planes(project(np.stack(some.to_numpy()), m, seed), levels) if levels else []
 
-    def dealt(batches: Iterator[pd.DataFrame], query: bool) -> Iterator[pd.DataFrame]:
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                at = project(np.stack(batch["vector"].to_numpy()), most, m, seed, query)
+                at = project(np.stack(batch["vector"].to_numpy()), m, seed)
                 yield batch.assign(cell=cell_of(at, cuts, levels))
 
-    held = materialize(points.select("q1", "q2", "vector", "ids").mapInPandas(lambda b: dealt(b, False), "q1 long, q2 long, vector array<double>, ids array<bigint>, cell long"), "cells")
-    queries = materialize(asking.select("q1", "q2", "vector").dropDuplicates(["q1", "q2"]).mapInPandas(lambda b: dealt(b, True), "q1 long, q2 long, vector array<double>, cell long"), "queries")
+    held = materialize(points.select("q1", "q2", "vector", "ids").mapInPandas(dealt, "q1 long, q2 long, vector array<double>, ids array<bigint>, cell long"), "cells")
+    queries = materialize(asking.select("q1", "q2", "vector").dropDuplicates(["q1", "q2"]).mapInPandas(dealt, "q1 long, q2 long, vector array<double>, cell long"), "queries")
     parts = max(1, -(-queries.count() // query_rows))
 
     def search(asked: DataFrame) -> DataFrame:
@@ -198,22 +206,24 @@ def nearest(vectors: DataFrame, every: int, k: int = K, m: int = PROJECTED, sure
         left = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))) if parts > 1 else F.lit(0))
         right = asked.withColumn("part", F.pmod("q2", F.lit(parts)).cast("int"))
         both = left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part"))
-        return both.applyInPandas(lambda p, q: _searched(p, q, k + 1, most, m, seed, sure), FOUND)
+        return both.applyInPandas(lambda p, q: _searched(p, q, k + 1, m, seed, sure), FOUND)
 
     first = materialize(search(queries), "first") if levels else search(queries)
     if levels:
         # boxes of all cells: as many rows as there are cells
         def boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                at = project(np.stack(batch["vector"].to_numpy()), most, m, seed)
-                grouped = pd.DataFrame(at).groupby(batch["cell"].to_numpy())
+                vectors = np.stack(batch["vector"].to_numpy())
+                # the squared length is one more axis
+                grouped = pd.DataFrame(np.c_[project(vectors, m, seed), (vectors**2).sum(axis=1)]).groupby(batch["cell"].to_numpy())
                 low, high = grouped.min(), grouped.max()
                 yield pd.DataFrame({"cell": low.index, "low": low.to_numpy().tolist(), "high": high.to_numpy().tolist()})
 
         box = held.select("cell", "vector").mapInPandas(boxes, "cell long, low array<double>, high array<double>")
         each = box.select("cell", F.posexplode(F.arrays_zip("low", "high")).alias("axis", "x")).groupBy("cell", "axis").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))
         known = each.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("axis", "low", "high"))).alias("x")).select("cell", "x.low", "x.high").toPandas()
-        low, high = np.stack(known["low"].to_numpy()), np.stack(known["high"].to_numpy())
+        low, high = np.stack(known["low"].to_numpy())[:, :-1], np.stack(known["high"].to_numpy())
+        high, longest = high[:, :-1], high[:, -1]
         cells, quantile = known["cell"].to_numpy(), chi_square_quantile(sure, m)
 
         def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,12 +231,12 @@ def nearest(vectors: DataFrame, every: int, k: int = K, m: int = PROJECTED, sure
                 if not len(batch):
                     continue
                 vectors = np.stack(batch["vector"].to_numpy())
-                place = project(vectors, most, m, seed, query=True)
-                reach = np.where(batch["least"].isna(), np.inf, quantile * np.maximum(0, (vectors**2).sum(axis=1) + most - 2 * batch["least"].fillna(0).to_numpy()))
+                place, length = project(vectors, m, seed), (vectors**2).sum(axis=1)
+                least = batch["least"].fillna(-np.inf).to_numpy()
                 for lo in range(0, len(batch), 256):
                     own = place[lo : lo + 256, None, :]
                     far = (np.maximum(0, np.maximum(low[None] - own, own - high[None])) ** 2).sum(axis=2)
-                    row, col = np.nonzero((far <= reach[lo : lo + 256, None]) & (cells[None, :] != batch["cell"].to_numpy()[lo : lo + 256, None]))
+                    row, col = np.nonzero((far <= quantile * reach(length[lo : lo + 256, None], longest[None], least[lo : lo + 256, None])) & (cells[None, :] != batch["cell"].to_numpy()[lo : lo + 256, None]))
                     yield batch.iloc[lo + row].assign(cell=cells[col])
 
         best = first.groupBy("q1", "q2").agg(F.when(F.count("*") > k, F.min("score")).alias("least"))

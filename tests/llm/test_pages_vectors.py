@@ -82,6 +82,16 @@ def test_recall(spark, scale, cell_rows, query_rows):
     assert hits >= 0.95 * 20 * len(want)
 
 
+@pytest.mark.parametrize(("size", "cell_rows"), [(32, 1 << 14), (32, 500), (300, 1 << 14)])
+def test_recall_beside_a_long_vector(spark, size, cell_rows):
+    vectors = made(2500, size, 5)
+    vectors[7] = (7, [100 * x for x in vectors[7][1]])
+    found = neighbours.nearest(spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>"), 50, cell_rows=cell_rows).collect()
+    want = brute(vectors, 50, 20)
+    hits = sum(r["vec_id"] in {i for _, i in want[r["query_id"]]} for r in found)
+    assert hits >= 0.9 * 20 * len(want)
+
+
 def test_equal_vectors_and_odd_rows(spark):
     one = made(1, 8, 1)[0][1]
     rows = [(k, one) for k in range(300)] + [(1000 + k, v) for k, v in made(50, 8, 2)] + [(40, one)]
