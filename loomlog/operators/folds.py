@@ -4,7 +4,7 @@ Additive, counting, last-write-wins and set folds are aggregates with map-side c
 holds a third of all events costs one partial row per task. A checkpoint fold needs the last checkpoint
 first: two aggregates and a join. Prefix states are running sums over cells (numbering). Only a guarded
 fold, whose next step depends on the state, is sequential in a stream; it runs over sorted rows with one
-state in memory.
+state in memory. Streams of few events may be folded as arrays instead.
 
 Amounts are summed as DECIMAL(18,2), so the order of rows never shows.
 """
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from loomlog.operators.numbering import running_sum
 
 MONEY = "decimal(18,2)"
+#: Events of a stream that are gathered into one array at most.
+ARRAY_ROWS = 1 << 14
 
 
 def money(x: Column) -> Column:
@@ -108,9 +110,14 @@ def guarded(log: DataFrame, step: Step, cents: Column) -> DataFrame:
     return rows.mapInPandas(run, "stream_id string, version bigint, type string, cents bigint, state bigint, accepted boolean")
 
 
-def guarded_by_array(log: DataFrame, amount: Column, plus: str, minus: str) -> DataFrame:
-    """The same end states inside the JVM, for streams that fit in memory: a sorted array, folded by a higher-order function."""
-    own = log.where(F.col("type").isin(plus, minus)).groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("version", F.col("type").alias("t"), money(amount).alias("a")))).alias("rows"))
+def guarded_by_array(log: DataFrame, amount: Column, plus: str, minus: str, most: int = ARRAY_ROWS) -> DataFrame:
+    """The same end states, for streams of at most `most` such events inside the JVM: a sorted array, folded by a
+    higher-order function. Longer streams (counted first) go through guarded(), so no row grows with a stream."""
+    kept = log.where(F.col("type").isin(plus, minus)).select("stream_id", "version", "type", money(amount).alias("a"))
+    void = F.min(F.when((F.col("type") == plus) & F.col("a").isNull(), F.col("version")))  # from here on the balance is null
+    long = kept.groupBy("stream_id").agg(F.count("*").alias("__n"), void.alias("__void")).where(F.col("__n") > most).select(F.col("stream_id").alias("__long"), "__void")
+    met = kept.join(long, F.col("stream_id") == F.col("__long"), "left")
+    own = met.where("__long is null").groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("version", F.col("type").alias("t"), "a"))).alias("rows"))
     start = F.struct(F.lit(0).cast(MONEY).alias("balance"), F.lit(0).cast("bigint").alias("rejected"))
 
     def merge(acc: Column, x: Column) -> Column:
@@ -118,4 +125,8 @@ def guarded_by_array(log: DataFrame, amount: Column, plus: str, minus: str) -> D
         balance = F.when(x["t"] == plus, acc["balance"] + x["a"]).when(covered, acc["balance"] - x["a"]).otherwise(acc["balance"]).cast(MONEY)
         return F.struct(balance.alias("balance"), (acc["rejected"] + F.when((x["t"] == minus) & ~covered, 1).otherwise(0)).cast("bigint").alias("rejected"))
 
-    return own.select("stream_id", F.aggregate("rows", start, merge).alias("s")).select("stream_id", F.col("s.balance").cast("double").alias("balance"), F.col("s.rejected").alias("rejected"))
+    short = own.select("stream_id", F.aggregate("rows", start, merge).alias("s")).select("stream_id", F.col("s.balance").cast("double").alias("balance"), F.col("s.rejected").alias("rejected"))
+    steps = guarded(met.where("__long is not null and a is not null and (__void is null or version < __void)"), withdraw_if_covered(plus, minus), F.col("a") * 100)
+    ends = steps.groupBy("stream_id").agg((F.max_by("state", "version").cast("double") / 100).alias("balance"), F.sum(F.when(F.col("accepted"), 0).otherwise(1)).cast("bigint").alias("rejected"))
+    all_ = long.join(ends, F.col("__long") == F.col("stream_id"), "left")
+    return short.unionByName(all_.select(F.col("__long").alias("stream_id"), F.when(F.col("__void").isNull(), F.coalesce("balance", F.lit(0.0))).alias("balance"), F.coalesce("rejected", F.lit(0)).cast("bigint").alias("rejected")))

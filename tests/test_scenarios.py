@@ -44,6 +44,17 @@ def test_balance_and_rejected_command(make_log):
     assert (by_array["balance"], by_array["rejected"]) == (40.0, 1)
 
 
+def test_long_streams_are_no_arrays(make_log):
+    events = [(f"s{k % 3 if k % 4 else 0}", "Withdrawn" if k % 5 in (1, 3) else "Deposited", amount(k * 7 % 50)) for k in range(90)]
+    events += [("void", kind, amount(x)) for kind, x in (("Deposited", 9), ("Withdrawn", None), ("Withdrawn", 20), ("Deposited", None), ("Withdrawn", 1))] + [("none", "Withdrawn", amount(None))] * 2
+    log = make_log(*events, ("short", "Deposited", amount(5)), ("short", "Withdrawn", amount(7))).withColumn("x", moved())
+    out = [folds.guarded_by_array(log, F.col("x"), "Deposited", "Withdrawn", *most) for most in ((), (1,), (20,))]
+    first, *rest = (values(x.na.fill(-1.0), "stream_id", "balance", "rejected") for x in out)
+    assert rest == [first, first]
+    spread = folds.guarded_by_array(log, F.col("x"), "Deposited", "Withdrawn", 20)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in spread and "LeftOuter" in spread
+
+
 def test_statement_is_inclusive(make_log):
     log = make_log(("a", "Deposited", amount(100), None, 1), ("a", "Deposited", amount(20), None, 5), ("a", "Withdrawn", amount(40), None, 6))
     own = log.where(F.dayofmonth("created").between(5, 6))
