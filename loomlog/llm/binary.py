@@ -31,15 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomlog.llm.shared import portions
-from loomlog.llm.tokens import ENCODE_BYTES, VOCABULARY, encode
+from loomlog.llm.shared import materialize, portions
+from loomlog.llm.tokens import ENCODE_BYTES, VOCABULARY, Known, encode, tokenizer
 
 END_ID = 2
 BLOCK_IDS = 1 << 14
 CHUNK_IDS = 1 << 18
 LEVEL = 3
 STORE = "shard int, chunk long, first long, n_ids long, kind string, doc_ids array<bigint>, doc_lengths array<bigint>, index array<int>, planes binary"
-NO_ID = -(2**63)  # stands for a null doc_id in doc_ids
+PACKED = "doc_id long, tie long, n int, ids binary"
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[np.ndarray]:
@@ -86,10 +86,23 @@ def expand(n: int, index: list[int], planes: bytes, kind: str, block: int = BLOC
     return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
-def _write_task(batches: Iterator[pa.RecordBatch], path: str, end_id: int, kind: str, chunk_ids: int) -> Iterator[pa.RecordBatch]:
+def _encode_task(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    """PACKED rows: the ids of each text in two bytes each, or four if the vocabulary needs them."""
+    known = Known()
+    kind = "<u2" if max(end_id, tokenizer(path)[0].get_vocab_size() - 1) < 1 << 16 else "<u4"
+    width = np.dtype(kind).itemsize
+    for batch in batches:
+        texts = batch.column(2)
+        for lo, hi in portions(texts, ENCODE_BYTES):
+            ids, at = encode(texts[lo:hi], path, end_id, known)
+            held = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((at * width).astype(np.int32)), pa.py_buffer(ids.astype(kind))])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(np.diff(at), pa.int32()), held], names=[x.split()[0] for x in PACKED.split(", ")])
+
+
+def _write_task(batches: Iterator[pa.RecordBatch], kind: str, chunk_ids: int) -> Iterator[pa.RecordBatch]:
     shard, chunk, first = TaskContext.get().partitionId(), 0, 0
     held: list[np.ndarray] = []
-    doc_ids: list[int] = []
+    doc_ids: list[int | None] = []
     lengths: list[int] = []
 
     def row() -> pa.RecordBatch:
@@ -103,39 +116,35 @@ def _write_task(batches: Iterator[pa.RecordBatch], path: str, end_id: int, kind:
         chunk, first, held, doc_ids, lengths = chunk + 1, first + len(ids), [], [], []
         return out
 
+    ready = 0
     for batch in batches:
-        own, texts = batch.column(0).to_pylist(), batch.column(1)
-        for lo, hi in portions(texts, ENCODE_BYTES):
-            ids, at = encode(texts[lo:hi], path, end_id)
-            done = 0
-            for k in range(hi - lo):
-                doc_ids.append(NO_ID if own[lo + k] is None else own[lo + k])
-                lengths.append(int(at[k + 1] - at[k]))
-                if sum_held(held) + at[k + 1] - done >= chunk_ids:
-                    held.append(ids[done : at[k + 1]])
-                    done = at[k + 1]
-                    yield row()
-            if done < len(ids):
-                held.append(ids[done:])
+        for doc_id, n, octets in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            ids = np.frombuffer(octets.as_buffer(), f"<u{octets.as_buffer().size // n}").astype("<u4")  # a copy: the batch may go
+            doc_ids.append(doc_id)
+            lengths.append(n)
+            held.append(ids)
+            ready += n
+            if ready >= chunk_ids:
+                yield row()
+                ready = 0
     if held:
         yield row()
 
 
-def sum_held(held: list[np.ndarray]) -> int:
-    return sum(map(len, held))
-
-
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID, kind: str = "byte", chunk_ids: int = CHUNK_IDS) -> None:
     """Writes the ids of all documents, in ascending doc_id order, as a store at `path`.
 
-    One shuffle: rows are dealt to ranges of (doc_id, hash of the text), as many as the session has shuffle
-    partitions, so rows that share a doc_id don't have to meet in one task.
+    Texts are encoded where they are read; what is shuffled are their ids, two bytes each. Rows are dealt to ranges
+    of (doc_id, hash of the text, number of the row), as many as the session has shuffle partitions, so rows that
+    share a doc_id, or are alike, don't have to meet in one task.
     """
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    ordered.mapInArrow(lambda batches: _write_task(batches, vocabulary, end_id, kind, chunk_ids), STORE).write.option("compression", "none").parquet(path)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    packed = materialize(rows.mapInArrow(lambda batches: _encode_task(batches, vocabulary, end_id), PACKED), "ids")
+    keys = (F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("row"))
+    numbered = packed.withColumn("row", F.monotonically_increasing_id())
+    ordered = numbered.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    ordered.select("doc_id", "n", "ids").mapInArrow(lambda batches: _write_task(batches, kind, chunk_ids), STORE).write.option("compression", "none").parquet(path)
 
 
 def _read_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +155,7 @@ def _read_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begins = ends - x["doc_lengths"]
             crc = [zlib.crc32(ids[b:e]) for b, e in zip(begins, ends, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([None if d == NO_ID else d for d in x["doc_ids"]], pa.int64()), pa.array(begins + x["before"] + x["first"]), pa.array(x["doc_lengths"], pa.int64()), pa.array(crc, pa.int64())],
+                [pa.array(x["doc_ids"], pa.int64()), pa.array(begins + x["before"] + x["first"]), pa.array(x["doc_lengths"], pa.int64()), pa.array(crc, pa.int64())],
                 names=["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 

@@ -8,10 +8,11 @@ Each task packs the documents of its own input split, so no row is shuffled:
   longest whole pieces that fit, from the same and from shorter tiers, and only when none fits, the
   shortest piece is cut to close it. So every window but a task's last is full;
 * the last window of a task is cut into sequences of exact powers of two, which need no padding;
-* the sequences of a tier are dealt to step groups of equal tokens, in a snake by attention cost
-  (sum of squared piece lengths), so that steps take about equally long.
+* a task's sequences of all tiers are dealt to step groups of equal tokens and about equal attention cost (sum
+  of squared piece lengths), so that steps take about equally long.
 
-Memory: one Arrow batch and at most one unfilled window carried on.
+Memory: one Arrow batch, one portion's ids, at most one unfilled window carried on, and the numbers of the
+pieces in `HELD_STEPS` steps.
 
 Defined results: a null text is an empty one (its only id is the end id); an empty table gives no rows; a
 row that is repeated is packed each time; a null doc_id is kept; other columns are ignored, whatever
@@ -20,6 +21,7 @@ their names; a text of any length is packed whole.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -28,11 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from loomlog.llm.shared import portions
-from loomlog.llm.tokens import ENCODE_BYTES, VOCABULARY, encode
+from loomlog.llm.tokens import ENCODE_BYTES, VOCABULARY, Known, encode
 
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 STEP_TOKENS = 1 << 16
+#: Steps' worth of sequences that a task holds before it deals half of them.
+HELD_STEPS = 128
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context long, step_group long"
 
 
@@ -108,51 +112,80 @@ def closed(pieces: list) -> list[tuple[int, list]]:
     return out
 
 
-def step_groups(sequences: list[tuple[int, list]], step_tokens: int) -> list[int]:
-    """For each sequence the number of its step group among those of its context size."""
+class Steps:
+    """Deals a task's sequences to step groups of about `step_tokens`, over all context sizes at once.
+
+    Longer sequences go first, costlier ones (sum of squared piece lengths) before cheaper ones of their size,
+    each to the group with the fewest tokens so far and among those the least cost. As sizes are powers of two
+    times the shortest, groups of one deal differ by no more than one longest sequence. What is held is dealt
+    once it makes `HELD_STEPS` steps, half of it, so the last deal has half of them at least (or is the only one).
+    """
+
+    def __init__(self, step_tokens: int) -> None:
+        self.step_tokens, self.held, self.tokens, self.groups = step_tokens, [], 0, 0
+
+    def add(self, context: int, pieces: list[tuple[int, int, int]], rows: list[tuple]) -> None:
+        self.held.append((context, sum(x[2] ** 2 for x in pieces), rows))
+        self.tokens += context
+
+    def dealt(self, all_: bool) -> list[tuple]:
+        """Rows with their groups: of half of what is held if that is much, or of everything."""
+        if not all_ and self.tokens < HELD_STEPS * self.step_tokens:
+            return []
+        own, rest, tokens = [], [], 0
+        for x in self.held:
+            (own if all_ or 2 * tokens < HELD_STEPS * self.step_tokens else rest).append(x)
+            tokens += x[0]
+        self.held, self.tokens = rest, sum(x[0] for x in rest)
+        groups = step_groups([x[:2] for x in own], self.step_tokens)
+        out = [(*row, self.groups + g) for (*_, rows), g in zip(own, groups, strict=True) for row in rows]
+        self.groups += max(groups, default=-1) + 1
+        return out
+
+
+def step_groups(sequences: list[tuple[int, int]], step_tokens: int) -> list[int]:
+    """The number of the step group of each sequence (context, cost)."""
+    n = max(1, round(sum(x[0] for x in sequences) / step_tokens))
     groups = [0] * len(sequences)
-    by: dict[int, list[int]] = {}
-    for k, (context, _) in enumerate(sequences):
-        by.setdefault(context, []).append(k)
-    first = 0
-    for context, own in by.items():
-        own.sort(key=lambda k: (-sum(x[2] ** 2 for x in sequences[k][1]), k))
-        n = max(1, -(-len(own) * context // step_tokens))
-        for rank, k in enumerate(own):
-            turn, place = divmod(rank, n)
-            groups[k] = first + (place if turn % 2 == 0 else n - 1 - place)
-        first += n
+    heap = [(0, 0, g) for g in range(n)]
+    for k in sorted(range(len(sequences)), key=lambda k: (-sequences[k][0], -sequences[k][1], k)):
+        tokens, cost, g = heap[0]
+        groups[k] = g
+        heapq.heapreplace(heap, (tokens + sequences[k][0], cost + sequences[k][1], g))
     return groups
 
 
 def _pack_task(batches: Iterator[pa.RecordBatch], tiers: tuple[int, ...], path: str, end_id: int, step_tokens: int) -> Iterator[pa.RecordBatch]:
     base = TaskContext.get().partitionId() << 36
-    next_sequence = next_group = 0
+    next_sequence = 0
     kept: dict[int, tuple] = {}  # documents with pieces in the unfilled window
     carried: list[tuple[int, int, int]] = []
+    steps, known = Steps(step_tokens), Known()
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
 
-    def rows(sequences: list[tuple[int, list]], docs: dict[int, tuple]) -> pa.RecordBatch:
-        nonlocal next_sequence, next_group
-        out: list[tuple] = []
-        groups = step_groups(sequences, step_tokens)
-        for (context, pieces), group in zip(sequences, groups, strict=True):
-            offset = 0
+    def hold(sequences: list[tuple[int, list]], docs: dict[int, tuple]) -> None:
+        nonlocal next_sequence
+        for context, pieces in sequences:
+            offset, own = 0, []
             for doc, start, length in pieces:
                 doc_id, ids, skipped, tokens = docs[doc]
                 crc = zlib.crc32(ids[start - skipped : start - skipped + length])
-                out.append((doc_id, start, length, crc, tokens, base + next_sequence, offset, context, base + next_group + group))
+                own.append((doc_id, start, length, crc, tokens, base + next_sequence, offset, context))
                 offset += length
+            steps.add(context, pieces, own)
             next_sequence += 1
-        next_group += max(groups, default=-1) + 1
-        columns = list(zip(*out, strict=True)) or [()] * 9
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names)
+
+    def rows(all_: bool = False) -> Iterator[pa.RecordBatch]:
+        if out := steps.dealt(all_):
+            columns = list(zip(*out, strict=True))
+            columns[-1] = [base + g for g in columns[-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names)
 
     number = 0
     for batch in batches:
         doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
         for lo, hi in portions(texts, ENCODE_BYTES):
-            ids, at = encode(texts[lo:hi], path, end_id)
+            ids, at = encode(texts[lo:hi], path, end_id, known)
             docs, pool, sequences = dict(kept), Pool(), []
             for piece in carried:
                 pool.put(*piece)
@@ -170,9 +203,12 @@ def _pack_task(batches: Iterator[pa.RecordBatch], tiers: tuple[int, ...], path:
                 doc_id, own, skipped, tokens = docs[doc]
                 first = min(x[1] for x in carried if x[0] == doc)
                 kept[doc] = (doc_id, own[first - skipped :].copy(), first, tokens)
-            yield rows(sequences + full, docs)
+            hold(sequences + full, docs)
+            del docs, ids
+            yield from rows()
     if carried:
-        yield rows(closed(carried), kept)
+        hold(closed(carried), kept)
+    yield from rows(all_=True)
 
 
 def pack_documents(docs: DataFrame, tiers: tuple[int, ...] = TIERS, path: str = VOCABULARY, end_id: int = END_ID, step_tokens: int = STEP_TOKENS) -> DataFrame:

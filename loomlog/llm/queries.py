@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from loomlog.llm import binary, language, licences, mixing, neighbours, packing, quality, secrets, simhash, urls
-from loomlog.llm.shared import shared_dir, table
+from loomlog.llm.shared import scratch, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +25,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = scratch(spark, "tokens")
     binary.write_tokens(table(spark, sf_dir, "documents"), path)
     return binary.read_tokens(spark, path)
 

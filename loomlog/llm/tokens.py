@@ -8,13 +8,18 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from loomlog.llm.shared import BLANK, ragged, raw
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 #: Bytes of text that a task encodes at once: the more, the more of its stretches are repeats.
-ENCODE_BYTES = 16 << 20
+ENCODE_BYTES = 4 << 20
+#: Bytes that a task's known stretches and their ids take at most.
+KNOWN_BYTES = 8 << 20
+#: Bytes that a stretch in a dict costs beside its own and its ids' (two objects' heads and the entry), about.
+_ENTRY = 190
 
 _BYTE = np.arange(256)
 _LETTER = np.isin(_BYTE | 0x20, np.arange(0x61, 0x7B)) & (_BYTE < 0x80)
@@ -35,6 +40,12 @@ def tokenizer(path: str):
     return own, np.array([len(own.id_to_token(k) or "") for k in range(own.get_vocab_size())], np.int64)
 
 
+@lru_cache(maxsize=4)
+def added(path: str) -> tuple[str, ...]:
+    """Texts that the tokenizer takes out before it splits: what stands beside them is split on its own."""
+    return tuple(x.content for x in tokenizer(path)[0].get_added_tokens_decoder().values())
+
+
 def cuts(data: np.ndarray) -> np.ndarray:
     """Where byte-level BPE surely starts a new stretch, whatever stands around it.
 
@@ -58,14 +69,14 @@ def _plain(x: str) -> bool:
     return not x[-1].isspace() and (not x[0].isspace() or x[0] in " \n" and len(x) > 1 and not x[1].isspace())
 
 
-def _encode_each(stretches: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+def _encode_each(stretches: list[str], path: str, alone: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all stretches in a row, and how many each has.
 
     Stretches go to the tokenizer joined by newlines, which saves a call each; the bytes that ids stand for
-    tell them apart again. Those that begin or end in unusual white space go alone.
+    tell them apart again. Those that begin or end in unusual white space, or hold one of `alone`, go by themselves.
     """
     own, width = tokenizer(path)
-    plain = np.fromiter(map(_plain, stretches), bool, len(stretches))
+    plain = np.fromiter((_plain(x) and not any(t in x for t in alone) for x in stretches), bool, len(stretches))
     order, n = np.argsort(~plain, kind="stable").tolist(), int(plain.sum())
     parts: list[np.ndarray] = []
     counts = np.zeros(len(stretches), np.int64)
@@ -81,8 +92,8 @@ def _encode_each(stretches: list[str], path: str) -> tuple[np.ndarray, np.ndarra
             raise ValueError("this vocabulary does not keep stretches apart")
         counts[which] = last - first + 1
         parts.append(ids[ragged(first, last - first + 1)])
-    alone = order[n:]
-    for k, coded in zip(alone, own.encode_batch_fast([stretches[k] for k in alone], add_special_tokens=False), strict=True):
+    single = order[n:]
+    for k, coded in zip(single, own.encode_batch_fast([stretches[k] for k in single], add_special_tokens=False), strict=True):
         parts.append(np.array(coded.ids, np.uint32))
         counts[k] = len(parts[-1])
     flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
@@ -91,39 +102,61 @@ def _encode_each(stretches: list[str], path: str) -> tuple[np.ndarray, np.ndarra
     return flat[ragged(begin, counts)], counts
 
 
-#: Stretches whose ids a worker keeps from one portion of text to the next; the first ones met, as frequent ones come early.
-KEPT_STRETCHES = 400_000
-_kept: dict[str, dict[str, bytes]] = {}
-
-
-def _encode_known(stretches: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """The same as _encode_each(), asking the tokenizer only for what isn't kept."""
-    kept = _kept.setdefault(path, {})
-    values = [kept.get(x) for x in stretches]
-    missing = [k for k, x in enumerate(values) if x is None]
-    flat, counts = _encode_each([stretches[k] for k in missing], path)
-    octets, ends = flat.tobytes(), (4 * np.cumsum(counts)).tolist()
-    begin = 0
-    for k, end in zip(missing, ends, strict=True):
-        values[k] = octets[begin:end]
-        begin = end
-    for k in missing[: max(0, KEPT_STRETCHES - len(kept))]:
-        kept[stretches[k]] = values[k]
-    return np.frombuffer(b"".join(values), np.uint32), np.fromiter(map(len, values), np.int64, len(values)) // 4
-
-
-def encode(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts in a row, each followed by `end_id`, and the offsets of each text. Null is empty."""
+class Known:
+    """Stretches that one task has met, with their ids: the first ones, as frequent ones come early, while they take
+    no more than `limit` bytes. It ends with the task."""
+
+    def __init__(self, limit: int = KNOWN_BYTES) -> None:
+        self.ids: dict[str, bytes] = {}
+        self.left = limit
+
+    def encode(self, stretches: list[str], path: str, alone: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """The same as _encode_each(), asking the tokenizer only for what isn't known."""
+        values = [self.ids.get(x) for x in stretches]
+        missing = [k for k, x in enumerate(values) if x is None]
+        flat, counts = _encode_each([stretches[k] for k in missing], path, alone)
+        octets, ends = flat.tobytes(), (4 * np.cumsum(counts)).tolist()
+        begin = 0
+        for k, end in zip(missing, ends, strict=True):
+            values[k] = octets[begin:end]
+            begin = end
+        for k in missing if self.left > 0 else ():
+            cost = len(stretches[k]) + len(values[k]) + _ENTRY
+            if cost < 2 * _ENTRY:
+                self.ids[stretches[k]] = values[k]
+                self.left -= cost
+            if self.left <= 0:
+                break
+        return np.frombuffer(b"".join(values), np.uint32), np.fromiter(map(len, values), np.int64, len(values)) // 4
+
+
+def _holding(texts: pa.Array, path: str) -> list[int]:
+    """Numbers of the texts that hold an added token's text."""
+    hit = np.zeros(len(texts), bool)
+    for token in added(path):
+        hit |= pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(hit).tolist()
+
+
+def encode(texts: pa.Array, path: str, end_id: int, known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, each followed by `end_id`, and the offsets of each text. Null is empty.
+
+    A text that holds an added token's text is one stretch, which goes to the tokenizer by itself.
+    """
     data, at = raw(texts)
     marked = np.zeros(len(data) + 1, bool)
-    marked[at] = True
     marked[cuts(data)] = True
+    whole = _holding(texts, path)
+    for k in whole:
+        marked[at[k] : at[k + 1]] = False
+    marked[at] = True
     bounds = np.flatnonzero(marked)
     stretch_at = np.cumsum(marked)[at] - 1
     del marked
     coded = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
     which = coded.indices.to_numpy()
-    flat, long = _encode_known(coded.dictionary.to_pylist(), path)
+    flat, long = (known or Known()).encode(coded.dictionary.to_pylist(), path, added(path) if whole else ())
+    del bounds, coded
     begin = np.cumsum(long) - long
     text_at = np.concatenate([[0], np.cumsum(long[which])])[stretch_at] + np.arange(len(texts) + 1)
     out = np.full(int(text_at[-1]), end_id, np.uint32)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -39,9 +40,24 @@ def test_stretches_encode_like_whole_texts(texts):
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == plain_ids(texts, 1)
 
 
-def test_special_token_text_stays_whole():
-    ids, _ = tokens.encode(pa.array(["a b <|endoftext|> c, d's"]), tokens.VOCABULARY, 1)
-    assert ids.tolist() == plain_ids(["a b <|endoftext|> c, d's"], 1)[0]
+def encoded(texts, known=None):
+    ids, at = tokens.encode(pa.array(texts, pa.string()), tokens.VOCABULARY, 1, known)
+    return [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", "\n", "\t", " ", "  ", "a", "ab c", "d's", "x.\ny", "\n\n", "", "é\x85"]), max_size=9).map("".join), max_size=12))
+def test_special_token_text_stays_whole(texts):
+    assert encoded(texts) == plain_ids(texts, 1)
+
+
+def test_many_batches_with_special_tokens_and_known_stretches():
+    rng, parts = random.Random(11), ["<|endoftext|>", "\n", "\t", " ", "a", "the cat", ", ", "<|", "|>", "\r\n", "word", "\n<|endoftext|>\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 8))) for _ in range(10_000)]
+    known = tokens.Known(20_000)
+    found = [x for k in range(0, len(texts), 7) for x in encoded(texts[k : k + 7], known)]
+    assert found == plain_ids(texts, 1) and known.left > -2 * tokens._ENTRY and len(known.ids) > 20
+    assert encoded(["a\n<|endoftext|>"])[0] == [64, 198, 50256, 1]
 
 
 def check_packed(found, texts):
@@ -74,10 +90,45 @@ def test_packing(spark, odd, no_docs):
     assert packing.pack_documents(no_docs).count() == 0
 
 
-def test_step_groups_are_even():
-    groups = packing.step_groups([(2048, [(k, 0, 2048)]) for k in range(64)] + [(256, [(k, 0, 100), (k, 100, 156)]) for k in range(512)], 1 << 16)
-    sizes = Counter(groups)
-    assert {sizes[k] for k in set(groups[:64])} == {32} and {sizes[k] for k in set(groups[64:])} == {256} and not set(groups[:64]) & set(groups[64:])
+def check_steps(found, step):
+    """Groups of a task: equal but for one longest sequence, none far from a step's tokens if the task has enough."""
+    tokens_of, cost, context = Counter(), Counter(), {}
+    for r in found:
+        context[r["sequence_id"]] = (r["context"], r["step_group"])
+        cost[r["step_group"]] += r["length"] ** 2
+    for size, group in context.values():
+        tokens_of[group] += size
+    tasks = defaultdict(list)
+    for group, n in tokens_of.items():
+        tasks[group >> 36].append((n, cost[group]))
+    for own in tasks.values():
+        total, n = sum(x for x, _ in own), len(own)
+        assert n == max(1, round(total / step)) and max(x for x, _ in own) - min(x for x, _ in own) <= 2048
+        assert n == 1 or all(2 * step / 3 <= x <= 3 * step / 2 for x, _ in own)
+    return tasks
+
+
+def test_step_groups_are_even(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(3, "doc_id")
+    for step in (1 << 13, 1 << 16):
+        tasks = check_steps(packing.pack_documents(docs, step_tokens=step).collect(), step)
+        assert sorted(tasks) == [0, 1, 2]
+        assert all(max(c for _, c in own) <= 2 * min(c for _, c in own) for own in tasks.values())
+
+
+def test_steps_are_dealt_as_they_fill(monkeypatch):
+    monkeypatch.setattr(packing, "HELD_STEPS", 4)
+    steps, out = packing.Steps(1 << 12), []
+    for k in range(200):
+        context = (2048, 256, 1024, 512)[k % 4]
+        steps.add(context, [(k, 0, context)], [(k, context)])
+        out += steps.dealt(False)
+    assert steps.tokens < 4 << 12 and len(out) > 100
+    out += steps.dealt(True)
+    sizes = Counter()
+    for _, context, group in out:
+        sizes[group] += context
+    assert sorted(k for k, *_ in out) == list(range(200)) and max(sizes.values()) <= 1.5 * min(sizes.values()) and set(sizes) == set(range(len(sizes)))
 
 
 def test_mixing_near_targets(spark, odd, no_docs):
@@ -275,6 +326,9 @@ def test_token_store(spark, odd, no_docs, tmp_path, kind):
         at += r["n_tokens"]
     want = Counter((len(x), zlib.crc32(np.array(x, "<u4"))) for x in plain_ids([r[1] for r in odd_rows()], 2))
     assert Counter((r["n_tokens"], r["ids_crc32"]) for r in found) == want
+    least = spark.createDataFrame([(-(2**63), "x"), (None, "y"), (3, "a\n<|endoftext|>")], "doc_id bigint, text string")
+    binary.write_tokens(least, f"{tmp_path}/least")
+    assert [r["doc_id"] for r in sorted(binary.read_tokens(spark, f"{tmp_path}/least").collect(), key=lambda r: r["start"])] == [None, -(2**63), 3]
     binary.write_tokens(no_docs, f"{tmp_path}/none")
     assert binary.read_tokens(spark, f"{tmp_path}/none").count() == 0
 
