@@ -170,6 +170,54 @@ def test_mixing_reruns_agree(odd):
     assert sorted(map(key, mixing.taken(odd).collect())) == sorted(map(key, mixing.taken(odd.repartition(3)).collect()))
 
 
+def same_as_sql(docs, **of):
+    plain = lambda rs: sorted((tuple("" if x is None or x != x else f"{float(x):.6f}" if isinstance(x, (int, float)) else str(x) for x in r) for r in rs), key=str)
+    own = duckdb.connect()
+    own.register("documents", docs.select("doc_id", "text", "source").toPandas().astype({"doc_id": "Int64"}))
+    found = mixing.taken(docs, **of).collect()
+    assert plain(map(tuple, found)) == plain(own.execute(mixing.oracle(**of)).fetchall())
+    return found
+
+
+@pytest.mark.parametrize("of", [{}, {"blocks": 700, "shards": 5}, {"blocks": 40, "shards": 3}, {"blocks": 700, "seed": 3, "weights": (1, 9), "most": 2}])
+def test_mixing_equals_sql(odd, of):
+    same_as_sql(odd, **of)
+
+
+def test_shards_draw_their_quotas(spark):
+    """Each shard's words of a source are its quota of blocks but for the documents at its ends; another number of shards deals them anew."""
+    docs = spark.createDataFrame([(k, " ".join(["w"] * (1 + k * 7 % 5)), f"s{k % 3}") for k in range(9000)], "doc_id bigint, text string, source string")
+    first, other = same_as_sql(docs, blocks=900, shards=6), same_as_sql(docs, blocks=900, shards=4)
+    assert sorted(r["taken"] for r in first) == sorted(r["taken"] for r in other) and {r["shards"] for r in first} != {r["shards"] for r in other}
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    aims = mixing.targets(docs.groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("source_size")))
+    width = mixing.measured_in_blocks(aims, 900).first()["width"]
+    names = {r["rank"]: r["source"] for r in aims.collect()}
+    asked = {(names[r["rank"]], r["shard"]): r["blocks"] * width for r in mixing.quotas(aims, 900, 6).collect()}
+    got = Counter()
+    for r in first:
+        for k, shard in enumerate(filter(None, r["shards"].split(","))):
+            got[source[r["doc_id"]], int(shard)] += min(r["size"], r["taken"] - k * r["size"])
+    assert set(got) == set(asked) and all(abs(got[x] - asked[x]) <= 5 for x in asked)
+    drawn = [r["doc_id"] for r in first if source[r["doc_id"]] == "s1" and r["taken"]]
+    assert len(drawn) > 100 and drawn != sorted(drawn)
+
+
+def test_rows_that_are_alike_share_a_line(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    docs = spark.createDataFrame([(None, "a b c", "hot")] * 300 + [(1, "x y", "hot")] * 40 + [(k, "p q r s", "b") for k in range(50)], "doc_id bigint, text string, source string")
+    found = same_as_sql(docs, blocks=100, shards=4)
+    assert len(found) == 390 and sum(r["size"] == 3 for r in found) == 300
+    words, took = mixing.mix(docs).agg(F.sum(mixing.n_words(F.col("text")))).first()[0], sum(r["taken"] for r in found)
+    assert took - 340 <= words <= took  # rows that are alike share what they take, whole words each
+
+
+def test_mix_keeps_columns_with_any_names(spark):
+    docs = spark.createDataFrame([(k, "a b c d", "s", "x", 1, 2, 3) for k in range(9)], "doc_id bigint, text string, source string, mix_row string, mix_row_ int, MIX_TEXT int, `a.b` int")
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns and {tuple(r)[3:] for r in out.collect()} == {("x", 1, 2, 3)}
+
+
 def test_mix_takes_what_it_says(odd, no_docs):
     out = mixing.mix(odd).collect()
     assert set(out[0].asDict()) == set(odd.columns)
