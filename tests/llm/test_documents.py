@@ -348,11 +348,44 @@ def test_redact(spark, odd, no_docs):
     assert kept.columns == odd.columns and kept.count() == odd.count() and secrets.redact(no_docs).count() == 0
 
 
+def test_secrets_of_texts_with_very_many_matches(spark):
+    text = "".join(f"é token=abcdef{k} " if k % 3 else f"{k:024x}{'AKIA' + 'X' * 16}|" for k in range(20_000))
+    docs = spark.createDataFrame([(-(2**63), text), (None, "token=abcdef"), (None, "nothing here"), (7, "token=")], "doc_id bigint, text string")
+    found = {(r["doc_id"], r["n_assign"]): r for r in secrets.digest(secrets.scan(docs)).collect()}
+    own = [(m.start(), k, m.end()) for k, (_, p, good) in enumerate(BASE) for m in p.finditer(text) if good(m)]
+    row = next(r for (d, _), r in found.items() if d == -(2**63))
+    assert row["base_sha256"] == hashlib.sha256(",".join(f"{BASE[k][0]}:{a}:{b}" for a, k, b in sorted(own)).encode()).hexdigest()
+    assert (None, 1) in found and (None, 0) in found and (7, 0) in found
+    out = next(r["text"] for r in secrets.redact(docs).collect() if r["doc_id"] == -(2**63))
+    marks = np.zeros(len(text), bool)
+    for a, _, b in own:
+        marks[a:b] = True
+    assert out == re.sub("\0+", "[secret]", "".join("\0" if m else c for c, m in zip(text, marks)))
+
+
+def test_only_possible_candidates_meet_the_index(spark):
+    docs = spark.createDataFrame([(k, f"plain text number {k}" if k % 10 else f"password: abcdef{k}") for k in range(500)], "doc_id bigint, text string")
+    small, may = secrets.candidates(docs, bucket_rows=50)
+    assert small.count() == docs.where(may(F.col("text"))).count() == 50
+    plan = secrets.redact(docs.withColumn("sec_key", F.lit("x")).withColumn("SEC_OUT", F.lit("y")))
+    assert {(r["sec_key"], r["SEC_OUT"]) for r in plan.collect()} == {("x", "y")} and plan.where("text like '%[secret]'").count() == 50
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 255, 256, 257, 1000):
+        x = [(k * 7919) % 23 - 5 for k in range(n)]
+        df = spark.createDataFrame([(x,)], "x array<bigint>")
+        sums, tops = df.select(secrets.running(F.col("x"), lambda a, b: a + b), secrets.running(F.col("x"), lambda a, b: F.when(a.isNotNull(), F.greatest(a, b)))).first()
+        assert sums == np.cumsum(x, dtype=int).tolist() and tops == np.maximum.accumulate(np.array(x, int)).tolist()
+
+
 def test_trigram_queries():
     assert secrets.trigram_query(r"[0-9a-f]{24,}") == [] and secrets.trigram_query("a?bc") == []
     assert secrets.trigram_query("AKIA[A-Z0-9]{16,}") == [[["aki", "kia"]]]
     assert secrets.trigram_query("(foob|barx)+z") == [[["foo", "oob"], ["arx", "bar"]]]
     assert secrets.trigram_query("(foob|ba)z") == [[["foo", "obz", "oob"], ["baz"]]]
+    assert secrets.trigram_query(r"(?i:Key\.x|abc)+\d[=:]{2}end$") == [[["ey.", "key", "y.x"], ["abc"]], [["end"]]]
+    assert secrets.trigram_query("abcd|xyz") == [[["abc", "bcd"], ["xyz"]]] and secrets.trigram_query("(abc)?") == []
 
 
 @pytest.mark.parametrize("kind", ["byte", "bit"])
