@@ -5,10 +5,12 @@ longest wins. They are a list in the call, compiled into one expression.
 
 Pattern rules are regular expressions on the lower-case URL. A run of letters and digits that stands
 between other characters in the expression must be a token of every URL that it matches. Each rule is
-indexed by that one of its tokens which the fewest URLs have; the tokens of a URL fetch its candidate rules
-by a join, and only those run. Rules without such a token run on every URL.
+indexed by that one of its tokens which the fewest URLs have. The index is a small literal map from tokens to
+rules: the tokens of a URL fetch its candidate rules, and only those run. Rules without such a token run on
+every URL.
 
-The tokens of distinct URLs are what is joined, so a URL that very many pages share is judged once.
+Scale: the rules' tokens are counted over all URLs (partial counts of as many tokens as the rules have are all that
+is shuffled); judging is then a projection of each row, without a join.
 
 Defined results: null and URLs without `://` have empty host and path, no rule, and the patterns' verdict
 on what there is (null: allow); repeated rows each get a row; an empty table gives no rows; other columns
@@ -17,13 +19,11 @@ are ignored; URLs are read whole.
 
 from __future__ import annotations
 
-from re import _constants as kinds
-from re import _parser as regex
-
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomlog.llm.patterns import read
+
 HOST_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: What to keep out where no host rule speaks: link farms, shops of doubtful goods, accounts, carts, trackers, files that aren't pages.
 PATTERNS = (
@@ -69,14 +69,14 @@ def host_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...
 
 def tokens_of(pattern: str) -> list[str]:
     """The tokens that every URL which the pattern matches must have."""
-    parts: list[str] = []  # of each node its literal, "" for what parts tokens, None for what may be part of one
-    for kind, value in regex.parse(pattern):
-        if kind is kinds.LITERAL:
-            parts.append(chr(value) if chr(value).isalnum() else "")
-        elif kind is kinds.IN and all(k is kinds.LITERAL and not chr(c).isalnum() for k, c in value) or kind is kinds.AT:
+    alternatives = read(pattern)
+    parts: list[str | None] = []  # of each piece its literal, "" for what parts tokens, None for what may be part of one
+    for piece in alternatives[0] if len(alternatives) == 1 else ():
+        once = (piece.least, piece.most) == (1, 1)
+        if piece.edge or once and piece.chars and not any(c.isalnum() for c in piece.chars):
             parts.append("")
         else:
-            parts.append(None)
+            parts.append(*piece.chars) if once and piece.chars and len(piece.chars) == 1 else parts.append(None)
     out, run = [], None
     for x in [*parts, None]:
         if x == "":
@@ -91,34 +91,43 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(F.split(_low(url), "[^a-z0-9]+"), lambda x: x != ""))
 
 
-def matched(urls: DataFrame, patterns: tuple[str, ...] = PATTERNS) -> DataFrame:
-    """The distinct `url`s that a pattern matches."""
-    spark = urls.sparkSession
-    distinct = urls.where("url is not null").select(F.col("url").alias("m_url")).distinct()
-    has = [(k, p, t) for k, p in enumerate(patterns) for t in tokens_of(p)]
-    free = [p for p in patterns if not tokens_of(p)]
-    hit = F.lit(False)
-    for p in free:
-        hit = hit | _low(F.col("m_url")).rlike(p)
-    out = distinct.where(hit)
-    if has:
-        rules = spark.createDataFrame(has, "id int, pattern string, token string")
-        each = distinct.select("m_url", F.explode(tokens(F.col("m_url"))).alias("token"))
-        seen = each.join(rules.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("urls"))
-        rarest = W.partitionBy("id").orderBy(F.coalesce("urls", F.lit(0)), "token")
-        index = rules.join(seen, "token", "left").withColumn("place", F.row_number().over(rarest)).where("place = 1").select("token", "pattern")
-        fetched = each.join(index, "token")
-        out = out.union(fetched.where(F.rlike(_low(F.col("m_url")), F.col("pattern"))).select("m_url"))
-    return out.distinct()
+def rarest(urls: DataFrame, patterns: tuple[str, ...] = PATTERNS) -> dict[str, list[int]]:
+    """Each rule's number under the one of its tokens that the fewest rows of `urls` have (equal ones: the first by code point)."""
+    own = {k: tokens_of(p) for k, p in enumerate(patterns)}
+    asked = sorted({t for x in own.values() for t in x})
+    if not asked:
+        return {}
+    met = urls.where("url is not null").select(F.explode(F.filter(tokens(F.col("url")), lambda t: t.isin(asked))).alias("token"))
+    seen = {r["token"]: r["n"] for r in met.groupBy("token").agg(F.count("*").alias("n")).collect()}  # as many as the rules have tokens
+    out: dict[str, list[int]] = {}
+    for k, x in own.items():
+        if x:
+            out.setdefault(min(x, key=lambda t: (seen.get(t, 0), t)), []).append(k)
+    return out
+
+
+def matched(url: Column, index: dict[str, list[int]], patterns: tuple[str, ...] = PATTERNS) -> Column:
+    """Does a pattern match: those that the URL's tokens fetch from the index, and those that aren't in it."""
+
+    def runs(low: Column, fetched: Column) -> Column:
+        out = F.lit(False)
+        held = {k for own in index.values() for k in own}
+        for k, p in enumerate(patterns):
+            out = out | (F.array_contains(fetched, k) & low.rlike(p) if k in held else low.rlike(p))
+        return out
+
+    by_token = F.create_map(*(x for t, own in index.items() for x in (F.lit(t), F.array(*map(F.lit, own))))) if index else F.create_map().cast("map<string,array<int>>")
+    fetched = F.flatten(F.filter(F.transform(tokens(url), lambda t: F.try_element_at(by_token, t)), lambda x: x.isNotNull()))
+    row = F.array(F.struct(_low(url).alias("low"), fetched.alias("rules")))
+    return F.coalesce(F.exists(row, lambda r: runs(r["low"], r["rules"])), F.lit(False))
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = HOST_RULES, patterns: tuple[str, ...] = PATTERNS) -> DataFrame:
     """page_id, host, path, rule (the host rule that fits, or null) and verdict of every row."""
     host, path = host_and_path(F.col("url"))
     own = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("by_host", host_rule(F.col("host"), F.col("path"), rules))
-    found = matched(pages.select("url"), patterns)
-    met = own.join(found, own["url"] == found["m_url"], "left")
-    return met.select("page_id", "host", "path", F.col("by_host.rule").alias("rule"), F.coalesce("by_host.verdict", F.when(F.col("m_url").isNotNull(), "block").otherwise("allow")).alias("verdict"))
+    by_pattern = F.when(F.col("by_host").isNull(), F.when(matched(F.col("url"), rarest(pages, patterns), patterns), "block").otherwise("allow"))
+    return own.select("page_id", "host", "path", F.col("by_host.rule").alias("rule"), F.coalesce("by_host.verdict", by_pattern).alias("verdict"))
 
 
 def oracle(rules: tuple[tuple[str, str, str], ...] = HOST_RULES, patterns: tuple[str, ...] = PATTERNS) -> str:

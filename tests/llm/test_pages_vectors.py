@@ -11,7 +11,7 @@ from tests.conftest import SF
 
 URLS = [
     "http://Example.ORG/es/x", "https://a.b.example.org/en/12?q#f", "http://example.org", "http://notexample.org/es/", "http://x.com/fr/1", "http://x.com/de/", "http://spam-farm.net/x", "HTTP://Blog.Spam-Farm.io/", "http://x.net/a?sessionid=3", "http://x.net/asessionid=3",
-    "http://10.0.0.1/x", "http://x.net/f.EXE", "no scheme", "", None, "://", "http://?x", "http://com/fr/", "http://x.net/tag/a/page/2", "http://x.net/casino/", "http://x.net/casinos/", "http://x.net/casino/", "http://ünï.com/de/é",
+    "http://10.0.0.1/x", "http://x.net/f.EXE", "no scheme", "", None, "://", "http://?x", "http://com/fr/", "http://x.net/tag/a/page/2", "http://x.net/casino/", "http://x.net/casinos/", "http://x.net/casino/", "http://ünï.com/de/é", "http://x.net/" + "a/b-c." * 40_000 + "?sessionid=1", "http://x.net/" + "cart checkout " * 9_000,
 ]
 
 
@@ -43,10 +43,18 @@ def test_patterns_without_index_agree(spark):
     assert plain(urls.judge(pages, patterns=patterns)) == duck(pages.select("page_id", "url"), urls.oracle(patterns=patterns))
 
 
+def test_patterns_are_indexed_by_their_rarest_token(spark):
+    pages = spark.createDataFrame([("http://x/wp-a",), ("http://x/wp-login.html",), ("http://x/login.php",), ("http://y.php",), (None,)], "url string")
+    assert urls.rarest(pages, (r"/wp-login\.php", r"casino", r"/login/wp/")) == {"login": [0, 2]}
+    plan = urls.judge(spark.read.parquet(f"{SF}/pages.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_tokens_of():
     assert urls.tokens_of(r"[/.-]casino[/.-]") == ["casino"] and urls.tokens_of(r"casino") == []
     assert urls.tokens_of(r"/wp-login\.php$") == ["wp", "login", "php"] and urls.tokens_of(r"/a?b/") == []
     assert urls.tokens_of(r"//([^/]*\.)?spam-farm\.") == ["farm"]
+    assert urls.tokens_of(r"/a|/b/") == [] and urls.tokens_of(r"[?&]x1=\d+[/]y\.$") == ["x1", "y"] and urls.tokens_of(r"/ab{2}/c/") == ["c"]
 
 
 def brute(vectors, every, k):
