@@ -9,19 +9,21 @@ search takes leaves in the order of what is left of their bounds and verifies po
 
 On Spark:
 1. Equal vectors become one, with their k + 1 smallest ids (more can't be in any answer): a vector that
-   a third of all rows share is one point.
-2. The upper levels of the kd-tree cut projected space into cells. Their planes are fitted on at most
-   `SAMPLE` vectors; every vector is then dealt to its cell, and each cell's task grows its own lower levels.
+   a third of all rows share is one point. A query is a vector too, however many ids ask for it; only an id that has
+   several vectors asks for itself, so that it can be left out of its own answer.
+2. The upper levels of the kd-tree cut projected space into cells, bounded in rows and bytes. Their planes are fitted
+   on at most `SAMPLE` vectors; every vector is then dealt to its cell, and each cell's task grows its own lower levels.
 3. Round one searches each query's own cell. Round two sends a query only to those other cells whose box
-   the chi-square test does not rule out, with the best distance so far. Where one cell has many queries,
-   they are dealt to several tasks by hash, each with a copy of the cell.
+   the chi-square test does not rule out, with the best distance so far. Tasks know the boxes of the tree's first
+   `UPPER` levels only; those of cells further down are met in a join. The queries of a cell are counted: a cell
+   gets as many tasks, each with a copy of it, as its own queries fill.
 
 Recall is measured against brute force in the tests; `SURE` is a lower bound of it for each true neighbour.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part, as query or candidate; a null vec_id takes no part; rows that share vec_id and vector
-count once, rows that share only a vec_id are each a candidate and a query, but none of each other's; ties go to the smaller vec_id; with fewer candidates
-than k, all come; an empty table gives no rows; other columns are ignored.
+count once, rows that share only a vec_id are each a candidate and a query, but none of each other's; ties go to the
+smaller vec_id; with fewer candidates than k, all come; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,7 +46,10 @@ SURE = 0.9
 SEED = 9
 SAMPLE = 1 << 14
 CELL_ROWS = 1 << 14
+CELL_BYTES = 64 << 20
 LEAF_ROWS = 64
+#: Levels of the tree whose boxes every task of round two knows: at most 2 ** UPPER boxes.
+UPPER = 12
 #: Queries that meet a cell in one task, about.
 QUERY_ROWS = 1 << 14
 
@@ -125,8 +130,8 @@ class Cell:
         lengths = (vectors**2).sum(axis=1)
         self.most = np.array([lengths[x].max() for x in own])  # squared, of each leaf
 
-    def search(self, query: np.ndarray, place: np.ndarray, k: int, least: float, quantile: float) -> list[tuple[float, int]]:
-        """The best (score, id) found, at most k, beginning from `least` as the k-th best score elsewhere."""
+    def search(self, query: np.ndarray, place: np.ndarray, k: int, least: float, quantile: float, own_id: int | None = None) -> list[tuple[float, int]]:
+        """The best (score, id) found, at most k and none of `own_id`, beginning from `least` as the k-th best score elsewhere."""
         gap = np.maximum(0, np.maximum(self.low - place, place - self.high))
         far = (gap**2).sum(axis=1)
         order = np.argsort(far - quantile * self.most, kind="stable")
@@ -145,7 +150,7 @@ class Cell:
             some = rows[rough >= least - 1e-4 * (1 + abs(least))] if least > -math.inf else rows
             if len(some):
                 exact = (self.vectors[some] * query).sum(axis=1)
-                best += [(s, x) for s, r in zip(exact.tolist(), some.tolist(), strict=True) for x in self.ids[r]]
+                best += [(s, x) for s, r in zip(exact.tolist(), some.tolist(), strict=True) for x in self.ids[r] if x != own_id]
                 best.sort(key=lambda t: (-t[0], t[1]))
                 del best[k:]
                 if len(best) == k:
@@ -154,7 +159,7 @@ class Cell:
         return best
 
 
-FOUND = "q1 long, q2 long, score double, vec_id long"
+FOUND = "q1 long, q2 long, own long, score double, vec_id long"
 
 
 def _searched(points: pd.DataFrame, queries: pd.DataFrame, k: int, m: int, seed: int, sure: float) -> pd.DataFrame:
@@ -163,12 +168,13 @@ def _searched(points: pd.DataFrame, queries: pd.DataFrame, k: int, m: int, seed:
         cell = Cell(np.stack(points["vector"].to_numpy()).astype(np.float64), points["ids"].tolist(), m, seed)
         vectors = np.stack(queries["vector"].to_numpy()).astype(np.float64)
         places, quantile = project(vectors, m, seed), chi_square_quantile(sure, m)
-        least = queries["least"].to_numpy() if "least" in queries else np.full(len(queries), np.nan)
+        least = queries["least"].fillna(-np.inf).to_numpy() if "least" in queries else np.full(len(queries), -np.inf)
+        own = [None if x is None or x != x else int(x) for x in queries["own_text"]]  # as text: a long with nulls would come as double
         for i, (q1, q2) in enumerate(zip(queries["q1"], queries["q2"], strict=True)):
-            for score, vec_id in cell.search(vectors[i], places[i], k, -math.inf if math.isnan(least[i]) else least[i], quantile):
-                for name, value in zip(out, (q1, q2, score, vec_id), strict=True):
+            for score, vec_id in cell.search(vectors[i], places[i], k, least[i], quantile, own[i]):
+                for name, value in zip(out, (q1, q2, own[i], score, vec_id), strict=True):
                     out[name].append(value)
-    return pd.DataFrame(out)
+    return pd.DataFrame(out).astype({"own": "Int64"})
 
 
 def nearest(vectors: DataFrame, every: int, k: int = K, m: int = PROJECTED, sure: float = SURE, seed: int = SEED, sample: int = SAMPLE, cell_rows: int = CELL_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
@@ -181,13 +187,16 @@ def nearest(vectors: DataFrame, every: int, k: int = K, m: int = PROJECTED, sure
     spark = vectors.sparkSession
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    valid = valid.where(F.size("vector") == sizes["n"]).dropDuplicates(["q1", "q2", "vec_id"])
+    valid = materialize(valid.where(F.size("vector") == sizes["n"]).dropDuplicates(["q1", "q2", "vec_id"]), "vectors")
     order = W.partitionBy("q1", "q2").orderBy("vec_id")
     few = valid.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)  # each task passes on so many of a vector at most
     points = materialize(few.groupBy("q1", "q2").agg(F.first("vector").alias("vector"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "points")
-    asking = valid.where(F.col("vec_id") % every == 0)
+    several = valid.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("vec_id").alias("own"))
+    asking = valid.where(F.col("vec_id") % every == 0).join(several, F.col("vec_id") == F.col("own"), "left")
     n = points.count()
-    levels = max(0, math.ceil(math.log2(max(1, n / cell_rows))))
+    rows = max(LEAF_ROWS, min(cell_rows, CELL_BYTES // (8 * sizes["n"])))
+    levels = max(0, math.ceil(math.log2(max(1, n / rows))))
+    upper = min(levels, UPPER)
     some = points.orderBy(F.xxhash64("q1", "q2")).limit(sample).select("vector").toPandas()["vector"] if levels else None
     cuts = planes(project(np.stack(some.to_numpy()), m, seed), levels) if levels else []
 
@@ -198,19 +207,20 @@ def nearest(vectors: DataFrame, every: int, k: int = K, m: int = PROJECTED, sure
                 yield batch.assign(cell=cell_of(at, cuts, levels))
 
     held = materialize(points.select("q1", "q2", "vector", "ids").mapInPandas(dealt, "q1 long, q2 long, vector array<double>, ids array<bigint>, cell long"), "cells")
-    queries = materialize(asking.select("q1", "q2", "vector").dropDuplicates(["q1", "q2"]).mapInPandas(dealt, "q1 long, q2 long, vector array<double>, cell long"), "queries")
-    parts = max(1, -(-queries.count() // query_rows))
+    asked = asking.select("q1", "q2", F.col("own").cast("string").alias("own_text"), "vector").dropDuplicates(["q1", "q2", "own_text"])
+    queries = materialize(asked.mapInPandas(dealt, "q1 long, q2 long, own_text string, vector array<double>, cell long"), "queries")
 
     def search(asked: DataFrame) -> DataFrame:
-        """Searches `asked` in the points of its cells; a cell's queries are dealt to `parts` tasks."""
-        left = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))) if parts > 1 else F.lit(0))
-        right = asked.withColumn("part", F.pmod("q2", F.lit(parts)).cast("int"))
+        """Searches `asked` in the points of its cells."""
+        filled = asked.groupBy("cell").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("parts"))
+        left = held.join(filled, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        right = asked.join(filled, "cell").withColumn("part", F.pmod("q2", F.col("parts")).cast("int")).drop("parts")
         both = left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part"))
         return both.applyInPandas(lambda p, q: _searched(p, q, k + 1, m, seed, sure), FOUND)
 
     first = materialize(search(queries), "first") if levels else search(queries)
     if levels:
-        # boxes of all cells: as many rows as there are cells
+
         def boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 vectors = np.stack(batch["vector"].to_numpy())
@@ -219,12 +229,17 @@ def nearest(vectors: DataFrame, every: int, k: int = K, m: int = PROJECTED, sure
                 low, high = grouped.min(), grouped.max()
                 yield pd.DataFrame({"cell": low.index, "low": low.to_numpy().tolist(), "high": high.to_numpy().tolist()})
 
-        box = held.select("cell", "vector").mapInPandas(boxes, "cell long, low array<double>, high array<double>")
-        each = box.select("cell", F.posexplode(F.arrays_zip("low", "high")).alias("axis", "x")).groupBy("cell", "axis").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))
-        known = each.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("axis", "low", "high"))).alias("x")).select("cell", "x.low", "x.high").toPandas()
+        def around(box: DataFrame, by: str) -> DataFrame:
+            """One box for all boxes of a `by`."""
+            ends = [f(F.get(side, F.lit(a))).alias(f"{side}{a}") for side, f in (("low", F.min), ("high", F.max)) for a in range(m + 1)]
+            sides = [F.array(*(F.col(f"{side}{a}") for a in range(m + 1))).alias(side) for side in ("low", "high")]
+            return box.groupBy(by).agg(*ends).select(by, *sides)
+
+        box = materialize(around(held.select("cell", "vector").mapInPandas(boxes, "cell long, low array<double>, high array<double>"), "cell").withColumn("above", F.shiftright("cell", levels - upper)), "boxes")
+        known = around(box, "above").toPandas()  # 2 ** UPPER rows at most
         low, high = np.stack(known["low"].to_numpy())[:, :-1], np.stack(known["high"].to_numpy())
         high, longest = high[:, :-1], high[:, -1]
-        cells, quantile = known["cell"].to_numpy(), chi_square_quantile(sure, m)
+        nodes, quantile, step = known["above"].to_numpy(), chi_square_quantile(sure, m), max(1, (1 << 18) // len(known))
 
         def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -233,18 +248,25 @@ def nearest(vectors: DataFrame, every: int, k: int = K, m: int = PROJECTED, sure
                 vectors = np.stack(batch["vector"].to_numpy())
                 place, length = project(vectors, m, seed), (vectors**2).sum(axis=1)
                 least = batch["least"].fillna(-np.inf).to_numpy()
-                for lo in range(0, len(batch), 256):
-                    own = place[lo : lo + 256, None, :]
+                batch = batch.assign(place=list(place), length=length)
+                for lo in range(0, len(batch), step):
+                    own = place[lo : lo + step, None, :]
                     far = (np.maximum(0, np.maximum(low[None] - own, own - high[None])) ** 2).sum(axis=2)
-                    row, col = np.nonzero((far <= quantile * reach(length[lo : lo + 256, None], longest[None], least[lo : lo + 256, None])) & (cells[None, :] != batch["cell"].to_numpy()[lo : lo + 256, None]))
-                    yield batch.iloc[lo + row].assign(cell=cells[col])
-
-        best = first.groupBy("q1", "q2").agg(F.when(F.count("*") > k, F.min("score")).alias("least"))
-        onward = queries.join(best, ["q1", "q2"], "left").select("q1", "q2", "vector", "cell", "least")
-        sent = onward.mapInPandas(spread, "q1 long, q2 long, vector array<double>, cell long, least double")
+                    row, col = np.nonzero(far <= quantile * reach(length[lo : lo + step, None], longest[None], least[lo : lo + step, None]))
+                    yield batch.iloc[lo + row].assign(above=nodes[col])
+
+        best = first.withColumn("own_text", F.col("own").cast("string")).groupBy("q1", "q2", "own_text").agg(F.when(F.count("*") > k, F.min("score")).alias("least"))
+        met = queries.withColumnRenamed("cell", "home").join(best.withColumnsRenamed({"q1": "b1", "q2": "b2", "own_text": "b3"}), (F.col("q1") == F.col("b1")) & (F.col("q2") == F.col("b2")) & F.col("own_text").eqNullSafe(F.col("b3")), "left")
+        onward = met.select("q1", "q2", "own_text", "vector", "home", "least").mapInPandas(spread, "q1 long, q2 long, own_text string, vector array<double>, home long, least double, place array<double>, length double, above long")
+        gap = F.zip_with(F.zip_with(F.col("low"), F.col("place"), lambda a, x: a - x), F.zip_with(F.col("high"), F.col("place"), lambda b, x: x - b), lambda a, b: F.greatest(F.lit(0.0), a, b))  # the length has no place: null
+        far = F.aggregate(F.slice(gap, 1, m), F.lit(0.0), lambda acc, x: acc + x * x)
+        most = F.element_at("high", -1)
+        near = F.greatest(F.lit(0.0), F.col("length") + most - 2 * F.col("least")) + 1e-12 * (F.col("length") + most)
+        reached = onward.join(box, "above").where((F.col("cell") != F.col("home")) & (F.col("least").isNull() | (far <= quantile * near)))
+        sent = materialize(reached.select("q1", "q2", "own_text", "vector", "cell", "least"), "sent")
         first = first.union(search(sent))
-    ranked = first.withColumn("place", F.row_number().over(W.partitionBy("q1", "q2").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1)
-    answer = ranked.groupBy("q1", "q2").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("near"))
-    met = asking.select(F.col("vec_id").alias("query_id"), "q1", "q2").join(answer, ["q1", "q2"])
+    ranked = first.withColumn("place", F.row_number().over(W.partitionBy("q1", "q2", "own").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1)
+    answer = ranked.groupBy("q1", "q2", F.col("own").alias("own_")).agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("near"))
+    met = asking.select(F.col("vec_id").alias("query_id"), "q1", "q2", "own").join(answer.withColumnsRenamed({"q1": "a1", "q2": "a2"}), (F.col("q1") == F.col("a1")) & (F.col("q2") == F.col("a2")) & F.col("own").eqNullSafe(F.col("own_")))
     mine = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     return met.select("query_id", F.posexplode(mine).alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

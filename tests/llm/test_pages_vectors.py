@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import duckdb
 import numpy as np
 import pytest
@@ -74,8 +76,9 @@ def made(n, size, seed, scale=False):
     return [(k, x[k].tolist()) for k in range(n)]
 
 
-@pytest.mark.parametrize(("scale", "cell_rows", "query_rows"), [(False, 1 << 14, 1 << 14), (True, 300, 40)])
-def test_recall(spark, scale, cell_rows, query_rows):
+@pytest.mark.parametrize(("scale", "cell_rows", "query_rows", "upper"), [(False, 1 << 14, 1 << 14, 12), (True, 300, 40, 12), (False, 200, 5, 2)])
+def test_recall(spark, monkeypatch, scale, cell_rows, query_rows, upper):
+    monkeypatch.setattr(neighbours, "UPPER", upper)
     vectors = made(1500, 24, 3, scale)
     df = spark.createDataFrame([(i, v, 1) for i, v in vectors], "vec_id bigint, embedding array<float>, rank int")
     found = neighbours.nearest(df, 20, cell_rows=cell_rows, query_rows=query_rows).collect()
@@ -113,6 +116,24 @@ def test_equal_vectors_and_odd_rows(spark):
     assert neighbours.nearest(df.limit(0), 20).count() == 0
 
 
+def test_ids_with_several_vectors(spark):
+    vectors = [(k, v) for k, v in made(60, 8, 6)] + [(20, v) for _, v in made(30, 8, 7)] + [(40, v) for _, v in made(25, 8, 8)]
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>")
+    for of in ({}, {"cell_rows": 64, "query_rows": 9}):
+        found = neighbours.nearest(df, 20, **of).collect()
+        for q, times in ((0, 1), (20, 31), (40, 26)):
+            own = [r for r in found if r["query_id"] == q]
+            assert len(own) == 20 * times and (q == 0 or q not in {r["vec_id"] for r in own})
+    exact = {q: Counter() for q in (0, 20, 40)}
+    for q, v in vectors:
+        if q % 20 == 0:
+            scores = sorted((-float((np.array(v, np.float64) * np.array(w, np.float64)).sum()), i) for i, w in vectors if i != q)[:20]
+            exact[q].update(i for _, i in scores)
+    near = neighbours.nearest(df, 20).collect()
+    for q, want in exact.items():
+        assert sum((Counter(r["vec_id"] for r in near if r["query_id"] == q) & want).values()) >= 0.97 * sum(want.values())
+
+
 def test_fewer_candidates_than_asked(spark):
     df = spark.createDataFrame(made(5, 8, 4), "vec_id bigint, embedding array<float>")
     found = neighbours.nearest(df, 2).collect()
