@@ -2,8 +2,8 @@
 
 Every letter has a random vector of +1 and -1, drawn from a seeded generator. A letter trigram is bound
 from the vectors of its letters, permuted by their places (rotated by two, by one, not at all) and
-multiplied; a document bundles its trigrams' vectors, damped by the logarithm of their counts. A
-language's prototype bundles the unit vectors of its documents; the mean of all prototypes is taken off,
+multiplied; a document bundles its trigrams' vectors, damped by the logarithm of their counts (in sixteenths, so
+that sums are whole numbers and the same in any order and any split of the input). A language's prototype bundles the unit vectors of its documents; the mean of all prototypes is taken off,
 and a document gets the language with the nearest prototype by cosine.
 
 Prototypes are summed in each task, then in two steps by language, in whole numbers, so the order of tasks
@@ -67,9 +67,9 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def encode(texts: list[str], size: int = SIZE, seed: int = SEED) -> np.ndarray:
     """The bundled vector of each text, of length 1; zero where it has no letter."""
-    out = np.zeros((len(texts), size), np.float32)
+    out = np.zeros((len(texts), size))
     text, gram, count = trigrams(texts)
-    weight = (1 + np.log(count)).astype(np.float32)
+    weight = np.rint(16 * (1 + np.log(count))).astype(np.float32)
     used, code = np.unique(gram, return_inverse=True)
     first, second, third = letter_vectors(size, seed)
     for lo in range(0, len(used), _GRAMS):
@@ -79,9 +79,9 @@ def encode(texts: list[str], size: int = SIZE, seed: int = SEED) -> np.ndarray:
         t, c, w = text[here], code[here] - lo, weight[here]
         at = np.flatnonzero(np.diff(t, prepend=-1))
         for a, b in zip(at, np.append(at[1:], len(t)), strict=True):
-            out[t[a]] += w[a:b] @ vectors[c[a:b]]
+            out[t[a]] += w[a:b] @ vectors[c[a:b]]  # whole numbers below 2^24: single precision is exact
     length = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, length, out=out, where=length > 0)
+    return np.divide(out, length, out=out, where=length > 0).astype(np.float32)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -129,7 +129,7 @@ def _predict_task(batches: Iterator[pa.RecordBatch], langs: list[str], prototype
             vectors = encode([x or "" for x in texts[lo:hi].to_pylist()], prototypes.shape[1], seed)
             some = np.flatnonzero(vectors.any(axis=1))
             if len(some) and len(langs):
-                cosine = vectors[some] @ prototypes.T
+                cosine = np.stack([(vectors[some] * x).sum(axis=1) for x in prototypes], axis=1)  # row by row: a matrix product would depend on the portion
                 best[lo + some] = cosine.argmax(axis=1)
                 score[lo + some] = np.clip((1 + cosine.max(axis=1)) / 2, 0, 1)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])

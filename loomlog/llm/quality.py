@@ -6,8 +6,8 @@ are, not by hashes); nothing is shuffled. The decision list is learned by sequen
 and kept while it is precise there; the rows that it covers go, and the next one is grown. The list becomes
 one Spark expression: when(rule 1) .when(rule 2) ... otherwise keep.
 
-The list is fitted on `SAMPLE` labelled rows at most, the first by a hash of doc_id; everything else covers
-all rows. With no labels, or none of one kind, the list is empty and only the base rules reject.
+The list is fitted on `SAMPLE` labelled doc_ids at most, the first by a hash of doc_id, and on the first 2 * `SAMPLE`
+of their rows by doc_id and ratios (ids may repeat); everything else covers all rows. With no labels, or none of one kind, the list is empty and only the base rules reject.
 
 Defined results: a null text has no words, so it fails the base rules; repeated rows each get their
 counts; rows with a null doc_id can't be labelled but are judged; an empty table gives no rows; other
@@ -216,8 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list[C
     """Learns the list from at most `sample` labelled rows that pass the base rules."""
     first = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("__q_good")).orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(sample)
     own = docs.select("doc_id", "text").join(F.broadcast(first.withColumnRenamed("doc_id", "__q_id")), F.col("doc_id") == F.col("__q_id"))
-    rows = counted(own, ["doc_id", "__q_good"]).where(~base_failed()).select("doc_id", "__q_good", *(ratio(k).alias(k) for k in RATIOS)).limit(2 * sample).toPandas()
-    rows = rows.sort_values(["doc_id", *RATIOS])
+    rows = counted(own, ["doc_id", "__q_good"]).where(~base_failed()).select("doc_id", "__q_good", *(ratio(k).alias(k) for k in RATIOS)).orderBy("doc_id", *RATIOS).limit(2 * sample).toPandas()
     return learn({k: rows[k].to_numpy() for k in RATIOS}, rows["__q_good"].to_numpy() == 0)
 
 

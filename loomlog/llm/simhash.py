@@ -19,7 +19,7 @@ counts; a pair costs about a nanosecond.
 Defined results: null, empty and wordless texts have fingerprint zero and are linked like any other;
 repeated rows, and rows that share a doc_id, are a document each; rows with a null doc_id keep their
 fingerprint and take the component of the others (null if none of them has a doc_id); an empty table gives no rows;
-other columns are ignored; texts of any length are hashed whole.
+other columns are ignored (and kept by keep_one() whatever their names); texts of any length are hashed whole.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.shared import materialize, portions, raw, words
+from loomlog.llm.shared import fresh, materialize, portions, raw, words
 
 RADIUS = 4
 SHINGLE = 4
@@ -296,7 +296,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> D
     """
     first = classes(docs, radius, shingle).groupBy("sh_group").agg(F.min(F.struct(F.col("sh_id").isNull().alias("none"), "sh_id", "sh_text")).alias("h"))
     # plain, never null keys, so that both steps share one shuffle of the texts; rows that are alike go before it
-    key = ["__sh_none", "__sh_id", "__sh_text"]
+    key = fresh(docs, "sh_none", "sh_id", "sh_text")
     heads = first.select(F.col("h.none").alias(key[0]), F.coalesce("h.sh_id", F.lit(0)).alias(key[1]), F.col("h.sh_text").alias(key[2]))
     own = docs.withColumn(key[0], F.col("doc_id").isNull()).withColumn(key[1], F.coalesce("doc_id", F.lit(0))).withColumn(key[2], F.xxhash64("text"))
     return own.dropDuplicates(key).join(heads, key, "left_semi").drop(*key)

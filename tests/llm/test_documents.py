@@ -470,6 +470,45 @@ def test_language(spark, odd, no_docs):
     assert language.learn(no_docs)[0] == [] and {r["lang_pred"] for r in language.predict(odd, *language.learn(no_docs)).collect()} == {"und"}
 
 
+def plain_language(docs, held):
+    """Trigram by trigram in plain Python."""
+    own = np.random.default_rng(language.SEED).integers(0, 2, (language.SYMBOLS + 1, language.SIZE), dtype=np.int8) * 2 - 1
+
+    def vector(text):
+        symbols = []
+        for c in f" {(text or '').lower()} ":
+            x = ord(c) % language.SYMBOLS + 1 if c.isalpha() else 0
+            if x or not symbols or symbols[-1]:
+                symbols.append(x)
+        out = np.zeros(language.SIZE, np.int64)
+        for (a, b, c), n in Counter(zip(symbols, symbols[1:], symbols[2:])).items():
+            out += round(16 * (1 + np.log(n))) * (np.roll(own[a], 2) * np.roll(own[b], 1) * own[c]).astype(np.int64)
+        return out / np.sqrt((out.astype(float) ** 2).sum()) if out.any() else out.astype(float)
+
+    vectors = [vector(t) for _, t, _ in docs]
+    langs = sorted({lang for (_, t, lang), h in zip(docs, held) if lang is not None and t is not None and not h})
+    sums = np.array([sum(np.rint(v.astype(np.float32) * 65536) for v, (_, t, x), h in zip(vectors, docs, held) if x == lang and t is not None and not h) for lang in langs])
+    sums /= np.linalg.norm(sums, axis=1, keepdims=True)
+    sums -= sums.mean(axis=0)
+    sums /= np.linalg.norm(sums, axis=1, keepdims=True)
+    out = []
+    for v in vectors:
+        cosine = sums @ v
+        out.append((langs[int(cosine.argmax())], (1 + cosine.max()) / 2) if v.any() else ("und", 0.0))
+    return out
+
+
+def test_language_equals_brute_force(spark):
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if len(r["text"] or "") < 6000][:90]
+    docs += [(1000, None, "en"), (1001, "12 !", "en"), (1002, "x", "de"), (1003, "hello there world of words", None)]
+    held = [zlib.crc32(str(d).encode()) % 4 == 2 for d, _, _ in docs]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    found = [sorted(rows(language.predict(x, *language.learn(x)))) for x in (df.coalesce(1), df.repartition(5))]
+    assert found[0] == found[1]  # to the last bit, however the input is split
+    for (doc, own_held, lang, score), (want, near), h in zip(found[0], plain_language(docs, held), held, strict=True):
+        assert (own_held, lang) == (h, want) and abs(score - near) < 1e-5, doc
+
+
 def test_language_does_not_see_held_out_rows(spark, odd):
     hidden = odd.where(language.held_out(F.col("doc_id")))
     assert language.learn(hidden)[0] == []
