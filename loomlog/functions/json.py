@@ -36,7 +36,9 @@ def _holds(value: Column, path: str, pattern: object) -> Column:
         return kind == "VOID"
     if isinstance(pattern, bool):
         return (kind == "BOOLEAN") & F.coalesce(F.try_variant_get(value, path, "boolean") == pattern, F.lit(False))
-    if isinstance(pattern, (int, float)):
+    if isinstance(pattern, int):  # exactly, beyond 2^53 too; 1.0 equals 1
+        return kind.rlike(NUMBERS) & F.coalesce(F.try_variant_get(value, path, "decimal(38,0)") == F.lit(str(pattern)).cast("decimal(38,0)"), F.lit(False)) & F.coalesce(F.try_variant_get(value, path, "double") == float(pattern), F.lit(False))
+    if isinstance(pattern, float):
         return kind.rlike(NUMBERS) & F.coalesce(F.try_variant_get(value, path, "double") == float(pattern), F.lit(False))
     return (kind == "STRING") & F.coalesce(F.try_variant_get(value, path, "string") == str(pattern), F.lit(False))
 

@@ -15,9 +15,9 @@ def conflicts(requests: DataFrame, heads: DataFrame) -> DataFrame:
     return met.withColumn("head", F.coalesce("head", F.lit(0))).withColumn("conflict", F.coalesce(F.col("expected_version") != F.col("head"), F.lit(False)))
 
 
-def versioned(new: DataFrame, heads: DataFrame, order: str, span: int = 1 << 16) -> DataFrame:
-    """`new` events with versions that go on from their streams' heads, in the order of the integer column `order`."""
-    own = numbered(new, ["stream_id"], order, "__n", span)
+def versioned(new: DataFrame, heads: DataFrame, order: str, span: int = 1 << 16, ties: tuple[str, ...] = ()) -> DataFrame:
+    """`new` events with versions that go on from their streams' heads, in the order of the integer column `order`, then of `ties`."""
+    own = numbered(new, ["stream_id"], order, "__n", span, ties)
     met = own.join(heads.select(F.col("id").alias("__id"), F.col("version").alias("__head")), F.col("stream_id") == F.col("__id"), "left")
     return met.withColumn("version", F.col("__n") + F.coalesce("__head", F.lit(0))).drop("__n", "__id", "__head")
 

@@ -1,7 +1,8 @@
 """The filter algebra over a log: every filter is a Column, combined with &, | and ~.
 
-Leaves are null-safe, so ~ is two-valued: a live row (aggregate_version is null) is not in archive 2, and
-`~with_aggregate_version(2)` keeps it. Catalyst pushes what it can to the scan.
+~ is two-valued: the one column of a log that may be null is aggregate_version, whose leaf is null-safe (a live row
+is not in archive 2, and `~with_aggregate_version(2)` keeps it). All others are plain comparisons, which reach the
+Parquet scan as pushed filters, negated or not.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ def everything() -> Column:
 
 
 def with_stream_id(stream_id: str) -> Column:
-    return F.col("stream_id").eqNullSafe(stream_id)
+    return F.col("stream_id") == stream_id
 
 
 def for_stream_types(types: Iterable[str]) -> Column:
     """False for no types at all."""
-    return F.coalesce(F.col("stream_type").isin(list(types)), F.lit(False))
+    own = list(types)
+    return F.col("stream_type").isin(own) if own else F.lit(False)
 
 
 def of_stream_types(log: DataFrame, streams: DataFrame, types: Iterable[str]) -> DataFrame:
@@ -43,22 +45,22 @@ def with_metadata_equal(value: object) -> Column:
 
 
 def after_version(n: int) -> Column:
-    return F.coalesce(F.col("version") > n, F.lit(False))
+    return F.col("version") > n
 
 
 def up_to_version(n: int | None) -> Column:
     """None: no limit."""
-    return everything() if n is None else F.coalesce(F.col("version") <= n, F.lit(False))
+    return everything() if n is None else F.col("version") <= n
 
 
 def created_after(t: datetime) -> Column:
     """Exclusive."""
-    return F.coalesce(F.col("created") > F.lit(t), F.lit(False))
+    return F.col("created") > F.lit(t)
 
 
 def created_before(t: datetime | None) -> Column:
     """Inclusive. None: no limit."""
-    return everything() if t is None else F.coalesce(F.col("created") <= F.lit(t), F.lit(False))
+    return everything() if t is None else F.col("created") <= F.lit(t)
 
 
 def with_aggregate_version(n: int | None) -> Column:
@@ -67,4 +69,4 @@ def with_aggregate_version(n: int | None) -> Column:
 
 
 def after_position(cursor: int) -> Column:
-    return F.coalesce(F.col("global_position") > cursor, F.lit(False))
+    return F.col("global_position") > cursor

@@ -18,10 +18,13 @@ def _cells(df: DataFrame, key: list[str], order: str, amount: Column, span: int)
     return celled, sums.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
 
 
-def numbered(df: DataFrame, key: list[str], order: str, name: str, span: int) -> DataFrame:
-    """`name`: 1, 2, ... within `key` by `order`, an integer column without ties in a key. Keys may not be null."""
+def numbered(df: DataFrame, key: list[str], order: str, name: str, span: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """`name`: 1, 2, ... within `key` by the integer column `order`; rows that are equal there are ordered by `ties`. Keys may not be null.
+
+    Without a key all rows are numbered: only the table of cells, one row for `span` values of `order`, meets in one task.
+    """
     celled, before = _cells(df, key, order, F.lit(1), span)
-    own = F.row_number().over(W.partitionBy(*key, "__cell").orderBy(order))
+    own = F.row_number().over(W.partitionBy(*key, "__cell").orderBy(order, *ties))
     return celled.withColumn("__own", own).join(before, [*key, "__cell"]).withColumn(name, (F.col("__own") + F.col("__before")).cast("bigint")).drop("__cell", "__own", "__before")
 
 

@@ -15,12 +15,14 @@ LENSES = {
     "live": lambda: F.col("aggregate_version").isNull(),
     "true_log": lambda: ~F.col("compacted_snapshot"),
 }
+#: The order of reads across streams: (created, version) as events of one append tie, and the position as the last word.
 ORDER = ("created", "version", "global_position")
 
 
-def scan(log: DataFrame, where: Column | None = None, lens: str = "raw") -> DataFrame:
-    """The rows of `log` under a lens that meet a filter. Unordered: ORDER is the order of reads across streams."""
-    return log.where(LENSES[lens]()).where(where if where is not None else filters.everything())
+def scan(log: DataFrame, where: Column | None = None, lens: str = "raw", ordered: bool = False) -> DataFrame:
+    """The rows of `log` under a lens that meet a filter; in ORDER, if that is asked for."""
+    own = log.where(LENSES[lens]()).where(where if where is not None else filters.everything())
+    return own.orderBy(*ORDER) if ordered else own
 
 
 def stream_at(log: DataFrame, aggregate_version: int | None = None, at_version: int | None = None, at_time: datetime | None = None) -> DataFrame:

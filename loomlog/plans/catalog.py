@@ -6,14 +6,18 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomlog import schema
 from loomlog.functions import json, urn
+from loomlog.errors import LogError
 from loomlog.operators import aggregates, commands, compaction, filters, folds, merged
+from loomlog.operators.numbering import numbered
+from loomlog.operators.query import Query
 from loomlog.operators.scan import event_by_id, heads, scan, stream_at
 from loomlog.plans import projections
+from loomlog.sources import files
+from loomlog.stages import cut, scratch
 from loomlog.streaming import feed, policies, status, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,13 +29,13 @@ CUT = datetime(2024, 1, 15)
 LOG = """log AS (SELECT 'User-' || (event_id + 1) AS id, 'urn:user:' || user_id AS stream_id, 'User' AS stream_type, event_type AS type,
     row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS version, event_id + 1 AS global_position, ts AS created, props AS metadata, value, CAST(value AS DECIMAL(18,2)) AS amount FROM events)"""
 ORDER_LOG = """orders_log AS (SELECT 'urn:order:' || o_orderkey AS stream_id, 'Order' AS stream_type, 'OrderPlaced' AS type, o_orderkey + 1 AS global_position FROM orders)"""
-#: The log after all streams were compacted to their tails: archive 1, and copies as live rows.
+#: The log after all streams were compacted to their tails: archive 1, and copies as live rows, at dense positions; streams that are their tails stay as they are.
 COMPACTED = (
     LOG
-    + """, ck AS (SELECT stream_id, max(version) FILTER (type = 'view') AS cp FROM log GROUP BY stream_id),
-  tail AS (SELECT log.* FROM log JOIN ck USING (stream_id) WHERE version >= coalesce(cp, 0)),
-  compacted AS (SELECT stream_id, type, version, global_position, 1 AS aggregate_version, false AS compacted_snapshot, amount FROM log
-    UNION ALL SELECT stream_id, type, row_number() OVER (PARTITION BY stream_id ORDER BY version), (SELECT max(global_position) FROM log) + global_position, NULL, true, amount FROM tail)"""
+    + """, ck AS (SELECT stream_id, max(version) FILTER (type = 'view') AS cp, max(version) AS head FROM log GROUP BY stream_id),
+  tail AS (SELECT log.* FROM log JOIN ck USING (stream_id) WHERE cp > 1 AND version >= cp),
+  compacted AS (SELECT stream_id, type, version, global_position, CASE WHEN cp > 1 THEN 1 END AS aggregate_version, false AS compacted_snapshot, amount FROM log JOIN ck USING (stream_id)
+    UNION ALL SELECT stream_id, type, row_number() OVER (PARTITION BY stream_id ORDER BY version), (SELECT max(global_position) FROM log) + row_number() OVER (ORDER BY global_position), NULL, true, amount FROM tail)"""
 )
 SIGNED = "CASE type WHEN 'click' THEN amount WHEN 'purchase' THEN -amount END"
 ROW = ("stream_id", "version", "global_position", "type")
@@ -61,18 +65,16 @@ def _log(spark: SparkSession, sf_dir: str, versions: bool = True) -> DataFrame:
 
 
 def _amounts(spark: SparkSession, sf_dir: str, versions: bool = True) -> DataFrame:
-    """The log with `value` beside it, which other queries read from the payload."""
-    return _log(spark, sf_dir, versions).withColumn("value", _value())
+    """The log with its typed `value` beside the payload."""
+    return schema.log_from_events(_table(spark, sf_dir, "events"), versions, typed=True)
 
 
-def _value():
-    """The payload's value, whatever the variant."""
-    return F.regexp_extract("data", r'"value":([-+0-9.eE]+)', 1).cast("double")
+def _tails(log: DataFrame) -> DataFrame:
+    return compaction.compact(log, kept := compaction.tail_after_checkpoint(log, F.col("type") == CHECKPOINT), minimal=compaction.unchanged(log, kept))
 
 
 def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = _amounts(spark, sf_dir)
-    return compaction.compact(log, compaction.tail_after_checkpoint(log, F.col("type") == CHECKPOINT))
+    return _tails(_amounts(spark, sf_dir))
 
 
 # --- filters
@@ -263,24 +265,77 @@ def guarded_withdrawals_by_array(spark, sf_dir):
     return folds.guarded_by_array(_amounts(spark, sf_dir), F.col("value"), PLUS, MINUS)
 
 
+def _apply(state, kind, fields):
+    return {"cents": state["cents"] + (1 if kind == PLUS else -1) * round(fields["value"] * 100)}
+
+
+def _handle(state, kind, fields, services):
+    if kind == MINUS and state["cents"] < round(fields["value"] * 100):
+        raise LogError("business_rule", "not covered")
+    return [(kind, fields)]
+
+
+BANK = aggregates.Aggregate("Account", ACCOUNT, _apply, _handle, {"cents": 0}, "user")
+#: Every movement as a command, each seventh with an expected version of 0: (stream_id, n, kind of the error).
+COMMANDED = f"""WITH RECURSIVE {LOG}, m AS (SELECT stream_id, type, amount, row_number() OVER (PARTITION BY stream_id ORDER BY version) AS n FROM log WHERE type IN ('click', 'purchase')),
+  g AS (SELECT stream_id, n, CASE type WHEN 'click' THEN amount ELSE 0 END::DECIMAL(18,2) AS balance, (type = 'click' OR amount <= 0)::INT AS version, CASE WHEN type = 'purchase' AND amount > 0 THEN 'business_rule' END AS kind FROM m WHERE n = 1
+    UNION ALL SELECT m.stream_id, m.n, CASE WHEN k.kind IS NOT NULL THEN balance WHEN type = 'click' THEN balance + amount ELSE balance - amount END::DECIMAL(18,2), version + (k.kind IS NULL)::INT, k.kind
+      FROM g JOIN m ON m.stream_id = g.stream_id AND m.n = g.n + 1, LATERAL (SELECT CASE WHEN m.n % 7 = 0 AND version <> 0 THEN 'conflict' WHEN type = 'purchase' AND balance < amount THEN 'business_rule' END AS kind) k)"""
+
+
+def _commands(log: DataFrame) -> DataFrame:
+    own = numbered(log.where(F.col("type").isin(PLUS, MINUS)), ["stream_id"], "version", "n", schema.SPAN)
+    return own.select("stream_id", "n", F.col("data").alias("command"), F.lit(None).cast("bigint").alias("expected_version"))
+
+
 @query(GUARDED)
 def execute_batch(spark, sf_dir):
-    """The first 5000 positions are history, the rest are commands on its states."""
-    own = _amounts(spark, sf_dir).where(F.col("type").isin(PLUS, MINUS)).withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
-    account = aggregates.Aggregate("Account", ACCOUNT, folds.withdraw_if_covered(PLUS, MINUS))
-    past = folds.guarded(own.where("global_position <= 5000"), account.decide, F.col("cents")).cache()
-    known = past.groupBy("stream_id").agg(F.max_by("state", "version").alias("state"))
-    done = aggregates.execute_batch(known, own.where("global_position > 5000").withColumnRenamed("version", "n"), account)
-    both = past.select("stream_id", F.col("version").alias("n"), "state", "accepted").unionByName(done.select("stream_id", "n", "state", "accepted"))
-    return both.groupBy("stream_id").agg((F.max_by("state", "n") / 100).alias("balance"), F.sum(F.when(F.col("accepted"), 0).otherwise(1)).alias("rejected"))
+    """The first half of the log's positions are history, the rest are commands on its states."""
+    log = _log(spark, sf_dir)
+    half = log.agg(F.max("global_position")).first()[0] // 2
+    # the history is what its own commands were accepted as
+    past = cut(aggregates.execute_batch(schema.empty_log(spark), _commands(log.where(F.col("global_position") <= half)), BANK))
+    then = F.timestamp_seconds(F.lit(0))
+    known = files.placed(schema.empty_log(spark), aggregates.events_of(past, BANK, F.lit("null"), then))
+    done = aggregates.execute_batch(known, _commands(log.where(F.col("global_position") > half)).withColumn("n", F.col("n") + (1 << 40)), BANK)
+    both = past.unionByName(done)
+    return both.groupBy("stream_id").agg((F.max_by(F.get_json_object("state", "$.cents").cast("bigint"), "n") / 100).alias("balance"), F.count_if(~F.col("accepted")).alias("rejected"))
+
+
+@query(COMMANDED + " SELECT stream_id, n, kind IS NULL AS accepted, version::BIGINT AS version, kind AS error_kind FROM g")
+def execute_with_expected_versions(spark, sf_dir):
+    asked = _commands(_log(spark, sf_dir)).withColumn("expected_version", F.when(F.col("n") % 7 == 0, 0))
+    return aggregates.execute_batch(schema.empty_log(spark), asked, BANK).select("stream_id", "n", "accepted", "version", "error_kind")
+
+
+@query(f"WITH {LOG} SELECT stream_id, max(version)::BIGINT AS version, sum(CASE type WHEN 'click' THEN amount ELSE -amount END)::DOUBLE AS balance FROM log WHERE type IN ('click', 'purchase') GROUP BY stream_id")
+def aggregate_states(spark, sf_dir):
+    """States of any shape, folded event by event."""
+    own = aggregates.states(_log(spark, sf_dir).where(F.col("type").isin(PLUS, MINUS)), BANK)
+    return own.select("stream_id", "version", (F.get_json_object("state", "$.cents").cast("bigint") / 100).alias("balance"))
+
+
+@query(f"WITH {LOG} SELECT type, count(*) AS events, sum(amount)::DOUBLE AS total FROM log WHERE type IN ('click', 'purchase', 'view', 'signup') AND version > 10 GROUP BY type")
+def run_query(spark, sf_dir):
+    """A query object on a compacted log: the true log by default, so that nothing counts twice."""
+    value = F.coalesce(*(merged.payload(F.col("data"), x, "value", "double") for x in (PLUS, MINUS, CHECKPOINT, "signup")))
+    own = Query(lambda rows: rows.groupBy("type").agg(F.count("*").alias("events"), F.sum(folds.money(value)).cast("double").alias("total")), filters.after_version(10), (ACCOUNT, VISIT))
+    return own.run(_tails(_log(spark, sf_dir)))
+
+
+@query("SELECT count(*) AS rows, sum(CAST(l_extendedprice AS DECIMAL(18,2)))::DOUBLE AS total FROM lineitem")
+def bulk_csv_fold(spark, sf_dir):
+    """Payments from CSV files, made from the lines' dates and prices, folded to their number and total."""
+    path = scratch(spark, "payments")
+    _table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("operation_date"), F.col("l_extendedprice").alias("amount")).write.mode("overwrite").csv(path, header=True)
+    return files.payments(spark, path).agg(F.count("*").alias("rows"), F.sum(folds.money(F.col("amount"))).cast("double").alias("total"))
 
 
 @query("""WITH opened AS (SELECT o_orderkey, o_custkey FROM orders), moved AS (SELECT l_orderkey, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount FROM lineitem)
 SELECT 'urn:customer:' || o_custkey AS owner, sum(amount)::DOUBLE AS total, count(*) AS movements FROM moved JOIN opened ON l_orderkey = o_orderkey GROUP BY o_custkey""")
 def global_position(spark, sf_dir):
-    opened = schema.log_from_orders(_table(spark, sf_dir, "orders"), versions=False).select("stream_id", merged.payload(F.col("data"), "OrderPlaced", "owner", "string").alias("owner"), F.lit(0).cast("bigint").alias("opened_at"))
-    lines = schema.log_from_lineitem(_table(spark, sf_dir, "lineitem"), versions=False)
-    own = projections.owner_totals(lines.withColumn("price", merged.payload(F.col("data"), "LineAdded", "price", "double")), opened, F.col("price"))
+    opened = schema.log_from_orders(_table(spark, sf_dir, "orders"), versions=False, typed=True).select("stream_id", "owner", F.lit(0).cast("bigint").alias("opened_at"))
+    own = projections.owner_totals(schema.log_from_lineitem(_table(spark, sf_dir, "lineitem"), versions=False, typed=True), opened, F.col("price"))
     return own.select("owner", F.col("total").cast("double").alias("total"), "movements")
 
 
@@ -300,7 +355,7 @@ UNION ALL SELECT 'visit', stream_id, type, global_position FROM log WHERE type I
 UNION ALL SELECT 'order', 'urn:order:' || o_orderkey, 'OrderPlaced', o_orderkey + 1 FROM orders""")
 def merged_activity_log(spark, sf_dir, versions=False):
     both = _log(spark, sf_dir, versions=False).unionByName(schema.log_from_orders(_table(spark, sf_dir, "orders"), versions=False))
-    return merged.decoded(both, [ACCOUNT, VISIT, ORDER]).select("event_family", "stream_id", merged.variant_of(F.col("data")).alias("type"), "global_position")
+    return merged.decoded(both, [ACCOUNT, VISIT, ORDER]).select("event_family", "stream_id", F.col("event_variant").alias("type"), "global_position")
 
 
 @query(f"""WITH {LOG} SELECT CASE WHEN type IN ('click', 'purchase') THEN 'account' WHEN type IN ('view', 'signup') THEN 'visit' END AS event_family, count(*) AS events FROM log GROUP BY 1""")
@@ -342,8 +397,12 @@ def compact_full_log(spark, sf_dir):
 
 @query(f"WITH {LOG} SELECT stream_id, CASE WHEN count(*) = 1 AND max(type) = 'view' THEN 'already_compacted' ELSE 'rewrite' END AS outcome, sum(amount)::DOUBLE AS total FROM log GROUP BY stream_id")
 def compact_fold_to_one(spark, sf_dir):
-    own = compaction.to_snapshot(_amounts(spark, sf_dir, versions=False), F.sum(folds.money(F.col("value"))).cast("double"), CHECKPOINT)
-    return own.select("stream_id", "outcome", merged.payload(F.col("data"), CHECKPOINT, "total", "double").alias("total"))
+    log = _log(spark, sf_dir)
+    amount = F.coalesce(*(merged.payload(F.col("data"), x, "value", "double") for x in (PLUS, MINUS, CHECKPOINT, "signup", "error")))
+    kept, lone = compaction.to_snapshot(log, F.sum(folds.money(amount)).cast("double"), CHECKPOINT)
+    left, done = compaction.live(compaction.compact(log, kept, minimal=lone)), compaction.outcomes(log, kept, lone)
+    total = F.coalesce(merged.payload(F.col("data"), CHECKPOINT, "total", "double"), merged.payload(F.col("data"), CHECKPOINT, "value", "double"))
+    return left.join(done, "stream_id").select("stream_id", F.when(F.col("outcome") == "skipped", "already_compacted").otherwise("rewrite").alias("outcome"), total.alias("total"))
 
 
 @query(f"WITH {LOG} SELECT 0::BIGINT AS mismatches, count(DISTINCT stream_id) AS streams FROM log")
@@ -363,10 +422,20 @@ def needs_compaction(spark, sf_dir):
     return compaction.needs_compaction(own.join(marks, own["id"] == marks["__id"], "left"))
 
 
-@query(f"WITH {COMPACTED}, ck2 AS (SELECT stream_id, count(*) AS n FROM tail GROUP BY stream_id), b AS (SELECT stream_id, count(*) AS n, max(version) AS head FROM log GROUP BY stream_id) SELECT b.stream_id, CASE WHEN ck2.n = b.n THEN 'skipped' ELSE 'compacted' END AS outcome, CASE WHEN ck2.n <> b.n THEN 1 END AS archive, CASE WHEN ck2.n = b.n THEN head ELSE ck2.n END AS watermark FROM b JOIN ck2 USING (stream_id)")
+@query(f"WITH {COMPACTED} SELECT stream_id, CASE WHEN cp > 1 THEN 'compacted' ELSE 'skipped' END AS outcome, CASE WHEN cp > 1 THEN 1 END AS archive, CASE WHEN cp > 1 THEN head - cp + 1 ELSE head END AS watermark FROM ck")
 def compact_outcomes(spark, sf_dir):
     log = _log(spark, sf_dir)
-    return compaction.outcomes(log, compaction.tail_after_checkpoint(log, F.col("type") == CHECKPOINT))
+    kept = compaction.tail_after_checkpoint(log, F.col("type") == CHECKPOINT)
+    return compaction.outcomes(log, kept, compaction.unchanged(log, kept))
+
+
+@query(f"WITH {COMPACTED}, m AS (SELECT stream_id AS id, CASE WHEN cp > 1 THEN head - cp + 1 ELSE head END AS mark FROM ck) SELECT id, mark AS version, mark AS last_compacted_version, false AS needs_compaction FROM m")
+def compact_watermarks(spark, sf_dir):
+    """The streams table after a compaction: heads and watermarks agree, so no stream needs another."""
+    log = _log(spark, sf_dir)
+    kept = compaction.tail_after_checkpoint(log, F.col("type") == CHECKPOINT)
+    streams = compaction.settled(heads(log).withColumn("last_compacted_version", F.lit(None).cast("bigint")), compaction.outcomes(log, kept, compaction.unchanged(log, kept)))
+    return streams.join(compaction.needs_compaction(streams), "id").select("id", "version", "last_compacted_version", "needs_compaction")
 
 
 @query(f"WITH {COMPACTED} SELECT stream_id, (coalesce(max(aggregate_version), 0) + 1)::INT AS archive FROM compacted GROUP BY stream_id")
@@ -406,7 +475,7 @@ def policy_feed_skips_synthetic(spark, sf_dir):
 def _fee(rows: DataFrame) -> DataFrame:
     """A fee of 1 for each deposit, and a notice too if it is above 100."""
     each = F.when(F.col("value") > 100, F.array(F.lit("Fee"), F.lit("Notice"))).otherwise(F.array(F.lit("Fee")))
-    own = rows.where(F.col("type") == PLUS).withColumn("target", F.explode(each))
+    own = rows.where(F.col("type") == PLUS).select("*", F.posexplode(each).alias("ordinal", "target"))
     return own.withColumn("to_stream", F.concat(F.lit("urn:fee:"), urn.id_of(F.col("stream_id")))).withColumn("command", F.lit('{"Charge":{"amount":1}}'))
 
 
@@ -442,9 +511,9 @@ def causation_breaker(spark, sf_dir):
     return policies.broken(_caused(spark, sf_dir), 8).select("global_position", "depth")
 
 
-@query(f"WITH {LOG} SELECT id AS event_id, 'User-' || (global_position - global_position % 10) AS root, (global_position % 10)::INT AS steps FROM log WHERE global_position >= 10")
+@query(f"WITH {LOG} SELECT id AS event_id, 'User-' || (global_position - global_position % 10) AS root, (global_position % 10)::INT AS steps FROM log")
 def causation_lineage(spark, sf_dir):
-    return policies.lineage(_caused(spark, sf_dir).where("global_position >= 10")).select("event_id", "root", F.col("steps").cast("int").alias("steps"))
+    return policies.lineage(_caused(spark, sf_dir)).select("event_id", "root", F.col("steps").cast("int").alias("steps"))
 
 
 @query(f"WITH {LOG} SELECT global_position, global_position % 3 = 0 AS collides, CASE WHEN global_position % 3 <> 0 THEN (metadata->>'$.k')::BIGINT END AS k, CASE WHEN global_position % 3 <> 0 THEN global_position END AS n FROM log")
@@ -492,8 +561,8 @@ def policy_condition(spark, sf_dir):
 
 @query(f"WITH {LETTERS} SELECT policy_name, id, row_number() OVER (PARTITION BY policy_name ORDER BY global_position, created_at, id)::INT AS turn FROM letters")
 def dead_letter_retry_order(spark, sf_dir):
-    turn = F.row_number().over(W.partitionBy("policy_name").orderBy("global_position", "created_at", "id"))
-    return policies.retry_order(_letters(spark, sf_dir)).select("policy_name", "id", turn.alias("turn"))
+    own = numbered(_letters(spark, sf_dir), ["policy_name"], "global_position", "turn", schema.SPAN, ("created_at", "id"))
+    return own.select("policy_name", "id", F.col("turn").cast("int").alias("turn"))
 
 
 @query(f"WITH {LETTERS} SELECT id, policy_name, CASE WHEN id % 4 = 0 THEN 'retried' ELSE 'open' END AS state FROM letters")
@@ -503,9 +572,9 @@ def dead_letter_archive_move(spark, sf_dir):
     return left.select("id", "policy_name", F.lit("open").alias("state")).union(moved.select("dead_letter_id", "policy_name", "reason"))
 
 
-@query(f"WITH {LOG} SELECT id AS event_id, global_position, 'no executor for Notice' AS error_message FROM log WHERE type = 'click' AND value > 100")
+@query(f"WITH {LOG} SELECT id AS event_id, global_position, 'Invalid Input' AS error_kind, 'no executor for Notice' AS error_message FROM log WHERE type = 'click' AND value > 100")
 def dead_letters_unserved(spark, sf_dir):
-    return policies.unserved(policies.dispatches(_amounts(spark, sf_dir, versions=False), FEE), ["Fee"]).select("event_id", "global_position", "error_message")
+    return policies.unserved(policies.dispatches(_amounts(spark, sf_dir, versions=False), FEE), ["Fee"]).select("event_id", "global_position", "error_kind", "error_message")
 
 
 @query(f"WITH {LOG}, b AS (SELECT * FROM log WHERE global_position > 200 AND type = 'click' ORDER BY global_position LIMIT 100) SELECT global_position, stream_id FROM b")
@@ -515,13 +584,28 @@ def policy_drain(spark, sf_dir):
     return asked.select("global_position", F.regexp_replace("to_stream", "^urn:fee:", "urn:user:").alias("stream_id"))
 
 
-@query("""WITH k AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'business_rule' WHEN 2 THEN 'conflict' WHEN 3 THEN 'unavailable' WHEN 4 THEN 'internal' ELSE 'invalid_input' END AS kind, user_id % 5 + 1 AS tries FROM events)
-SELECT event_id, CASE WHEN kind IS NULL THEN 'done' WHEN kind = 'business_rule' THEN 'advance' WHEN kind IN ('conflict', 'unavailable') AND tries <= 3 THEN 'retry' ELSE 'dead_letter' END AS action,
-  CASE WHEN kind IN ('conflict', 'unavailable') AND tries <= 3 THEN [100, 200, 400][tries] END AS wait_ms FROM k""")
+@query(COMMANDED + " SELECT stream_id, n, CASE kind WHEN 'business_rule' THEN 'advance' WHEN 'conflict' THEN 'retry' ELSE 'done' END AS action, CASE kind WHEN 'conflict' THEN 100 END AS wait_ms FROM g")
 def policy_resilience(spark, sf_dir):
-    kinds = F.array(*(F.lit(x) for x in (None, "business_rule", "conflict", "unavailable", "internal", "invalid_input")))
-    own = _table(spark, sf_dir, "events").select("event_id", policies.next_step(F.get(kinds, (F.col("event_id") % 6).cast("int")), (F.col("user_id") % 5 + 1).cast("int")).alias("s"))
-    return own.select("event_id", "s.action", "s.wait_ms")
+    """What follows from the verdicts on every movement as a command: done, declined (advance), or a conflict to try again."""
+    asked = _commands(_log(spark, sf_dir)).withColumn("expected_version", F.when(F.col("n") % 7 == 0, 0))
+    done = aggregates.execute_batch(schema.empty_log(spark), asked, BANK).select("stream_id", "n", policies.next_step(F.col("error_kind"), F.lit(1)).alias("s"))
+    return done.select("stream_id", "n", "s.action", "s.wait_ms")
+
+
+@query(f"""WITH {LOG}, h AS (SELECT max(global_position) // 2 AS h FROM log), ck AS (SELECT stream_id, max(version) FILTER (type = 'view') AS cp FROM log, h WHERE global_position <= h GROUP BY stream_id),
+  t AS (SELECT count(*) AS c FROM log JOIN ck USING (stream_id), h WHERE global_position <= h AND cp > 1 AND version >= cp),
+  f AS (SELECT id, type, global_position AS p FROM log, h WHERE global_position <= h UNION ALL SELECT NULL, NULL, h + unnest(range(1, c + 1)) FROM h, t UNION ALL SELECT id, type, global_position + c FROM log, h, t WHERE global_position > h),
+  b AS (SELECT f.* FROM f, h WHERE p > h - 200 ORDER BY p LIMIT 1000)
+SELECT p AS global_position, id AS event_id FROM b WHERE type = 'click'""")
+def policy_drain_compacted(spark, sf_dir):
+    """A batch over the place where the first half of the log was compacted and the second half appended: copies are passed, nothing stalls."""
+    log = _log(spark, sf_dir)
+    half = log.agg(F.max("global_position")).first()[0] // 2
+    first = cut(_tails(log.where(F.col("global_position") <= half)))
+    then = files.placed(first, log.where(F.col("global_position") > half).withColumn("n", F.col("global_position")).drop("version"))
+    both = first.unionByName(then).withColumn("value", F.get_json_object("data", "$.click.value").cast("double"))
+    asked, _, _ = policies.drain(both, policies.Policy("fee", _fee, start_at="beginning", batch=1000), half - 200, ["Fee"])
+    return asked.select("global_position", "event_id")
 
 
 @query(f"WITH {LOG}, {LETTERS} SELECT letters.id, CASE WHEN log.type = 'click' AND value > 100 THEN 'still_failing' WHEN log.id IS NULL THEN 'still_failing' ELSE 'resolved' END AS outcome FROM letters LEFT JOIN log ON log.global_position = letters.global_position + 1 AND log.global_position % 50 <> 0")
@@ -556,12 +640,18 @@ def projection_global_position(spark, sf_dir):
     return kept.select("owner", F.col("total").cast("double").alias("total"), "orders")
 
 
-@query("""SELECT c_name AS name, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 4 END AS stored, 2::INT AS version,
-  CASE c_custkey % 4 WHEN 0 THEN 'init' WHEN 1 THEN 'rebuild' WHEN 2 THEN 'keep' ELSE 'invalid' END AS action FROM customer""")
+@query("""WITH o AS (SELECT o_custkey, CAST(o_totalprice AS DECIMAL(18,2)) AS total FROM orders), s AS (SELECT count(DISTINCT o_custkey) AS owners, sum(total)::DOUBLE AS total FROM o)
+SELECT step, action, version, owners, total FROM s, (VALUES ('first', 'init', 1), ('again', 'keep', 1), ('new code', 'rebuild', 2)) v(step, action, version)""")
 def projection_version_plan(spark, sf_dir):
-    customers = _table(spark, sf_dir, "customer")
-    registered = customers.where("c_custkey % 4 <> 0").select(F.col("c_name").alias("name"), (F.col("c_custkey") % 4).alias("version"))
-    return projections.plan(registered, customers.select(F.col("c_name").alias("name"), F.lit(2).alias("version")))
+    """Builds of a stored view: at first, again, and after its code's version rose; after each, what is stored."""
+    log, path, out = schema.log_from_orders(_table(spark, sf_dir, "orders"), versions=False, typed=True), scratch(spark, "views"), []
+    for step, version in (("first", 1), ("again", 1), ("new code", 2)):
+        view = projections.Projection("owners", version, filters.for_stream_types(["Order"]), lambda rows: rows.select("owner", folds.money(F.col("total")).alias("total")), lambda rows: rows.groupBy("owner").agg(F.sum("total").alias("total")))
+        views = projections.Views(spark, path, [view])
+        action = views.build(log)["owners"]
+        recorded = views.registry.read().select(F.col("version").alias("version"))
+        out.append(views.read("owners").agg(F.count("*").alias("owners"), F.sum("total").cast("double").alias("total")).crossJoin(recorded).select(F.lit(step).alias("step"), F.lit(action).alias("action"), "version", "owners", "total"))
+    return out[0].union(out[1]).union(out[2])
 
 
 # --- names, conflicts, windows

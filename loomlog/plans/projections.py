@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.errors import LogError
 from loomlog.operators.folds import MONEY, money, signed
+from loomlog.schema import PROJECTIONS
+from loomlog.sources.publish import Folder
+from loomlog.sources.tables import KEEP, Table
 
 
 @dataclass(frozen=True)
@@ -44,11 +47,55 @@ def check(planned: DataFrame) -> DataFrame:
     return planned
 
 
-def build(log: DataFrame, registered: DataFrame, all_: list[Projection], stored: Callable[[str], DataFrame]) -> dict[str, DataFrame]:
-    """The views of all projections at their code's version: `stored` ones where nothing changed, rebuilt ones elsewhere."""
-    code = log.sparkSession.createDataFrame([(x.name, x.version) for x in all_], "name string, version int")
-    todo = {r["name"]: r["action"] for r in check(plan(registered, code)).collect()}
-    return {x.name: stored(x.name) if todo[x.name] == "keep" else x.rebuild(log) for x in all_}
+class Views:
+    """Stored views beside a log (in its folder, where no reader of the log looks), with a record of each one's version.
+
+    A state of a view is a folder `v<version>-<position>`; the last by name is the view. build() brings all to their code's
+    version, the record last. updates() is for files.append(): it writes the views' next states aside, and they are published
+    with the events or not at all.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, all_: Sequence[Projection]) -> None:
+        self.spark, self.all_ = spark, {x.name: x for x in all_}
+        self.folder = Folder(spark, path)
+        self.registry = Table(spark, f"{self.folder.path}/_projections", PROJECTIONS)
+
+    def _states(self, name: str) -> list[str]:
+        self.folder.recover()
+        return Folder(self.spark, f"{self.folder.path}/_view-{name}").names("v")
+
+    def read(self, name: str) -> DataFrame:
+        """The view as it is stored."""
+        return self.spark.read.parquet(f"{self.folder.path}/_view-{name}/{self._states(name)[-1]}")
+
+    def build(self, log: DataFrame) -> dict[str, str]:
+        """What was done for each projection: init or rebuild (from the whole log, what was there before goes), or keep. A stored
+        version that is newer than the code's is an error, and nothing is written."""
+        code = self.spark.createDataFrame([(x.name, x.version) for x in self.all_.values()], "name string, version int")
+        planned = {r["name"]: r["action"] for r in check(plan(self.registry.read(), code)).collect()}
+        todo = [x for x in self.all_.values() if planned[x.name] != "keep"]
+        top = log.agg(F.coalesce(F.max("global_position"), F.lit(0))).first()[0]
+        for x in todo:
+            self.folder.move(self.folder.aside(x.rebuild(log)), f"_view-{x.name}/v{x.version:06}-{top:020}")
+        if todo:
+            now = code.where(F.col("name").isin([x.name for x in todo])).withColumn("updated_at", F.current_timestamp())
+            self.registry.replace(self.registry.read().where(~F.col("name").isin([x.name for x in todo])).unionByName(now))
+        return planned
+
+    def updates(self, batch: DataFrame, folder: Folder) -> dict[str, str]:
+        """Writes the next state of each view that the batch concerns; what is to be renamed. A projection without events for it isn't called."""
+        top, moves = batch.agg(F.max("global_position")).first()[0], {}
+        try:
+            for x in self.all_.values():
+                if batch.where(x.where).isEmpty():
+                    continue
+                states = self._states(x.name)
+                moves[folder.aside(x.apply(self.read(x.name), batch))] = f"_view-{x.name}/v{x.version:06}-{top:020}"
+                folder.remove(*(f"_view-{x.name}/{old}" for old in states[:-KEEP]))
+        except Exception:
+            folder.remove(*moves)
+            raise
+        return moves
 
 
 def balances(plus: str, minus: str, amount: Column, version: int = 1) -> Projection:

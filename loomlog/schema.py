@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.operators.numbering import numbered
+from loomlog.operators.numbering import numbered, running_sum
 
 EVENT_LOG = "id string, data string, metadata string, stream_id string, stream_type string, type string, version bigint, created timestamp, aggregate_version int, global_position bigint, compacted_snapshot boolean"
 STREAMS = "id string, type string, version bigint, last_compacted_version bigint"
@@ -18,10 +18,11 @@ DISCARDED_DEAD_LETTERS = "id bigint, dead_letter_id bigint, policy_name string,
 SPAN = 1 << 16
 
 
-def log_of(df: DataFrame, *, stream_id: Column, stream_type: str, position: Column, created: Column, type: Column, data: Column, metadata: Column, versions: bool = True, span: int = SPAN) -> DataFrame:
+def log_of(df: DataFrame, *, stream_id: Column, stream_type: str, position: Column, created: Column, type: Column, data: Column, metadata: Column, versions: bool = True, span: int = SPAN, typed: dict[str, Column] | None = None) -> DataFrame:
     """A log from any table with a position that is unique and grows with time: versions count a stream's rows.
 
-    Without `versions` they are null, and the log is a mere projection of the table: no shuffle.
+    Without `versions` they are null, and the log is a mere projection of the table: no shuffle. `typed` columns stand
+    beside the payload, with what it says: only a log that is stored has to be parsed.
     """
     rows = df.select(
         F.concat(F.lit(f"{stream_type}-"), position.cast("string")).alias("id"),
@@ -34,34 +35,40 @@ def log_of(df: DataFrame, *, stream_id: Column, stream_type: str, position: Colu
         F.lit(None).cast("int").alias("aggregate_version"),
         position.cast("bigint").alias("global_position"),
         F.lit(False).alias("compacted_snapshot"),
+        *(x.alias(name) for name, x in (typed or {}).items()),
     )
-    names = [x.split()[0] for x in EVENT_LOG.split(", ")]
+    names = [*(x.split()[0] for x in EVENT_LOG.split(", ")), *(typed or {})]
     counted = numbered(rows, ["stream_id"], "global_position", "version", span) if versions else rows.withColumn("version", F.lit(None).cast("bigint"))
     return counted.select(*names)
 
 
-def log_from_events(events: DataFrame, versions: bool = True) -> DataFrame:
-    """The log of the `events` table: a stream per user, positions from 1."""
+def log_from_events(events: DataFrame, versions: bool = True, typed: bool = False) -> DataFrame:
+    """The log of the `events` table: a stream per user, positions from 1; `typed` adds value."""
     payload = F.to_json(F.create_map(F.col("event_type"), F.struct(F.col("value").alias("value"))))
-    return log_of(events, stream_id=F.concat(F.lit("urn:user:"), F.col("user_id").cast("string")), stream_type="User", position=F.col("event_id") + 1, created=F.col("ts"), type=F.col("event_type"), data=payload, metadata=F.coalesce("props", F.lit("null")), versions=versions)
+    return log_of(events, stream_id=F.concat(F.lit("urn:user:"), F.col("user_id").cast("string")), stream_type="User", position=F.col("event_id") + 1, created=F.col("ts"), type=F.col("event_type"), data=payload, metadata=F.coalesce("props", F.lit("null")), versions=versions, typed={"value": F.col("value")} if typed else None)
 
 
-def log_from_orders(orders: DataFrame, versions: bool = True) -> DataFrame:
-    """A second family: one OrderPlaced per order, its own stream."""
-    payload = F.to_json(F.create_map(F.lit("OrderPlaced"), F.struct(F.col("o_totalprice").alias("total"), F.concat(F.lit("urn:customer:"), F.col("o_custkey").cast("string")).alias("owner"))))
-    return log_of(orders, stream_id=F.concat(F.lit("urn:order:"), F.col("o_orderkey").cast("string")), stream_type="Order", position=F.col("o_orderkey") + 1, created=F.col("o_orderdate"), type=F.lit("OrderPlaced"), data=payload, metadata=F.lit("null"), versions=versions)
+def log_from_orders(orders: DataFrame, versions: bool = True, typed: bool = False) -> DataFrame:
+    """A second family: one OrderPlaced per order, its own stream; `typed` adds total and owner."""
+    own = {"total": F.col("o_totalprice"), "owner": F.concat(F.lit("urn:customer:"), F.col("o_custkey").cast("string"))}
+    payload = F.to_json(F.create_map(F.lit("OrderPlaced"), F.struct(*(x.alias(name) for name, x in own.items()))))
+    return log_of(orders, stream_id=F.concat(F.lit("urn:order:"), F.col("o_orderkey").cast("string")), stream_type="Order", position=F.col("o_orderkey") + 1, created=F.col("o_orderdate"), type=F.lit("OrderPlaced"), data=payload, metadata=F.lit("null"), versions=versions, typed=own if typed else None)
 
 
-def log_from_lineitem(lineitem: DataFrame, versions: bool = True) -> DataFrame:
-    """LineAdded events on the orders' streams; positions leave room for a line's number."""
-    payload = F.to_json(F.create_map(F.lit("LineAdded"), F.struct(F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))))
-    return log_of(lineitem, stream_id=F.concat(F.lit("urn:order:"), F.col("l_orderkey").cast("string")), stream_type="Order", position=F.col("l_orderkey") * 16 + F.col("l_linenumber"), created=F.col("l_shipdate"), type=F.lit("LineAdded"), data=payload, metadata=F.lit("null"), versions=versions)
+def log_from_lineitem(lineitem: DataFrame, versions: bool = True, typed: bool = False) -> DataFrame:
+    """LineAdded events on the orders' streams; positions leave room for a line's number; `typed` adds quantity and price."""
+    own = {"quantity": F.col("l_quantity"), "price": F.col("l_extendedprice")}
+    payload = F.to_json(F.create_map(F.lit("LineAdded"), F.struct(*(x.alias(name) for name, x in own.items()))))
+    return log_of(lineitem, stream_id=F.concat(F.lit("urn:order:"), F.col("l_orderkey").cast("string")), stream_type="Order", position=F.col("l_orderkey") * 16 + F.col("l_linenumber"), created=F.col("l_shipdate"), type=F.lit("LineAdded"), data=payload, metadata=F.lit("null"), versions=versions, typed=own if typed else None)
 
 
-def log_from_conversations(conversations: DataFrame, versions: bool = True) -> DataFrame:
-    """A stream per conversation, an event per turn."""
+def log_from_conversations(conversations: DataFrame, versions: bool = True, span: int = SPAN) -> DataFrame:
+    """A stream per conversation, an event per turn; positions are dense, by conversation and turn, however many turns there are."""
+    long = conversations.groupBy(F.col("conv_id").alias("__conv")).agg(F.count("*").alias("__turns"))
+    begun = running_sum(long, [], "__conv", F.col("__turns"), "__upto", span).withColumn("__before", F.col("__upto") - F.col("__turns"))
+    turned = numbered(conversations, ["conv_id"], "turn", "__turn", span).join(begun.select("__conv", "__before"), F.col("conv_id") == F.col("__conv"))
     payload = F.to_json(F.create_map(F.lit("Said"), F.struct(F.col("role").alias("role"), F.length("text").alias("length"))))
-    return log_of(conversations, stream_id=F.concat(F.lit("urn:conversation:"), F.col("conv_id").cast("string")), stream_type="Conversation", position=F.col("conv_id") * 4096 + F.col("turn") + 1, created=F.timestamp_seconds(F.col("conv_id")), type=F.col("role"), data=payload, metadata=F.lit("null"), versions=versions)
+    return log_of(turned, stream_id=F.concat(F.lit("urn:conversation:"), F.col("conv_id").cast("string")), stream_type="Conversation", position=F.col("__before") + F.col("__turn"), created=F.timestamp_seconds(F.col("conv_id")), type=F.col("role"), data=payload, metadata=F.lit("null"), versions=versions)
 
 
 def empty_log(spark: SparkSession) -> DataFrame:

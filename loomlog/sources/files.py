@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.errors import conflict
 from loomlog.operators.commands import conflicts, versioned
+from loomlog.operators.numbering import numbered
 from loomlog.operators.scan import heads
 from loomlog.schema import EVENT_LOG
+from loomlog.sources.publish import Folder
 
 
 def payments(spark: SparkSession, path: str) -> DataFrame:
@@ -17,32 +21,54 @@ def payments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The log at `path`; Spark reads only what its committer has published. An absent one is empty."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+    """The log at `path`: what has been published. An absent one is empty."""
+    folder = Folder(spark, path)
+    folder.recover()
+    if not folder.names("from-"):
         return spark.createDataFrame([], EVENT_LOG)
-    return spark.read.schema(EVENT_LOG).parquet(path)
+    return spark.read.schema(EVENT_LOG).option("recursiveFileLookup", True).parquet(path)
+
+
+def placed(log: DataFrame, new: DataFrame, order: str = "n") -> DataFrame:
+    """`new` events as log rows: versions go on from their streams' heads, positions from the log's highest without a gap, both in the
+    order of `order` (an integer), then of stream and id."""
+    top = log.agg(F.coalesce(F.max("global_position"), F.lit(0)).alias("__top"))
+    rows = numbered(versioned(new, heads(log), order, ties=("id",)), [], order, "__place", 1 << 16, ("stream_id", "id")).crossJoin(F.broadcast(top))
+    rows = rows.withColumns({"global_position": F.col("__top") + F.col("__place"), "aggregate_version": F.lit(None).cast("int"), "compacted_snapshot": F.lit(False)})
+    return rows.select(*(x.split()[0] for x in EVENT_LOG.split(", ")))
 
 
-def append(log: DataFrame, new: DataFrame, path: str, expected: DataFrame | None = None, order: str = "n") -> DataFrame:
-    """Appends `new` (id, data, metadata, stream_id, stream_type, type, created and an integer `order`) to the log at `path`.
+def check_expected(log: DataFrame, new: DataFrame, expected: DataFrame) -> None:
+    """Raises a conflict where a stream of `new` isn't at its expected version."""
+    bad = conflicts(expected.join(new.select("stream_id").distinct(), "stream_id", "left_semi"), heads(log)).where("conflict").limit(1).collect()
+    if bad:
+        raise conflict(bad[0]["stream_id"], bad[0]["expected_version"], bad[0]["head"])
 
-    All or nothing: one job writes the batch, and its committer publishes it at the end. `expected` (stream_id,
-    expected_version) is compared with the heads first; a mismatch raises a conflict and writes nothing. A batch
-    of no events never conflicts. Positions follow the log's highest, in the order of `order`. One writer at a time.
+
+def append(log: DataFrame, new: DataFrame, path: str, expected: DataFrame | None = None, order: str = "n", views: Callable[[DataFrame, Folder], dict[str, str]] | None = None) -> DataFrame:
+    """Appends `new` (id, data, metadata, stream_id, stream_type, type, created and an integer `order`) to the log at `path`; returns the rows.
+
+    All or nothing: the batch is written aside, then published under the position that it follows, which one writer only can
+    claim; a second one that read the same log raises a conflict. `expected` (stream_id, expected_version) is compared with the
+    heads first; a mismatch raises a conflict and writes nothing. A batch of no events never conflicts and writes nothing.
+    `views` may write more folders aside from the batch (projections do); they are published with it, or not at all.
     """
-    now = heads(log)
-    if expected is not None and not new.isEmpty():
-        bad = conflicts(expected.join(new.select("stream_id").distinct(), "stream_id", "left_semi"), now).where("conflict").limit(1).collect()
-        if bad:
-            raise conflict(bad[0]["stream_id"], bad[0]["expected_version"], bad[0]["head"])
-    top = log.agg(F.coalesce(F.max("global_position"), F.lit(0)).alias("__top"))
-    least = new.agg(F.min(order).alias("__least"))
-    rows = versioned(new, now, order).crossJoin(F.broadcast(top)).crossJoin(F.broadcast(least))
-    rows = rows.withColumn("global_position", (F.col("__top") + 1 + F.col(order) - F.col("__least")).cast("bigint")).withColumn("aggregate_version", F.lit(None).cast("int")).withColumn("compacted_snapshot", F.lit(False))
-    out = rows.select(*(x.split()[0] for x in EVENT_LOG.split(", ")))
-    out.write.mode("append").parquet(path)
-    return out
+    if new.isEmpty():
+        return placed(log, new, order)
+    if expected is not None:
+        check_expected(log, new, expected)
+    top = log.agg(F.coalesce(F.max("global_position"), F.lit(0))).first()[0]
+    folder = Folder(log.sparkSession, path)
+    aside = folder.aside(placed(log, new, order))
+    rows = log.sparkSession.read.schema(EVENT_LOG).parquet(f"{folder.path}/{aside}")
+    moves = {aside: f"from-{top:020}"}
+    try:
+        moves |= views(rows, folder) if views else {}
+    except Exception:
+        folder.remove(aside)
+        raise
+    folder.publish(top, moves)
+    return log.sparkSession.read.schema(EVENT_LOG).parquet(f"{folder.path}/from-{top:020}")
 
 
 def observed(new: DataFrame, name: str):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from loomlog.streaming.policies import Policy, dispatches, served_once, unserved
+from loomlog.streaming.runner import Runner
 
 
 def tumbling(log: DataFrame, width: str) -> DataFrame:
@@ -32,41 +33,40 @@ def late_after(stream: DataFrame, delay: str) -> DataFrame:
 
 
 def balances(stream: DataFrame, plus: str, minus: str) -> DataFrame:
-    """Guarded balances as they change: a stream's events are applied in order of version within each batch; state is (cents, version).
+    """Guarded balances as they change: a stream's events are applied in order of version; state is (cents, version, early).
 
-    A version that was applied before is a second delivery and changes nothing. Needs columns stream_id, version, type, cents.
+    All of a stream's events must come. One whose version was applied before is a second delivery and changes nothing; one that
+    comes before its turn waits in the state (as JSON) for those before it. Needs columns stream_id, version, type, cents.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cents, seen = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(batches)).sort_values("version")
-        for version, kind, amount in zip(rows["version"], rows["type"], rows["cents"], strict=True):
-            if version <= seen:
-                continue
-            seen = version
+        cents, seen, early = state.get if state.exists else (0, 0, "{}")
+        waiting = {int(k): v for k, v in json.loads(early).items()}
+        for rows in batches:
+            for version, kind, amount in zip(rows["version"], rows["type"], rows["cents"], strict=True):
+                if version > seen:
+                    waiting[int(version)] = [kind, None if amount != amount else int(amount)]
+        while seen + 1 in waiting:
+            kind, amount = waiting.pop(seen + 1)
+            seen += 1
             if kind == plus:
                 cents += amount
             elif kind == minus and cents >= amount:
                 cents -= amount
-        state.update((int(cents), int(seen)))
+        state.update((int(cents), int(seen), json.dumps(waiting)))
         yield pd.DataFrame({"stream_id": [key[0]], "cents": [cents], "version": [seen]})
 
     own = stream.select("stream_id", "version", "type", "cents")
-    return own.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, cents bigint, version bigint", "cents bigint, version bigint", "update", GroupStateTimeout.NoTimeout)
+    return own.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, cents bigint, version bigint", "cents bigint, version bigint, early string", "update", GroupStateTimeout.NoTimeout)
 
 
-def policy_stream(stream: DataFrame, policy: Policy, targets: list[str], execute: Callable[[DataFrame, DataFrame, int], None], checkpoint: str):
-    """A policy on a stream of log files: each micro-batch's dispatches and dead letters go to `execute`, then Spark's checkpoint moves.
+def policy_stream(stream: DataFrame, runner: Runner, checkpoint: str):
+    """Policies on a log that grows: the stream of its files only says that something came. What is delivered is the log's feed,
+    in order of position, from each policy's saved cursor up to the contiguous mark, so late files make no difference.
 
-    Delivery is at least once; a batch that comes again has the same number, and dispatches name their cause.
+    Delivery is at least once: a batch that fails before a cursor is saved comes again, and dispatches name their cause.
     """
-
-    def run(rows: DataFrame, number: int) -> None:
-        own = rows if policy.where is None else rows.where(policy.where)
-        asked = dispatches(own, policy)
-        execute(served_once(asked, targets), unserved(asked, targets), number)
-
-    return each_batch(stream, run, checkpoint)
+    return each_batch(stream, lambda rows, number: runner.catch_up(), checkpoint)
 
 
 def each_batch(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
