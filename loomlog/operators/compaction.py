@@ -41,6 +41,7 @@ def compact(log: DataFrame, kept: DataFrame, due: DataFrame | None = None, minim
     Streams in `minimal` (stream_id) are already compacted, says the compactor: nothing of them is written. A due stream
     of which nothing is kept is archived whole. `kept` has log rows; they are numbered from 1 by version and marked as
     copies; `metadata`, if given, is theirs. Their positions follow all others without a gap, in the order of the originals.
+    `log`, `kept` and `minimal` are read several times: stored tables (stages.cut) are what to hand in.
     """
     out = minimal.select("stream_id") if minimal is not None else log.select("stream_id").limit(0)
     chosen = live(log).select("stream_id").distinct() if due is None else due.select("stream_id").distinct()

@@ -95,6 +95,7 @@ def decoded(log: DataFrame, families: list[Family], on_undecodable: str = "skip"
     if on_undecodable == "skip":
         return named.where("event_family is not null")
     if on_undecodable == "error":
-        return named.withColumn("event_family", F.coalesce("event_family", F.raise_error(F.concat(F.lit("undecodable event "), F.col("id"))).cast("string")))
+        broken = F.raise_error(F.concat(F.lit("undecodable event "), F.col("id"))).cast("string")
+        return named.where(F.coalesce("event_family", broken).isNotNull())  # a filter: it runs whatever columns are read
     first = named.where("event_family is null").agg(F.min(order).alias("__end"))
     return named.crossJoin(F.broadcast(first)).where(F.col("__end").isNull() | (F.col(order) < F.col("__end"))).drop("__end")

@@ -70,6 +70,7 @@ def _amounts(spark: SparkSession, sf_dir: str, versions: bool = True) -> DataFra
 
 
 def _tails(log: DataFrame) -> DataFrame:
+    log = cut(log)  # a compaction reads it several times
     return compaction.compact(log, kept := compaction.tail_after_checkpoint(log, F.col("type") == CHECKPOINT), minimal=compaction.unchanged(log, kept))
 
 
@@ -397,7 +398,7 @@ def compact_full_log(spark, sf_dir):
 
 @query(f"WITH {LOG} SELECT stream_id, CASE WHEN count(*) = 1 AND max(type) = 'view' THEN 'already_compacted' ELSE 'rewrite' END AS outcome, sum(amount)::DOUBLE AS total FROM log GROUP BY stream_id")
 def compact_fold_to_one(spark, sf_dir):
-    log = _log(spark, sf_dir)
+    log = cut(_log(spark, sf_dir))
     amount = F.coalesce(*(merged.payload(F.col("data"), x, "value", "double") for x in (PLUS, MINUS, CHECKPOINT, "signup", "error")))
     kept, lone = compaction.to_snapshot(log, F.sum(folds.money(amount)).cast("double"), CHECKPOINT)
     left, done = compaction.live(compaction.compact(log, kept, minimal=lone)), compaction.outcomes(log, kept, lone)
@@ -424,7 +425,7 @@ def needs_compaction(spark, sf_dir):
 
 @query(f"WITH {COMPACTED} SELECT stream_id, CASE WHEN cp > 1 THEN 'compacted' ELSE 'skipped' END AS outcome, CASE WHEN cp > 1 THEN 1 END AS archive, CASE WHEN cp > 1 THEN head - cp + 1 ELSE head END AS watermark FROM ck")
 def compact_outcomes(spark, sf_dir):
-    log = _log(spark, sf_dir)
+    log = cut(_log(spark, sf_dir))
     kept = compaction.tail_after_checkpoint(log, F.col("type") == CHECKPOINT)
     return compaction.outcomes(log, kept, compaction.unchanged(log, kept))
 
@@ -432,7 +433,7 @@ def compact_outcomes(spark, sf_dir):
 @query(f"WITH {COMPACTED}, m AS (SELECT stream_id AS id, CASE WHEN cp > 1 THEN head - cp + 1 ELSE head END AS mark FROM ck) SELECT id, mark AS version, mark AS last_compacted_version, false AS needs_compaction FROM m")
 def compact_watermarks(spark, sf_dir):
     """The streams table after a compaction: heads and watermarks agree, so no stream needs another."""
-    log = _log(spark, sf_dir)
+    log = cut(_log(spark, sf_dir))
     kept = compaction.tail_after_checkpoint(log, F.col("type") == CHECKPOINT)
     streams = compaction.settled(heads(log).withColumn("last_compacted_version", F.lit(None).cast("bigint")), compaction.outcomes(log, kept, compaction.unchanged(log, kept)))
     return streams.join(compaction.needs_compaction(streams), "id").select("id", "version", "last_compacted_version", "needs_compaction")

@@ -54,9 +54,3 @@ def test_entry_runs(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 15
-
-
-def test_filters_reach_the_scan(spark):
-    log = spark.read.parquet(f"{SF}/events.parquet").where("event_id > 500").select("user_id", "event_id")
-    plan = log._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(event_id), GreaterThan(event_id,500)]" in plan and "ReadSchema: struct<event_id:bigint,user_id:bigint>" in plan

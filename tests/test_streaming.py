@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from loomlog.schema import EVENT_LOG
 from loomlog.operators import folds
-from loomlog.streaming import policies, windows
+from loomlog.streaming import windows
 
 
 @pytest.fixture
@@ -40,16 +42,16 @@ def test_tumbling_windows(spark, stored, tmp_path):
     assert sorted(map(tuple, spark.table("tumbled").collect())) == sorted(map(tuple, windows.tumbling(log, "10 minutes").collect()))
 
 
-def test_policy_on_a_stream(spark, stored, tmp_path):
-    path, log = stored
-
-    def react(rows):
-        return rows.where(F.col("type") == "Deposited").select("*", F.when(F.col("stream_id") == "a", "Fee").otherwise("Nobody").alias("target"), F.col("stream_id").alias("to_stream"), F.lit("{}").alias("command"))
-
-    served, lost = [], []
-    stream = spark.readStream.schema(EVENT_LOG).option("maxFilesPerTrigger", 1).parquet(path)
-    windows.policy_stream(stream, policies.Policy("p", react), ["Fee"], lambda s, d, _: (served.extend(s.collect()), lost.extend(d.collect())), f"{tmp_path}/c3").awaitTermination(120)
-    assert sorted(r["global_position"] for r in served) == [1, 4] and [r["global_position"] for r in lost] == [2]
+def test_late_versions_wait_for_their_turn(spark, make_log, tmp_path):
+    rows = [("a", "Deposited", {"amount": 5}), ("a", "Withdrawn", {"amount": 7}), ("a", "Deposited", {"amount": 4}), ("a", "Withdrawn", {"amount": 7})]
+    log = make_log(*rows)
+    for k, own in enumerate(("version in (2, 4)", "version = 4", "version in (1, 3)")):
+        log.where(own).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+        time.sleep(1.1 if k < 2 else 0)  # files are taken in order of their times
+    stream = spark.readStream.schema(EVENT_LOG).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/log").withColumn("cents", cents())
+    seen = []
+    windows.each_batch(windows.balances(stream, "Deposited", "Withdrawn"), lambda df, _: seen.extend((r["cents"], r["version"]) for r in df.collect()), f"{tmp_path}/checkpoint").awaitTermination(120)
+    assert seen == [(0, 0), (0, 0), (200, 4)]
 
 
 def test_sessions_and_sliding(make_log):
