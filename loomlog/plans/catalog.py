@@ -604,7 +604,7 @@ def policy_drain_compacted(spark, sf_dir):
     half = log.agg(F.max("global_position")).first()[0] // 2
     first = cut(_tails(log.where(F.col("global_position") <= half)))
     then = files.placed(first, log.where(F.col("global_position") > half).withColumn("n", F.col("global_position")).drop("version"))
-    both = first.unionByName(then).withColumn("value", F.get_json_object("data", "$.click.value").cast("double"))
+    both = cut(first.unionByName(then)).withColumn("value", F.get_json_object("data", "$.click.value").cast("double"))
     asked, _, _ = policies.drain(both, policies.Policy("fee", _fee, start_at="beginning", batch=1000), half - 200, ["Fee"])
     return asked.select("global_position", "event_id")
 
