@@ -21,6 +21,7 @@ store and no rows; other columns are ignored; a text of any length is stored who
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,15 +32,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomlog.llm.shared import materialize, portions
-from loomlog.llm.tokens import ENCODE_BYTES, VOCABULARY, Known, encode, tokenizer
+from loomlog.llm.shared import portions
+from loomlog.llm.tokens import ENCODE_BYTES, VOCABULARY, encode, tokenizer
 
 END_ID = 2
 BLOCK_IDS = 1 << 14
 CHUNK_IDS = 1 << 18
 LEVEL = 3
 STORE = "shard int, chunk long, first long, n_ids long, kind string, doc_ids array<bigint>, doc_lengths array<bigint>, index array<int>, planes binary"
-PACKED = "doc_id long, tie long, n int, ids binary"
+PACKED = "doc_id long, tie long, row long, range int, n int, ids binary"
+Key = tuple[bool, int, int, int]  # has a doc_id, doc_id, hash of the text, number of the row
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[np.ndarray]:
@@ -86,17 +88,17 @@ def expand(n: int, index: list[int], planes: bytes, kind: str, block: int = BLOC
     return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
-def _encode_task(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    """PACKED rows: the ids of each text in two bytes each, or four if the vocabulary needs them."""
-    known = Known()
+def _encode_task(batches: Iterator[pa.RecordBatch], path: str, end_id: int, begins: list[Key]) -> Iterator[pa.RecordBatch]:
+    """PACKED rows: the ids of each text in two bytes each, or four if the vocabulary needs them; `range` is the last one that begins at its key or before."""
     kind = "<u2" if max(end_id, tokenizer(path)[0].get_vocab_size() - 1) < 1 << 16 else "<u4"
     width = np.dtype(kind).itemsize
     for batch in batches:
-        texts = batch.column(2)
+        texts, own = batch.column(3), [batch.column(k) for k in range(3)]
+        ranges = [max(0, bisect_right(begins, (d is not None, d or 0, t, r)) - 1) for d, t, r in zip(*(x.to_pylist() for x in own), strict=True)]
         for lo, hi in portions(texts, ENCODE_BYTES):
-            ids, at = encode(texts[lo:hi], path, end_id, known)
+            ids, at = encode(texts[lo:hi], path, end_id)
             held = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((at * width).astype(np.int32)), pa.py_buffer(ids.astype(kind))])
-            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(np.diff(at), pa.int32()), held], names=[x.split()[0] for x in PACKED.split(", ")])
+            yield pa.RecordBatch.from_arrays([*(x[lo:hi] for x in own), pa.array(ranges[lo:hi], pa.int32()), pa.array(np.diff(at), pa.int32()), held], names=[x.split()[0] for x in PACKED.split(", ")])
 
 
 def _write_task(batches: Iterator[pa.RecordBatch], kind: str, chunk_ids: int) -> Iterator[pa.RecordBatch]:
@@ -134,16 +136,18 @@ def _write_task(batches: Iterator[pa.RecordBatch], kind: str, chunk_ids: int) ->
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID, kind: str = "byte", chunk_ids: int = CHUNK_IDS) -> None:
     """Writes the ids of all documents, in ascending doc_id order, as a store at `path`.
 
-    Texts are encoded where they are read; what is shuffled are their ids, two bytes each. Rows are dealt to ranges
+    Texts are encoded where they are read; what is shuffled, once, are their ids, two bytes each. Rows are dealt to ranges
     of (doc_id, hash of the text, number of the row), as many as the session has shuffle partitions, so rows that
-    share a doc_id, or are alike, don't have to meet in one task.
+    share a doc_id, or are alike, don't have to meet in one task. Where ranges begin is found on the keys alone.
     """
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    packed = materialize(rows.mapInArrow(lambda batches: _encode_task(batches, vocabulary, end_id), PACKED), "ids")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = (F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("row"))
-    numbered = packed.withColumn("row", F.monotonically_increasing_id())
-    ordered = numbered.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"), "text")
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "tie", "row")
+    first = rows.select("doc_id", "tie", "row").repartitionByRange(n, *keys).groupBy(F.spark_partition_id().alias("range")).agg(F.min(key).alias("k"))
+    begins = sorted(tuple(r["k"]) for r in first.collect())  # one a range
+    packed = rows.mapInArrow(lambda batches: _encode_task(batches, vocabulary, end_id, begins), PACKED)
+    ordered = packed.repartitionById(max(1, len(begins)), F.col("range")).sortWithinPartitions(*keys)
     ordered.select("doc_id", "n", "ids").mapInArrow(lambda batches: _write_task(batches, kind, chunk_ids), STORE).write.option("compression", "none").parquet(path)
 
 

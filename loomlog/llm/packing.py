@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from loomlog.llm.shared import portions
-from loomlog.llm.tokens import ENCODE_BYTES, VOCABULARY, Known, encode
+from loomlog.llm.tokens import ENCODE_BYTES, VOCABULARY, encode
 
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
@@ -160,7 +160,7 @@ def _pack_task(batches: Iterator[pa.RecordBatch], tiers: tuple[int, ...], path:
     next_sequence = 0
     kept: dict[int, tuple] = {}  # documents with pieces in the unfilled window
     carried: list[tuple[int, int, int]] = []
-    steps, known = Steps(step_tokens), Known()
+    steps = Steps(step_tokens)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def hold(sequences: list[tuple[int, list]], docs: dict[int, tuple]) -> None:
@@ -185,7 +185,7 @@ def _pack_task(batches: Iterator[pa.RecordBatch], tiers: tuple[int, ...], path:
     for batch in batches:
         doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
         for lo, hi in portions(texts, ENCODE_BYTES):
-            ids, at = encode(texts[lo:hi], path, end_id, known)
+            ids, at = encode(texts[lo:hi], path, end_id)
             docs, pool, sequences = dict(kept), Pool(), []
             for piece in carried:
                 pool.put(*piece)

@@ -16,8 +16,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 #: Bytes of text that a task encodes at once: the more, the more of its stretches are repeats.
 ENCODE_BYTES = 4 << 20
-#: Bytes that a task's known stretches and their ids take at most.
-KNOWN_BYTES = 8 << 20
+#: Bytes that a worker's known stretches and their ids take at most, over all of its tasks.
+KNOWN_BYTES = 16 << 20
 #: Bytes that a stretch in a dict costs beside its own and its ids' (two objects' heads and the entry), about.
 _ENTRY = 190
 
@@ -103,8 +103,8 @@ def _encode_each(stretches: list[str], path: str, alone: tuple[str, ...] = ()) -
 
 
 class Known:
-    """Stretches that one task has met, with their ids: the first ones, as frequent ones come early, while they take
-    no more than `limit` bytes. It ends with the task."""
+    """Stretches that a worker has met, with their ids: the first ones, as frequent ones come early, while they take
+    no more than `limit` bytes."""
 
     def __init__(self, limit: int = KNOWN_BYTES) -> None:
         self.ids: dict[str, bytes] = {}
@@ -130,6 +130,12 @@ class Known:
         return np.frombuffer(b"".join(values), np.uint32), np.fromiter(map(len, values), np.int64, len(values)) // 4
 
 
+@lru_cache(maxsize=1)
+def known(path: str) -> Known:
+    """What this worker knows of the vocabulary at `path`."""
+    return Known()
+
+
 def _holding(texts: pa.Array, path: str) -> list[int]:
     """Numbers of the texts that hold an added token's text."""
     hit = np.zeros(len(texts), bool)
@@ -138,7 +144,7 @@ def _holding(texts: pa.Array, path: str) -> list[int]:
     return np.flatnonzero(hit).tolist()
 
 
-def encode(texts: pa.Array, path: str, end_id: int, known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
+def encode(texts: pa.Array, path: str, end_id: int, met: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, each followed by `end_id`, and the offsets of each text. Null is empty.
 
     A text that holds an added token's text is one stretch, which goes to the tokenizer by itself.
@@ -155,7 +161,7 @@ def encode(texts: pa.Array, path: str, end_id: int, known: Known | None = None)
     del marked
     coded = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
     which = coded.indices.to_numpy()
-    flat, long = (known or Known()).encode(coded.dictionary.to_pylist(), path, added(path) if whole else ())
+    flat, long = (met or known(path)).encode(coded.dictionary.to_pylist(), path, added(path) if whole else ())
     del bounds, coded
     begin = np.cumsum(long) - long
     text_at = np.concatenate([[0], np.cumsum(long[which])])[stretch_at] + np.arange(len(texts) + 1)
