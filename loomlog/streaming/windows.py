@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -22,9 +23,25 @@ def sliding(log: DataFrame, width: str, every: str) -> DataFrame:
     return log.groupBy(F.window("created", width, every).alias("w"), "type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "type", "n")
 
 
-def sessions(log: DataFrame, gap: str) -> DataFrame:
-    """Runs of a stream's events with no pause of `gap` or more."""
-    return log.groupBy("stream_id", F.session_window("created", gap).alias("w")).agg(F.count("*").alias("n")).select("stream_id", F.col("w.start").alias("start"), "n")
+def sessions(log: DataFrame, gap: str, cell: int = 86400) -> DataFrame:
+    """Runs of a stream's events with no pause of `gap` or more; events without a time are in none.
+
+    On a stream these are Spark's session windows, which go on after a pause of just their gap (so it is made shorter). On a batch a stream's events are cut into cells of `cell` seconds: an event
+    begins a run if the one before it, in its cell or at the end of the cell before, is too far back, and runs are numbered by
+    the sums of such beginnings. So no task sorts a whole hot stream; the table of cells has one row a stream and cell.
+    """
+    if log.isStreaming:
+        return log.groupBy("stream_id", F.session_window("created", f"{gap} -1 microseconds").alias("w")).agg(F.count("*").alias("n")).select("stream_id", F.col("w.start").alias("start"), "n")
+    pause = F.expr(f"INTERVAL {gap}")
+    rows = log.where(F.col("created").isNotNull()).select("stream_id", "created", F.floor(F.unix_seconds("created") / cell).alias("cell"))
+    ordered, cells = W.partitionBy("stream_id", "cell").orderBy("created"), W.partitionBy("stream_id").orderBy("cell")
+    since = F.lag("created").over(ordered)
+    marked = rows.withColumn("opens", F.when(since.isNull(), 0).when(F.col("created") >= since + pause, 1).otherwise(0))
+    ends = marked.groupBy("stream_id", "cell").agg(F.min("created").alias("first"), F.max("created").alias("last"), F.sum("opens").alias("inside"))
+    parted = ends.withColumn("apart", F.when(F.col("first") < F.lag("last").over(cells) + pause, 0).otherwise(1))
+    before = F.sum(F.col("apart") + F.col("inside")).over(cells) - F.col("inside")
+    numbered = marked.withColumn("k", F.sum("opens").over(ordered)).join(parted.select("stream_id", "cell", before.alias("before")), ["stream_id", "cell"])
+    return numbered.groupBy("stream_id", (F.col("k") + F.col("before")).alias("run")).agg(F.min("created").alias("start"), F.count("*").alias("n")).select("stream_id", "start", "n")
 
 
 def late_after(stream: DataFrame, delay: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import time
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,3 +60,16 @@ def test_sessions_and_sliding(make_log):
     log = make_log(*[("a", "Deposited", {"amount": 1}, None, d) for d in (1, 1, 3)])
     assert sorted(r["n"] for r in windows.sessions(log, "6 hours").collect()) == [1, 2]
     assert sum(r["n"] for r in windows.sliding(log, "2 hours", "1 hour").collect()) == 6
+
+
+def test_sessions_in_cells(spark):
+    """Many events of one stream, with ties, long runs over several cells and pauses of just the gap, equal Spark's session windows."""
+    rng = random.Random(4)
+    at, rows = 0, []
+    for k in range(3000):
+        at += rng.choice((0, 1, 59, 60, 61, 600))
+        rows.append((rng.choice("aaab"), datetime(2025, 1, 1) + timedelta(seconds=at)))
+    log = spark.createDataFrame([*rows, ("a", None), ("c", None)], "stream_id string, created timestamp")
+    want = log.groupBy("stream_id", F.session_window("created", "60 seconds -1 microseconds").alias("w")).agg(F.count("*").alias("n")).select("stream_id", "w.start", "n")
+    for cell in (50, 1000, 86400):
+        assert sorted(map(tuple, windows.sessions(log, "60 seconds", cell).collect())) == sorted(map(tuple, want.collect()))
