@@ -53,4 +53,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op4_secrets": op4_secrets, "op5_binary_output": op5_binary_output, "op6_licenses": op6_licenses, "op7_urls": op7_urls, "op8_language": op8_language, "op9_neighbours": op9_neighbours, "op10_quality": op10_quality}
-ORACLES: dict[str, str] = {"op2_mixing": mixing.oracle(), "op6_licenses": licences.oracle(), "op7_urls": urls.oracle()}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.oracle(), "op4_secrets": secrets.oracle(), "op6_licenses": licences.oracle(), "op7_urls": urls.oracle()}

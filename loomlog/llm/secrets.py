@@ -22,6 +22,7 @@ text grows with its length and its number of matches, not with their product.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from itertools import product
@@ -301,3 +302,29 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, bucket_rows: int =
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length(out)).cast(dict(docs.dtypes)["n_chars"])
     return done.select(*(changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns)).union(docs.where(~has))
+
+
+def oracle(rules: tuple[Rule, ...] = RULES, base: int = len(BASE)) -> str:
+    """The result of digest() in DuckDB SQL, which runs every rule on every text, without an index."""
+
+    def either_case(pattern: str) -> str:
+        """`(?i:...)` with both cases of its ASCII letters: DuckDB would let other letters that fold to them in too."""
+        return re.sub(r"\(\?i:([^()]*)\)", lambda m: "(?:" + re.sub("[a-z]", lambda c: f"[{c[0].upper()}{c[0]}]", m[1]) + ")", pattern)
+
+    rows = ", ".join(f"({k}, '{x.kind}')" for k, x in enumerate(rules))
+    found = " UNION ALL ".join(
+        f"SELECT n, {k} AS rule, regexp_extract_all(text, '{p}', 0) AS hits, regexp_extract_all(text, '{p}', {x.group}) AS own, string_split_regex(text, '{p}') AS gaps, {x.least} AS least FROM d"
+        for k, x in enumerate(rules)
+        for p in [either_case(x.pattern).replace("'", "''")]
+    )
+    counts = ", ".join(f"coalesce(count(*) FILTER (rule = {k}), 0)::BIGINT AS n_{x.kind}" for k, x in enumerate(rules[:base]))
+    said = "kind || ':' || start || ':' || (start + long), ',' ORDER BY start, rule"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
+  k(rule, kind) AS (VALUES {rows}),
+  f AS ({found}),
+  m AS (SELECT n, rule, least, unnest(range(1, len(hits) + 1)) AS i, unnest(hits) AS hit, unnest(own) AS own, unnest(gaps[1:len(hits)]) AS gap FROM f WHERE len(hits) > 0),
+  p AS (SELECT n, rule, least, length(hit)::BIGINT AS long, length(own) AS own, (sum(length(gap) + length(hit)) OVER (PARTITION BY n, rule ORDER BY i) - length(hit))::BIGINT AS start FROM m),
+  s AS (SELECT n, {counts}, string_agg({said}) FILTER (rule < {base}) AS base, string_agg({said}) AS spans FROM p JOIN k USING (rule) WHERE own >= least GROUP BY n)
+SELECT doc_id, {", ".join(f"coalesce(n_{x.kind}, 0) AS n_{x.kind}" for x in rules[:base])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (n)
+"""

@@ -334,6 +334,21 @@ def test_secrets(spark, odd, no_docs):
     assert secrets.digest(secrets.scan(no_docs)).count() == 0
 
 
+def test_secrets_equal_sql(spark, odd):
+    """Odd texts, letters that fold to ASCII ones, and random mixtures of the rules' parts."""
+    rng, parts = random.Random(7), ["token", "Secret", "\u017fecret", "to\u212aen", "api_key", "=", ": ", '"', "'", "abcdef", "abc", "AKIA", "A1B2C3D4E5F6G7H8", "0123456789abcdef", "deadbeef", "\n", " ", "\u00e9\U0001f600", "ghp_", "xoxb-", "AIza", "eyJabcdefgh", ".", "-----BEGIN PRIVATE KEY-----"]
+    texts = [*SECRETS, *("".join(rng.choice(parts) for _ in range(rng.randint(1, 60))) for _ in range(400))]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string").unionByName(odd.select("doc_id", "text"))
+    own = duckdb.connect()
+    own.register("documents", pa.table({"doc_id": pa.array([r["doc_id"] for r in docs.collect()], pa.int64()), "text": pa.array([r["text"] for r in docs.collect()], pa.string())}))
+    want = own.execute(secrets.oracle())
+    names, want = [x[0] for x in want.description], want.fetchall()
+    found = secrets.digest(secrets.scan(docs))
+    key = lambda r: tuple(map(str, r))
+    assert found.columns == names and sorted(map(key, found.collect())) == sorted(map(key, want))
+    assert all(sum(r[k] for r in want) > 5 for k in (1, 2, 3)) and sum("web_token" in r[5] for r in want) > 0
+
+
 def test_redact(spark, odd, no_docs):
     docs = spark.createDataFrame([(k, t, 5) for k, t in enumerate(SECRETS)], "doc_id bigint, text string, n_chars int")
     out = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
