@@ -87,11 +87,16 @@ def withdraw_if_covered(plus: str, minus: str) -> Step:
     return step
 
 
-def guarded(log: DataFrame, step: Step, cents: Column) -> DataFrame:
+def reject_at_first(minus: str, step: Step) -> Step:
+    """`step` for a stream's first row, where `minus` is rejected whatever its amount: nothing came before it."""
+    return lambda state, kind, cents: (state, False) if kind == minus else step(state, kind, cents)
+
+
+def guarded(log: DataFrame, step: Step, cents: Column, opening: Step | None = None) -> DataFrame:
     """The log's rows (stream_id, version, type, cents) with the state after each and whether it was accepted.
 
     Streams are dealt to tasks whole and sorted by version; a task streams through its rows with one state,
-    so a long stream takes time, not memory.
+    so a long stream takes time, not memory. `opening` (None: `step`) is the step of a stream's first row.
     """
     rows = log.select("stream_id", "version", "type", cents.cast("bigint").alias("cents")).repartition("stream_id").sortWithinPartitions("stream_id", "version")
 
@@ -100,9 +105,10 @@ def guarded(log: DataFrame, step: Step, cents: Column) -> DataFrame:
         for batch in batches:
             states, accepted = [], []
             for own, kind, amount in zip(batch["stream_id"], batch["type"], batch["cents"], strict=True):
+                now = step
                 if own != stream:
-                    stream, state = own, 0
-                state, good = step(state, kind, amount)
+                    stream, state, now = own, 0, opening or step
+                state, good = now(state, kind, amount)
                 states.append(state)
                 accepted.append(good)
             yield batch.assign(state=states, accepted=accepted)

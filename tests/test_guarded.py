@@ -25,7 +25,7 @@ def opened(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["execute_batch"])
+@pytest.mark.parametrize("name", ["execute_batch", "guarded_withdrawals"])
 def test_opening_withdrawals_as_in_sql(spark, opened, name):
     with duckdb.connect() as duck:
         duck.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{opened}/events.parquet/*.parquet')")
