@@ -116,23 +116,26 @@ def guarded(log: DataFrame, step: Step, cents: Column, opening: Step | None = No
     return rows.mapInPandas(run, "stream_id string, version bigint, type string, cents bigint, state bigint, accepted boolean")
 
 
-def guarded_by_array(log: DataFrame, amount: Column, plus: str, minus: str, most: int = ARRAY_ROWS) -> DataFrame:
+def guarded_by_array(log: DataFrame, amount: Column, plus: str, minus: str, most: int = ARRAY_ROWS, reject_first: bool = False) -> DataFrame:
     """The same end states, for streams of at most `most` such events inside the JVM: a sorted array, folded by a
-    higher-order function. Longer streams (counted first) go through guarded(), so no row grows with a stream."""
+    higher-order function. Longer streams (counted first) go through guarded(), so no row grows with a stream.
+    With `reject_first`, a stream's first such event is rejected if it is a `minus`, whatever its amount."""
     kept = log.where(F.col("type").isin(plus, minus)).select("stream_id", "version", "type", money(amount).alias("a"))
     void = F.min(F.when((F.col("type") == plus) & F.col("a").isNull(), F.col("version")))  # from here on the balance is null
-    long = kept.groupBy("stream_id").agg(F.count("*").alias("__n"), void.alias("__void")).where(F.col("__n") > most).select(F.col("stream_id").alias("__long"), "__void")
+    long = kept.groupBy("stream_id").agg(F.count("*").alias("__n"), void.alias("__void"), F.min("version").alias("__first")).where(F.col("__n") > most).select(F.col("stream_id").alias("__long"), "__void", "__first")
     met = kept.join(long, F.col("stream_id") == F.col("__long"), "left")
     own = met.where("__long is null").groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("version", F.col("type").alias("t"), "a"))).alias("rows"))
-    start = F.struct(F.lit(0).cast(MONEY).alias("balance"), F.lit(0).cast("bigint").alias("rejected"))
+    start = F.struct(F.lit(0).cast(MONEY).alias("balance"), F.lit(0).cast("bigint").alias("rejected"), F.lit(reject_first).alias("first"))
 
     def merge(acc: Column, x: Column) -> Column:
-        covered = acc["balance"] >= x["a"]
+        covered = ~acc["first"] & (acc["balance"] >= x["a"])
         balance = F.when(x["t"] == plus, acc["balance"] + x["a"]).when(covered, acc["balance"] - x["a"]).otherwise(acc["balance"]).cast(MONEY)
-        return F.struct(balance.alias("balance"), (acc["rejected"] + F.when((x["t"] == minus) & ~covered, 1).otherwise(0)).cast("bigint").alias("rejected"))
+        return F.struct(balance.alias("balance"), (acc["rejected"] + F.when((x["t"] == minus) & ~covered, 1).otherwise(0)).cast("bigint").alias("rejected"), F.lit(False).alias("first"))
 
     short = own.select("stream_id", F.aggregate("rows", start, merge).alias("s")).select("stream_id", F.col("s.balance").cast("double").alias("balance"), F.col("s.rejected").alias("rejected"))
-    steps = guarded(met.where("__long is not null and a is not null and (__void is null or version < __void)"), withdraw_if_covered(plus, minus), F.col("a") * 100)
+    step = withdraw_if_covered(plus, minus)
+    told = F.col("a").isNotNull() | (F.lit(reject_first) & (F.col("version") == F.col("__first")))  # a first `minus` is rejected without an amount too
+    steps = guarded(met.where(told & F.expr("__long is not null and (__void is null or version < __void)")), step, F.coalesce("a", F.lit(0).cast(MONEY)) * 100, reject_at_first(minus, step) if reject_first else None)
     ends = steps.groupBy("stream_id").agg((F.max_by("state", "version").cast("double") / 100).alias("balance"), F.sum(F.when(F.col("accepted"), 0).otherwise(1)).cast("bigint").alias("rejected"))
     all_ = long.join(ends, F.col("__long") == F.col("stream_id"), "left")
     return short.unionByName(all_.select(F.col("__long").alias("stream_id"), F.when(F.col("__void").isNull(), F.coalesce("balance", F.lit(0.0))).alias("balance"), F.coalesce("rejected", F.lit(0)).cast("bigint").alias("rejected")))
