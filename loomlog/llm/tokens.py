@@ -18,8 +18,10 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 ENCODE_BYTES = 4 << 20
 #: Bytes that a worker's known stretches and their ids take at most, over all of its tasks.
 KNOWN_BYTES = 16 << 20
-#: Bytes that a stretch in a dict costs beside its own and its ids' (two objects' heads and the entry), about.
-_ENTRY = 190
+#: Bytes that a known stretch costs beside its own and its ids' (an offset each).
+_ENTRY = 16
+#: Bytes of a stretch and its ids from which on it isn't kept.
+_LONG = 190
 
 _BYTE = np.arange(256)
 _LETTER = np.isin(_BYTE | 0x20, np.arange(0x61, 0x7B)) & (_BYTE < 0x80)
@@ -27,7 +29,10 @@ _MARK = np.isin(_BYTE, np.frombuffer(b".,!#$%&*?;:)(-\"", np.uint8))
 #: ASCII that isn't white space or a control; beyond it, bytes that may end a white space character need a look.
 _ENDS = ((_BYTE > 0x20) & (_BYTE < 0x7F)) | (_BYTE >= 0x80)
 _MAY_END_SPACE = np.isin(_BYTE, [0x85, 0x9F, *range(0x80, 0x8B), 0xA0, 0xA8, 0xA9, 0xAF])
-_STARTS = _ENDS & ~np.isin(_BYTE, [0xC2, 0xE1, 0xE2, 0xE3])
+_MAY_BEGIN_SPACE = np.isin(_BYTE, [0xC2, 0xE1, 0xE2, 0xE3])
+_STARTS = _ENDS & ~_MAY_BEGIN_SPACE
+#: White space in ASCII, as str.isspace() has it.
+_SPACE = np.isin(_BYTE, [0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)])
 
 
 @lru_cache(maxsize=4)
@@ -69,31 +74,54 @@ def _plain(x: str) -> bool:
     return not x[-1].isspace() and (not x[0].isspace() or x[0] in " \n" and len(x) > 1 and not x[1].isspace())
 
 
-def _encode_each(stretches: list[str], path: str, alone: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+def _all_plain(stretches: pa.Array) -> np.ndarray:
+    """_plain() of each: by their bytes, only those that may hold white space beyond ASCII there are looked at as text."""
+    data, at = raw(stretches)
+    first, end = at[:-1], at[1:]
+    head, second, last = data[first], data[np.minimum(first + 1, end - 1)], data[end - 1]
+    led = (head == 0x20) | (head == 0x0A)
+    plain = ~_SPACE[last] & (~_SPACE[head] | led & (end - first > 1) & ~_SPACE[second])
+    tail = _MAY_END_SPACE[last] & (last >= 0x80)
+    before, third = data[np.maximum(end - 2, 0)], data[np.maximum(end - 3, 0)]
+    tail &= (before == 0xC2) | (third >= 0xE1) & (third <= 0xE3)
+    for k in np.flatnonzero(plain & (tail | _MAY_BEGIN_SPACE[head] | led & _MAY_BEGIN_SPACE[second])).tolist():
+        plain[k] = _plain(stretches[k].as_py())
+    return plain
+
+
+def _encode_each(stretches: pa.Array, path: str, alone: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all stretches in a row, and how many each has.
 
     Stretches go to the tokenizer joined by newlines, which saves a call each; the bytes that ids stand for
     tell them apart again. Those that begin or end in unusual white space, or hold one of `alone`, go by themselves.
     """
     own, width = tokenizer(path)
-    plain = np.fromiter((_plain(x) and not any(t in x for t in alone) for x in stretches), bool, len(stretches))
-    order, n = np.argsort(~plain, kind="stable").tolist(), int(plain.sum())
+    plain = _all_plain(stretches)
+    for token in alone:
+        plain &= ~pc.match_substring(stretches, token).to_numpy(zero_copy_only=False)
+    order, n = np.argsort(~plain, kind="stable"), int(plain.sum())
     parts: list[np.ndarray] = []
     counts = np.zeros(len(stretches), np.int64)
+    data, at = raw(stretches.filter(pa.array(plain)))
+    ended = np.full(len(data) + n, 0x0A, np.uint8)  # each plain stretch and a newline
+    inside = np.ones(len(ended), bool)
+    inside[at[1:] + np.arange(n)] = False
+    ended[inside] = data
     for k in range(0, n, 2000):
-        which = order[k : min(k + 2000, n)]
-        ids = np.array(own.encode_batch_fast(["\n".join([stretches[k] for k in which])], add_special_tokens=False)[0].ids, np.uint32)
+        to = min(k + 2000, n)
+        sizes = np.diff(at[k : to + 1])
+        joined = ended[at[k] + k : at[to] + to - 1].tobytes().decode()
+        ids = np.array(own.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.cumsum(width[ids])
-        sizes = np.fromiter((len(stretches[k].encode()) for k in which), np.int64, len(which))
         stop = np.cumsum(sizes + 1) - 1
         last = np.searchsorted(ends, stop)
         first = np.searchsorted(ends, stop - sizes, "right")
         if not (np.array_equal(ends[last], stop) and ends[-1] == stop[-1]):
             raise ValueError("this vocabulary does not keep stretches apart")
-        counts[which] = last - first + 1
+        counts[order[k:to]] = last - first + 1
         parts.append(ids[ragged(first, last - first + 1)])
     single = order[n:]
-    for k, coded in zip(single, own.encode_batch_fast([stretches[k] for k in single], add_special_tokens=False), strict=True):
+    for k, coded in zip(single.tolist(), own.encode_batch_fast(stretches.take(pa.array(single)).to_pylist(), add_special_tokens=False), strict=True):
         parts.append(np.array(coded.ids, np.uint32))
         counts[k] = len(parts[-1])
     flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
@@ -104,30 +132,44 @@ def _encode_each(stretches: list[str], path: str, alone: tuple[str, ...] = ()) -
 
 class Known:
     """Stretches that a worker has met, with their ids: the first ones, as frequent ones come early, while they take
-    no more than `limit` bytes."""
+    no more than `limit` bytes. Both are Arrow arrays, which hold several times as many as a dict does."""
 
     def __init__(self, limit: int = KNOWN_BYTES) -> None:
-        self.ids: dict[str, bytes] = {}
+        self.stretches = pa.array([], pa.large_string())
+        self.ids = pa.array([], pa.large_list(pa.uint32()))
         self.left = limit
 
-    def encode(self, stretches: list[str], path: str, alone: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
-        """The same as _encode_each(), asking the tokenizer only for what isn't known."""
-        values = [self.ids.get(x) for x in stretches]
-        missing = [k for k, x in enumerate(values) if x is None]
-        flat, counts = _encode_each([stretches[k] for k in missing], path, alone)
-        octets, ends = flat.tobytes(), (4 * np.cumsum(counts)).tolist()
-        begin = 0
-        for k, end in zip(missing, ends, strict=True):
-            values[k] = octets[begin:end]
-            begin = end
-        for k in missing if self.left > 0 else ():
-            cost = len(stretches[k]) + len(values[k]) + _ENTRY
-            if cost < 2 * _ENTRY:
-                self.ids[stretches[k]] = values[k]
-                self.left -= cost
-            if self.left <= 0:
-                break
-        return np.frombuffer(b"".join(values), np.uint32), np.fromiter(map(len, values), np.int64, len(values)) // 4
+    def encode(self, stretches: pa.Array, path: str, alone: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """The same as _encode_each(), asking the tokenizer only for what isn't known. `stretches` are distinct."""
+        place = np.full(len(stretches), -1, np.int64)
+        if len(self.stretches):
+            met = pc.index_in(self.stretches, value_set=stretches)
+            which = np.flatnonzero(met.is_valid().to_numpy(zero_copy_only=False))
+            place[met.drop_null().to_numpy()] = which
+        missing = np.flatnonzero(place < 0)
+        new = stretches.take(pa.array(missing))
+        flat, counts = _encode_each(new, path, alone)
+        # the ids of all known stretches, then those of the new ones
+        at = np.concatenate([self.ids.offsets.to_numpy(), len(self.ids.values) + np.cumsum(counts)])
+        pool = np.concatenate([self.ids.values.to_numpy(), flat])
+        place[missing] = len(self.ids) + np.arange(len(missing))
+        if self.left > 0:
+            self._keep(new, flat, counts)
+        long = at[place + 1] - at[place]
+        return pool[ragged(at[place], long)], long
+
+    def _keep(self, new: pa.Array, flat: np.ndarray, counts: np.ndarray) -> None:
+        cost = pc.binary_length(new).to_numpy() + 4 * counts
+        short = np.flatnonzero(cost < _LONG)
+        total = np.cumsum(cost[short] + _ENTRY)
+        n = int(np.searchsorted(total, self.left, "right"))
+        kept = short[:n]
+        if n:
+            at = np.concatenate([[0], np.cumsum(counts)])
+            ids = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(counts[kept])]), flat[ragged(at[kept], counts[kept])])
+            self.stretches = pa.concat_arrays([self.stretches, new.take(pa.array(kept))])
+            self.ids = pa.concat_arrays([self.ids, ids])
+        self.left = 0 if n < len(short) else self.left - int(total[-1]) if n else self.left
 
 
 @lru_cache(maxsize=1)
@@ -161,7 +203,7 @@ def encode(texts: pa.Array, path: str, end_id: int, met: Known | None = None) ->
     del marked
     coded = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
     which = coded.indices.to_numpy()
-    flat, long = (met or known(path)).encode(coded.dictionary.to_pylist(), path, added(path) if whole else ())
+    flat, long = (met or known(path)).encode(coded.dictionary, path, added(path) if whole else ())
     del bounds, coded
     begin = np.cumsum(long) - long
     text_at = np.concatenate([[0], np.cumsum(long[which])])[stretch_at] + np.arange(len(texts) + 1)

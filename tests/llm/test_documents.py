@@ -60,6 +60,20 @@ def test_many_batches_with_special_tokens_and_known_stretches():
     assert encoded(["a\n<|endoftext|>"])[0] == [64, 198, 50256, 1]
 
 
+def test_known_stretches_are_compact(monkeypatch):
+    words, known, asked = [f"w{chr(97 + k % 26)}{k:04d}" for k in range(2000)], tokens.Known(100_000), []
+    each = tokens._encode_each
+    monkeypatch.setattr(tokens, "_encode_each", lambda stretches, *more: asked.append(len(stretches)) or each(stretches, *more))
+    for texts in ([" ".join(words)], [" ".join(reversed(words))]):
+        assert encoded(texts, known) == plain_ids(texts, 1)
+    assert len(known.ids) >= 2000 and 0 < known.left and asked[-1] < 10
+
+
+@given(st.text(alphabet=" \n\t\x1c\x1fab.é\x85\xa0\u1680\u2003\u2028\u3000à©😀", min_size=1, max_size=4))
+def test_plain_stretches_by_bytes(x):
+    assert tokens._all_plain(pa.array(["a", x, "b c"], pa.large_string())).tolist() == [True, tokens._plain(x), True]
+
+
 def check_packed(found, texts):
     ids = plain_ids(texts, 1)
     want = Counter((len(x), zlib.crc32(np.array(x, "<u4"))) for x in ids)
